@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strataloom.llm import langid, secrets, toxicity
+from strataloom.llm import langid, secrets, simhash, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3,
+    "op7_simhash": simhash.op7,
     "op8_secrets": secrets.op8,
     "op9_language_id": langid.op9,
 }
