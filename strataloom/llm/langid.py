@@ -32,7 +32,7 @@ FAMILIES = {
     "indo-aryan": ["hi", "bn", "ur", "mr", "pa", "gu", "ne"],
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
-BITS = 15
+BITS = 13
 
 
 def family(lang: str) -> str:
@@ -89,7 +89,7 @@ def histogram(text: str) -> np.ndarray:
 def svm(x: np.ndarray, sign: np.ndarray, c: float = 10.0, epochs: int = 25, seed: int = 7) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the L2-regularised hinge loss; rows are scaled to unit length by the caller."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, alpha, q = np.zeros(x.shape[1]), np.zeros(len(x)), (x.astype(float) ** 2).sum(1)
+    w, alpha, q = np.zeros(x.shape[1]), np.zeros(len(x)), np.einsum("ij,ij->i", x, x).astype(float)
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
@@ -104,7 +104,7 @@ def svm(x: np.ndarray, sign: np.ndarray, c: float = 10.0, epochs: int = 25, seed
     return w[:-1], float(w[-1])
 
 
-def learn(texts: list[str], langs: list[str], per_class: int = 400) -> Model:
+def learn(texts: list[str], langs: list[str], per_class: int = 300) -> Model:
     """Families and languages from up to per_class texts of each language (the caller bounds the sample)."""
     by: dict[str, list[str]] = {}
     for t, lang in zip(texts, langs, strict=True):
@@ -115,20 +115,21 @@ def learn(texts: list[str], langs: list[str], per_class: int = 400) -> Model:
         known.setdefault(family(lang), []).append(lang)
     rows = {lang: np.array([histogram(t) for t in own]) for lang, own in by.items()}
     # square roots tame frequent n-grams in learning only through the scale of each column
-    scale = 1 / (np.concatenate(list(rows.values())).mean(0) ** 0.5 + 1e-3) if rows else np.ones(1)
+    scale = (1 / (np.mean([own.mean(0) for own in rows.values()], 0) ** 0.5 + 1e-3)).astype(np.float32) if rows else np.ones(1, np.float32)
 
     def pair(a: str, b: str, of_a: list[str], of_b: list[str]) -> Pair:
         x = np.concatenate([rows[lang] for lang in (*of_a, *of_b)]) * scale
         sign = np.repeat([1.0, -1.0], [sum(len(rows[k]) for k in of_a), sum(len(rows[k]) for k in of_b)])
-        norm = float(np.sqrt((x**2).sum(1)).mean()) or 1.0
-        w, bias = svm((x / norm).astype(np.float32), sign)
+        norm = float(np.sqrt(np.einsum("ij,ij->i", x, x)).mean()) or 1.0
+        x /= np.float32(norm)
+        w, bias = svm(x, sign)
         return Pair(a, b, (w * scale / norm).astype(np.float32), bias)
 
     pairs = [pair(a, b, known[a], known[b]) for a, b in itertools.combinations(sorted(known), 2)]
     return Model(known, pairs, {f: [pair(a, b, [a], [b]) for a, b in itertools.combinations(own, 2)] for f, own in known.items()})
 
 
-def learning_rows(docs: DataFrame, per_lang: int = 400, max_chars: int = 4000, folds: int = 3, held_out: int = 1) -> tuple[list[str], list[str]]:
+def learning_rows(docs: DataFrame, per_lang: int = 300, max_chars: int = 4000, folds: int = 3, held_out: int = 1) -> tuple[list[str], list[str]]:
     """For each language the texts of the per_lang rows (of at most max_chars characters, not held out) that come first by hash of the id."""
     mine = pick(docs, id="doc_id", text="text", lang="lang").where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= max_chars))
     mine = mine.where(crc_fold(F.col("id"), folds) != held_out).select("id", "lang", F.xxhash64("id").alias("h"))
