@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from strataloom.llm import langid, secrets, simhash, toxicity
+from strataloom.llm import langid, mixing, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3,
+    "op5_mixing": mixing.op5,
     "op7_simhash": simhash.op7,
     "op8_secrets": secrets.op8,
     "op9_language_id": langid.op9,
+    "op10_sharding": sharding.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE}
