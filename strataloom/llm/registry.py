@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strataloom.llm import langid, mixing, secrets, sharding, simhash, toxicity
+from strataloom.llm import decontaminate, langid, mixing, secrets, sharding, simhash, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3,
+    "op4_decontamination": decontaminate.op4,
     "op5_mixing": mixing.op5,
     "op7_simhash": simhash.op7,
     "op8_secrets": secrets.op8,
