@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strataloom.llm import decontaminate, langid, mixing, secrets, sharding, simhash, toxicity
+from strataloom.llm import decontaminate, langid, mixing, records, secrets, sharding, simhash, toxicity
 
 QUERIES = {
+    "op2_records": records.op2,
     "op3_toxicity": toxicity.op3,
     "op4_decontamination": decontaminate.op4,
     "op5_mixing": mixing.op5,
