@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strataloom.llm import decontaminate, langid, mixing, records, secrets, sharding, simhash, toxicity
+from strataloom.llm import decontaminate, langid, mixing, records, secrets, sharding, simhash, suffixes, toxicity
 
 QUERIES = {
     "op2_records": records.op2,
     "op3_toxicity": toxicity.op3,
     "op4_decontamination": decontaminate.op4,
     "op5_mixing": mixing.op5,
+    "op6_suffixes": suffixes.op6,
     "op7_simhash": simhash.op7,
     "op8_secrets": secrets.op8,
     "op9_language_id": langid.op9,
