@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strataloom.llm import decontaminate, langid, mixing, records, secrets, sharding, simhash, suffixes, toxicity
+from strataloom.llm import ann, decontaminate, langid, mixing, records, secrets, sharding, simhash, suffixes, toxicity
 
 QUERIES = {
+    "op1_ann": ann.op1,
     "op2_records": records.op2,
     "op3_toxicity": toxicity.op3,
     "op4_decontamination": decontaminate.op4,
