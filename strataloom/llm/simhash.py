@@ -207,16 +207,48 @@ def linked(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return rows.mapInArrow(_verify, "a long, b long").distinct()
 
 
+def roots_of(fps: DataFrame) -> DataFrame:
+    """its (a fingerprint), root (a fingerprint of its component): for every fingerprint in fps."""
+    distinct = saved(fps.select("fp").distinct(), "simhash-distinct")
+    roots = components(linked(distinct))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("its"), F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id for every row of docs."""
     fps = saved(fingerprints(docs, size, id_col, text_col), "simhash")
-    distinct = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(linked(distinct))
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = saved(named.join(least, "root").select(F.col("fp").alias("its"), "component_id"), "simhash-components")
+    roots = saved(roots_of(fps), "simhash-roots")
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots, F.col("fp") == F.col("its")).groupBy("root").agg(F.min("first").alias("component_id"))
+    of = saved(roots.join(least, "root").select("its", "component_id"), "simhash-components")
     return fps.join(of, F.col("fp") == F.col("its")).select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
+    """docs with one row of each component, the one with the smallest id; all columns stay as they are."""
+    mark = F.xxhash64(F.lit(1), docs["text"])
+    tagged = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"), mark.alias("mark"))
+
+    def run(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(words_of(t.as_py()), size) for t in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["id", "mark", "fp"])
+
+    fps = saved(tagged.mapInArrow(run, "id long, mark long, fp long"), "simhash")
+    roots = saved(roots_of(fps), "simhash-roots")
+    rank = F.struct(F.col("id").isNull().alias("null"), F.col("id").alias("id"), F.col("mark").alias("mark"))
+    rows = fps.groupBy("fp", "id", "mark").agg(F.count("*").alias("n"))  # repeated rows are one here
+    of = rows.join(roots, F.col("fp") == F.col("its"))
+    first = of.groupBy("root").agg(F.min(rank).alias("first"), F.sum("n").alias("size")).where("size > 1")
+    of = saved(of.join(first, "root").withColumn("stays", rank.eqNullSafe(F.col("first"))).where("not stays or n > 1").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "stays"), "simhash-copies")
+    same = lambda df, other: df["doc_id"].eqNullSafe(other["__id"]) & (F.xxhash64(F.lit(1), df["text"]) == other["__mark"])
+    out = of.where("not stays")
+    kept = docs.join(out, on=same(docs, out), how="left_anti")
+    again = of.where("stays")
+    if again.isEmpty():
+        return kept
+    alone = kept.join(again, on=same(kept, again), how="left_anti")
+    return alone.unionByName(kept.join(again, on=same(kept, again), how="left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op7(spark, sf_dir) -> DataFrame:
     return groups(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

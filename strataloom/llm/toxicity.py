@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -213,8 +214,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     w = np.array(lexicon.coefficients)
 
     @F.pandas_udf("boolean")
-    def toxic(texts: "pandas.Series") -> "pandas.Series":  # noqa: F821
+    def toxic(texts: pd.Series) -> pd.Series:
         automaton = lexicon.automaton()
-        return texts.map(lambda t: float(np.dot(features(t, automaton), w)) >= 0)
+        return pd.Series([float(np.dot(features(t, automaton), w)) >= 0 for t in texts], dtype=bool)
 
     return docs.where(~toxic(docs["text"]))
