@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import pick, table
+from strataloom.llm.common import pick, saved, table
 from strataloom.llm.ranks import running
 
 # Target weights of the default mixture, whole numbers; a key that isn't here has the weight under None.
@@ -79,7 +79,7 @@ def mixed(rows: DataFrame, seed: int = 1, fraction: float = 0.8, max_epochs: int
     wanted = budgets(leaves, weights or [DOMAINS, LANGS, SOURCES], fraction)
     plan = leaves.select(*LEVELS, "tokens").join(wanted, LEVELS)
     # rows of a leaf without any token come in the first epoch of a leaf with a budget only
-    plan = plan.where("budget > 0").withColumn("epochs", F.expr("cast((budget + tokens - 1) div tokens as int)"))
+    plan = saved(plan.where("budget > 0").withColumn("epochs", F.expr("cast((budget + tokens - 1) div tokens as int)")), "mixture")
     each = rows.join(plan, LEVELS).withColumn("epoch", F.explode(F.expr("sequence(0, epochs - 1)")))
     each = each.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     placed = running(each, [*LEVELS, "epoch"], F.substring("__h", 1, 3), ["__h", "doc_id", "crc"], {"__before": "n_tokens"}, {})

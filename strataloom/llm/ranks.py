@@ -19,20 +19,20 @@ def unit(key: Column) -> Column:
 def running(df: DataFrame, group: list[str], bucket: Column, order: list[Column | str], sums: dict[str, str], totals: dict[str, str]) -> DataFrame:
     """df with, for each sums[new] = expression, the sum of the expression over the rows before in its group, and the group's totals[new].
 
-    bucket must not decrease along order, and few rows may share a bucket. With group empty the order is global; the
-    table of buckets is then ordered in one task, so their number must be bounded.
+    bucket must not decrease along order, and few rows may share a bucket; group columns hold no nulls. With group empty
+    the order is global; the table of buckets is then ordered in one task, so their number must be bounded. Rows are dealt
+    out by group and bucket together once, for the ranks inside a bucket and the join to the bucket totals.
     """
     df = df.withColumn("__bucket", bucket)
-    both = {**sums, **{k: v for k, v in totals.items() if v not in sums.values()}}
-    names = {v: f"__t{i}" for i, v in enumerate(dict.fromkeys(both.values()))}
-    table = df.groupBy(*group, "__bucket").agg(*(F.sum(F.expr(v)).alias(n) for v, n in names.items()))
+    key = [*group, "__bucket"]
+    names = {v: f"__t{i}" for i, v in enumerate(dict.fromkeys([*sums.values(), *totals.values()]))}
+    table = df.groupBy(*key).agg(*(F.sum(F.expr(v)).alias(n) for v, n in names.items()))
     every = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = every.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    table = table.select(*group, "__bucket", *(F.coalesce(F.sum(names[v]).over(before), F.lit(0)).alias(f"__b_{k}") for k, v in sums.items()), *(F.sum(names[v]).over(every).alias(k) for k, v in totals.items()))
-    inside = Window.partitionBy(*group, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.select("*", *(F.coalesce(F.sum(F.expr(v)).over(inside), F.lit(0)).alias(f"__l_{k}") for k, v in sums.items()))
-    key = [*group, "__bucket"]
-    joined = local.join(table.select(*(F.col(c).alias(f"__k_{c}") for c in key), *(c for c in table.columns if c not in key)), on=[F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in key])
+    table = table.select(*key, *(F.coalesce(F.sum(names[v]).over(before), F.lit(0)).alias(f"__b_{k}") for k, v in sums.items()), *(F.sum(names[v]).over(every).alias(k) for k, v in totals.items()))
+    inside = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = df.repartition(*key).select("*", *(F.coalesce(F.sum(F.expr(v)).over(inside), F.lit(0)).alias(f"__l_{k}") for k, v in sums.items()))
+    joined = local.join(table, key)
     for k in sums:
         joined = joined.withColumn(k, F.col(f"__b_{k}") + F.col(f"__l_{k}"))
-    return joined.drop(*(c for c in joined.columns if c.startswith(("__b_", "__l_", "__k_", "__bucket"))))
+    return joined.drop("__bucket", *(c for c in joined.columns if c.startswith(("__b_", "__l_"))))

@@ -25,15 +25,16 @@ def interleaved(rows: DataFrame, shards: int, seed: int = 0, stratum: str = "sou
     """rows with shard and slot. keys: columns that tell rows apart, for the shuffled order."""
     keys = keys or [c for c in rows.columns if c != stratum]
     tie: list[Column | str] = ["__h", *keys]
-    rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), *keys))
-    ranked = running(rows, [stratum], F.floor(unit(F.col("__h")) * SPLIT).cast("int"), [F.shiftrightunsigned("__h", 1), *tie], {"__rank": "1L"}, {"__of": "1L"})
-    shift = unit(F.xxhash64(F.lit(seed + 1), F.coalesce(F.col(stratum).cast("string"), F.lit("\0null"))))
+    name = F.when(F.col(stratum).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(stratum).cast("string")))
+    rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), *keys)).withColumn("__of_it", name)
+    ranked = running(rows, ["__of_it"], F.floor(unit(F.col("__h")) * SPLIT).cast("int"), [F.shiftrightunsigned("__h", 1), *tie], {"__rank": "1L"}, {"__of": "1L"})
+    shift = unit(F.xxhash64(F.lit(seed + 1), "__of_it"))
     ranked = ranked.withColumn("__at", (F.col("__rank") + shift) / F.col("__of"))
     bucket = F.least(F.floor(F.col("__at") * SPLIT), F.lit(SPLIT - 1)).cast("int")
-    placed = running(ranked, [], bucket, ["__at", stratum, *tie], {"__place": "1L"}, {"__all": "1L"})
+    placed = running(ranked, [], bucket, ["__at", "__of_it", *tie], {"__place": "1L"}, {"__all": "1L"})
     shard = F.expr(f"__place * {shards} div __all")
     # the first place of shard s is the smallest p with floor(p * shards / all) = s
-    return placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.expr(f"__place - (shard * __all + {shards - 1}) div {shards}")).drop("__h", "__rank", "__of", "__at", "__place", "__all")
+    return placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.expr(f"__place - (shard * __all + {shards - 1}) div {shards}")).drop("__h", "__of_it", "__rank", "__of", "__at", "__place", "__all")
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
