@@ -110,8 +110,11 @@ def features(text: str | None, automaton: ahocorasick.Automaton) -> tuple[float,
     return 1.0, float(np.log1p(100.0 * max(weight, 0.0) / max(words, 1))), float(np.log1p(hits)), float(np.log1p(words)) * (hits > 0)
 
 
-def learn(texts: list[str], toxic: list[int], min_docs: int = 12, max_stems: int = 400, stem_lengths: tuple[int, int] = (3, 10)) -> Lexicon:
-    """Stems whose rate per word in toxic texts is well above that in others, then the logistic coefficients."""
+def learn(texts: list[str], toxic: list[int], min_docs: int | None = None, max_stems: int = 400, stem_lengths: tuple[int, int] = (3, 10)) -> Lexicon:
+    """Stems whose rate per word in toxic texts is well above that in others, then the logistic coefficients.
+
+    min_docs: different toxic texts that must have a stem; by default a twelfth of them, at least 3, at most 12.
+    """
     texts, label = [fold(t or "") for t in texts], np.asarray(toxic, float)
     if not len(label) or label.min() == label.max():
         return Lexicon({w: 3.0 for w in SEEDS})
@@ -135,6 +138,7 @@ def learn(texts: list[str], toxic: list[int], min_docs: int = 12, max_stems: int
             counts[y][s] = counts[y].get(s, 0) + n
             if y:
                 docs[s] = docs.get(s, 0) + 1
+    min_docs = min_docs or int(max(3, min(12, label.sum() // 12)))
     scored = []
     for s, d in docs.items():
         if d < min_docs:
