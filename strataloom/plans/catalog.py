@@ -1,10 +1,549 @@
-"""Registered queries over the driver tables and their DuckDB equivalents."""
+"""Registered queries over the driver tables and their DuckDB equivalents.
+
+Series come from `embeddings` (64 values, classes 0..9); `lineitem` serves as a larger feature matrix and `events` for
+assembling series. Doubles are rounded to six places on both sides; adding 0.0 makes a negative zero positive.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strataloom.functions.boosting import argmax, bucket, clipped_log_loss, cross_entropy, hessians, one_hot, pick_feature, residuals, softmax, uniform_logits
+from strataloom.functions.intervals import make_intervals, representation_lengths
+from strataloom.functions.series import REPRESENTATIONS, interval_quantiles, let
+from strataloom.operators import metrics
+from strataloom.operators.hashboost import HashBoost, learning_curve, pair_up
+from strataloom.operators.ordering import multiplier, shuffle_key, with_position
+from strataloom.operators.quant import Quant
+from strataloom.sources.dataset import SeriesDataset, dense_labels, estimator_quota
+from strataloom.sources.results import curve
+
+LENGTH, CLASSES, DEPTH, DIV, SEED = 64, 10, 6, 4, 42
+BITS, ROUNDS, LR, BATCH = 4, 3, 0.1, 64
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
+        QUERIES[name] = fn
+        if oracle:
+            ORACLES[name] = oracle
+        return fn
+
+    return register
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+
+
+def dataset(spark: SparkSession, sf_dir: str, **kwargs) -> SeriesDataset:
+    return SeriesDataset.from_table(embeddings(spark, sf_dir), "vec_id", "embedding", "label", **kwargs)
+
+
+def rounded(value: Column | str) -> Column:
+    return F.round(value, 6) + 0.0
+
+
+# sources, selection, splitting, batching
+
+
+@query("series_scan_shape", "select count(*)::bigint as n_rows, max(len(embedding))::int as length from embeddings")
+def series_scan_shape(spark, sf_dir):
+    return embeddings(spark, sf_dir).agg(F.count("*").alias("n_rows"), F.max(F.size("embedding")).alias("length"))
+
+
+@query("class_histogram", "select label, count(*)::bigint as n from embeddings group by label")
+def class_histogram(spark, sf_dir):
+    return embeddings(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("num_classes", "select count(distinct label)::bigint as num_classes from embeddings")
+def num_classes(spark, sf_dir):
+    return metrics.class_count(embeddings(spark, sf_dir))
+
+
+@query("series_flatten_long", "select vec_id, (i - 1)::int as pos, embedding[i]::double as value from embeddings, range(1, 65) t(i)")
+def series_flatten_long(spark, sf_dir):
+    return dataset(spark, sf_dir).flat().select(F.col("id").alias("vec_id"), F.posexplode("features").alias("pos", "value"))
+
+
+def _fold(spark, sf_dir) -> DataFrame:
+    return embeddings(spark, sf_dir).where("vec_id % 10 = 3").select(F.col("vec_id").alias("id"))
+
+
+@query("fold_exclusion", "select vec_id, label from embeddings where vec_id not in (select vec_id from embeddings where vec_id % 10 = 3)")
+def fold_exclusion(spark, sf_dir):
+    return dataset(spark, sf_dir).without(_fold(spark, sf_dir)).labels.select(F.col("id").alias("vec_id"), "label")
+
+
+@query("fold_selection", "select vec_id, label from embeddings where vec_id in (select vec_id from embeddings where vec_id % 10 = 3)")
+def fold_selection(spark, sf_dir):
+    return dataset(spark, sf_dir)[_fold(spark, sf_dir)].labels.select(F.col("id").alias("vec_id"), "label")
+
+
+def _key(seed: int = SEED, epoch: int = 0) -> str:
+    return f"((vec_id % 2147483648) * {multiplier(epoch)} + {seed}) % 4294967296"
+
+
+@query(
+    "split_train_val_test",
+    f"""with p as (select vec_id, row_number() over (order by {_key()}, vec_id) - 1 as position, count(*) over () as n from embeddings where vec_id % 10 <> 3)
+select vec_id, position::bigint as position, case when position * 100 < 80 * n then 'train' when position * 100 < 90 * n then 'valid' else 'test' end as split from p""",
+)
+def split_train_val_test(spark, sf_dir):
+    rest = dataset(spark, sf_dir).without(_fold(spark, sf_dir)).df
+    n = rest.count()
+    at = with_position(rest, shuffle_key("id", SEED), "id")
+    name = F.when(F.col("position") * 100 < 80 * n, "train").when(F.col("position") * 100 < 90 * n, "valid").otherwise("test")
+    return at.select(F.col("id").alias("vec_id"), F.col("position").cast("long").alias("position"), name.alias("split"))
+
+
+@query("batch_assignment", f"select vec_id, ((row_number() over (order by {_key(epoch=1)}, vec_id) - 1) // {BATCH})::int as batch_id from embeddings")
+def batch_assignment(spark, sf_dir):
+    return dataset(spark, sf_dir, batch_size=BATCH, seed=SEED).batches(1).select(F.col("id").alias("vec_id"), "batch_id")
+
+
+@query(
+    "estimator_quota",
+    f"""with n as (select ceil(count(*) / {BATCH}.0)::bigint as b from embeddings), s as (select b, greatest(1, 200 // b) as share from n)
+select i::int as batch_id, (share + case when i < greatest(0, 200 - share * b) then 1 else 0 end)::int as estimators from s, range(1000000) t(i) where i < b""",
+)
+def quota(spark, sf_dir):
+    rows = list(enumerate(estimator_quota(200, dataset(spark, sf_dir, batch_size=BATCH).num_batches)))
+    return spark.createDataFrame(rows, "batch_id int, estimators int")
+
+
+@query("batch_rows_for_memory", "select greatest(1, (0.05 * 1048576)::bigint // (4 * max(len(embedding))))::int as batch_rows from embeddings")
+def batch_rows_for_memory(spark, sf_dir):
+    data = dataset(spark, sf_dir)
+    data.set_batch_size(0.05)
+    return spark.createDataFrame([(data.batch_size,)], "batch_rows int")
+
+
+@query("series_head", f"select vec_id, label from embeddings order by {_key()}, vec_id limit 256")
+def series_head(spark, sf_dir):
+    return dataset(spark, sf_dir, seed=SEED).head(256).select(F.col("id").alias("vec_id"), "label")
+
+
+@query("dense_label_index", "select l_orderkey, l_linenumber, (select count(distinct l_returnflag) from lineitem b where b.l_returnflag < a.l_returnflag)::int as label from lineitem a")
+def dense_label_index(spark, sf_dir):
+    rows, _ = dense_labels(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("label")))
+    return rows
+
+
+@query(
+    "events_daily_series",
+    """with u as (select distinct user_id from events), d as (select user_id, datediff('day', timestamp '2024-01-01', ts)::int as day, sum(value) as total from events group by all)
+select u.user_id, i::int as day, round(coalesce(total, 0.0), 6) + 0.0 as total from u cross join range(30) t(i) left join d on d.user_id = u.user_id and d.day = i""",
+)
+def events_daily_series(spark, sf_dir):
+    """Series of 30 daily sums a user, zero where there was none (a way to get series out of a log)."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("day"), "value")
+    sums = events.groupBy("user_id", "day").agg(F.sum("value").alias("total"))
+    by_day = sums.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("day", "total"))).alias("m"))
+    series = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return by_day.select("user_id", F.posexplode(series).alias("day", "total")).select("user_id", "day", rounded("total").alias("total"))
+
+
+# representations, intervals, quantiles
+
+_VALUES = "v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as x from embeddings)"
+_REPR = {
+    "identity": "r_identity as (select vec_id, x as z from v)",
+    "smoothed_diff": """r_smoothed_diff as (select vec_id, list(m order by i) as z from (
+ select vec_id, i, (d[greatest(i - 2, 1)] + d[greatest(i - 1, 1)] + d[i] + d[least(i + 1, 63)] + d[least(i + 2, 63)]) / 5.0 as m
+ from (select vec_id, [x[j + 1] - x[j] for j in range(1, 64)] as d from v), range(1, 64) t(i)) group by vec_id)""",
+    "second_diff": "r_second_diff as (select vec_id, [(x[j + 2] - x[j + 1]) - (x[j + 1] - x[j]) for j in range(1, 63)] as z from v)",
+    "spectrum": """r_spectrum as (select vec_id, list(m order by k) as z from (
+ select vec_id, k, sqrt(power(sum(x[i + 1] * cos(2 * pi() * ((k * i) % 64) / 64)), 2) + power(sum(x[i + 1] * sin(2 * pi() * ((k * i) % 64) / 64)), 2)) as m
+ from v, range(33) f(k), range(64) t(i) group by vec_id, k) group by vec_id)""",
+}
+
+
+def _interval_sql(length: int) -> str:
+    """Interval table of a length: level by level, pieces then shifted pieces, numbered from 0."""
+    return f"""(select (row_number() over (order by level, moved, i) - 1)::int as idx, a::int as a, b::int as b from (
+ select level, 0 as moved, i, i * {length} // n as a, (i + 1) * {length} // n as b from (select k as level, (1 << k) as n from range({DEPTH}) t(k) where (1 << k) <= {length}), range(64) u(i) where i < n
+ union all
+ select level, 1, i, i * {length} // n + s, (i + 1) * {length} // n + s from (select k as level, (1 << k) as n, ({length} + 2 * (1 << k) - 1) // (2 * (1 << k)) as s from range(1, {DEPTH}) t(k) where (1 << k) <= {length}
+  and {length} // (1 << k) + case when (1 << k) - {length} % (1 << k) > ((1 << k) - 1) // 2 then 0 else 1 end > 1), range(64) u(i) where i < n - 1))"""
+
+
+def _quantile_sql(kind: str) -> str:
+    """CTE q_<kind>: (vec_id, idx, q, value) of all intervals, from r_<kind>."""
+    return f"""q_{kind} as (select vec_id, idx, q::int as q, s[1 + lo] + (place - lo) * (s[1 + least(lo + 1, m - 1)] - s[1 + lo]) - case when k > 1 and q % 2 = 1 then mean else 0 end as value from (
+ select vec_id, idx, m, k, s, mean, q, case when k = 1 then (m - 1) / 2.0::double else (m - 1) * q / (k - 1)::double end as place, floor(case when k = 1 then (m - 1) / 2.0::double else (m - 1) * q / (k - 1)::double end)::int as lo from (
+  select vec_id, idx, b - a as m, case when b - a = 1 then 1 else 1 + (b - a - 1) // {DIV} end as k, list_sort(z[a + 1:b]) as s, list_sum(z[a + 1:b]) / (b - a) as mean from r_{kind}, {_interval_sql(representation_lengths(LENGTH)[kind])} i), range(64) t(q) where q < k))"""
+
+
+def _representation(kind: str) -> Query:
+    def run(spark, sf_dir):
+        rows = embeddings(spark, sf_dir).select("vec_id", REPRESENTATIONS[kind](F.col("embedding"), LENGTH).alias("z"))
+        return rows.select("vec_id", F.posexplode("z").alias("pos", "value")).select("vec_id", "pos", rounded("value").alias("value"))
+
+    return run
+
+
+def _quantiles(kind: str) -> Query:
+    def run(spark, sf_dir):
+        n = representation_lengths(LENGTH)[kind]
+        rows = embeddings(spark, sf_dir).select("vec_id", let(REPRESENTATIONS[kind](F.col("embedding"), LENGTH), lambda z: interval_quantiles(z, n, DEPTH, DIV)).alias("f"))
+        rows = rows.select("vec_id", F.posexplode("f").alias("idx", "own")).select("vec_id", "idx", F.posexplode("own").alias("q", "value"))
+        return rows.select("vec_id", "idx", "q", rounded("value").alias("value"))
+
+    return run
+
+
+for _kind, _n in representation_lengths(LENGTH).items():
+    query(f"repr_{_kind}", f"with {_VALUES}, {_REPR[_kind]} select vec_id, (i - 1)::int as pos, round(z[i], 6) + 0.0 as value from r_{_kind}, range(1, {_n + 1}) t(i)")(_representation(_kind))
+    query(f"interval_quantiles_{_kind}", f"with {_VALUES}, {_REPR[_kind]}, {_quantile_sql(_kind)} select vec_id, idx, q, round(value, 6) + 0.0 as value from q_{_kind}")(_quantiles(_kind))
+
+
+@query("interval_table", " union all ".join(f"select '{k}' as representation, idx, a, b from {_interval_sql(n)}" for k, n in representation_lengths(LENGTH).items()))
+def interval_table(spark, sf_dir):
+    rows = [(kind, i, a, b) for kind, n in representation_lengths(LENGTH).items() for i, (a, b) in enumerate(make_intervals(n, DEPTH))]
+    return spark.createDataFrame(rows, "representation string, idx int, a int, b int")
+
+
+_WIDE = f"""with {_VALUES}, {', '.join(f'{_REPR[k]}, {_quantile_sql(k)}' for k in _REPR)},
+ every as ({' union all '.join(f'select vec_id, {i} as rep, idx, q, value from q_{k}' for i, k in enumerate(_REPR))})
+select vec_id, (row_number() over (partition by vec_id order by rep, idx, q) - 1)::int as feature, round(value, 6) + 0.0 as value from every"""
+
+
+def _wide(method: str) -> Query:
+    def run(spark, sf_dir):
+        rows = Quant(inputCol="embedding", depth=DEPTH, div=DIV, length=LENGTH, method=method).transform(embeddings(spark, sf_dir))
+        return rows.select("vec_id", F.posexplode("features").alias("feature", "value")).select("vec_id", "feature", rounded("value").alias("value"))
+
+    return run
+
+
+query("quant_features_wide", _WIDE)(_wide("native"))
+query("quant_features_arrow", _WIDE)(_wide("arrow"))
+
+# booster steps. Demonstration logits: five times the first ten values of a series
+
+_PROBA = f"""l as (select vec_id, label, c::int as cls, 5 * embedding[c + 1]::double as z from embeddings, range({CLASSES}) t(c)),
+ e as (select vec_id, label, cls, exp(z - max(z) over (partition by vec_id)) as e from l),
+ p as (select vec_id, label, cls, e / sum(e) over (partition by vec_id) as p from e)"""
+
+
+def demo_proba(spark, sf_dir) -> DataFrame:
+    logits = F.transform(F.slice("embedding", 1, CLASSES), lambda x: 5 * x.cast("double"))
+    return embeddings(spark, sf_dir).select("vec_id", "label", softmax(logits).alias("proba"))
+
+
+@query("softmax_xent", f"with {_PROBA} select vec_id, label, round(-ln(p), 6) + 0.0 as ce from p where cls = label")
+def softmax_xent(spark, sf_dir):
+    return demo_proba(spark, sf_dir).select("vec_id", "label", rounded(cross_entropy(F.col("proba"), F.col("label"))).alias("ce"))
+
+
+@query(
+    "onehot_residual_hessian",
+    f"with {_PROBA} select vec_id, cls as class, (cls = label)::int as one_hot, round(p - (cls = label)::int, 6) + 0.0 as residual, round(p * (1 - p) + 1e-3, 6) + 0.0 as hessian from p",
+)
+def onehot_residual_hessian(spark, sf_dir):
+    rows = demo_proba(spark, sf_dir)
+    zipped = F.arrays_zip(one_hot(F.col("label"), CLASSES).alias("o"), residuals(F.col("proba"), F.col("label")).alias("r"), hessians(F.col("proba")).alias("h"))
+    return rows.select("vec_id", F.posexplode(zipped).alias("class", "x")).select("vec_id", "class", F.col("x.o").alias("one_hot"), rounded("x.r").alias("residual"), rounded("x.h").alias("hessian"))
+
+
+@query("hardest_examples", f"with {_PROBA} select vec_id, label, round(-ln(p), 6) + 0.0 as ce from p where cls = label order by -ln(p) desc, vec_id limit 32")
+def hardest_examples(spark, sf_dir):
+    rows = demo_proba(spark, sf_dir).withColumn("ce", cross_entropy(F.col("proba"), F.col("label")))
+    return rows.orderBy(F.desc("ce"), "vec_id").limit(32).select("vec_id", "label", rounded("ce").alias("ce"))
+
+
+@query("hardest_pairs")
+def hardest_pairs(spark, sf_dir):
+    """Eight pairs of hard rows of different classes; a first-in first-out scan, so tested by hand-made cases instead of SQL."""
+    top = hardest_examples(spark, sf_dir).orderBy(F.desc("ce"), "vec_id").collect()  # 32 rows
+    pairs, _ = pair_up([r["label"] for r in top], 8)
+    return spark.createDataFrame([(i, top[a]["vec_id"], top[b]["vec_id"]) for i, (a, b) in enumerate(pairs)], "pair int, first long, second long")
+
+
+PICKED = [[pick_feature(SEED, r, b, LENGTH) for b in range(BITS)] for r in range(ROUNDS)]
+MIDPOINTS = [[round(0.02 * ((r + b) % 3 - 1), 2) for b in range(BITS)] for r in range(ROUNDS)]
+
+
+def _bucket_sql(r: int, x: str = "embedding") -> str:
+    return "(" + " + ".join(f"case when {x}[{f + 1}]::double <= {m} then {1 << b} else 0 end" for b, (f, m) in enumerate(zip(PICKED[r], MIDPOINTS[r], strict=True))) + ")::int"
+
+
+def bucketed(df: DataFrame) -> DataFrame:
+    """(vec_id, label, round, bucket) for each of the demonstration hashes."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    wide = df.select("vec_id", "label", let(x, lambda v: F.array(*(bucket(v, PICKED[r], MIDPOINTS[r]) for r in range(ROUNDS)))).alias("b"))
+    return wide.select("vec_id", "label", F.posexplode("b").alias("round", "bucket"))
+
+
+_BUCKETS = "b as (" + " union all ".join(f"select vec_id, label, {r}::int as round, {_bucket_sql(r)} as bucket from embeddings" for r in range(ROUNDS)) + ")"
+
+
+@query("hash_bucket", f"with {_BUCKETS} select vec_id, round, bucket from b")
+def hash_bucket(spark, sf_dir):
+    return bucketed(embeddings(spark, sf_dir)).select("vec_id", "round", "bucket")
+
+
+def cell_sums(rows: DataFrame) -> DataFrame:
+    """g and h of each (round, bucket, class) before anything was learned: all classes have the probability 1 / K.
+
+    Rows of a bucket are counted by class first, so that the classes multiply cells, not rows.
+    """
+    counts = rows.groupBy("round", "bucket", "label").agg(F.count("*").alias("n"))
+
+    cells = counts.groupBy("round", "bucket").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("m"))
+    cells = cells.select("round", "bucket", "n", "m", F.explode(F.sequence(F.lit(0), F.lit(CLASSES - 1))).alias("class"))
+    p = 1.0 / CLASSES
+    own = F.coalesce(F.try_element_at("m", F.col("class")), F.lit(0))
+    return cells.select("round", "bucket", "class", (-(F.col("n") * p - own)).alias("g"), (F.col("n") * (p * (1 - p) + 1e-3)).alias("h"))
+
+
+def with_leaf(cells: DataFrame) -> DataFrame:
+    return cells.withColumn("leaf", F.col("g") / (F.col("h") + 1e-6) * LR)
+
+
+def _cells_sql(where: str = "true", name: str = "cells") -> str:
+    return f"""{name} as (select round, bucket, c::int as class, -sum({1.0 / CLASSES} - (c = label)::int) as g, sum({1.0 / CLASSES} * (1 - {1.0 / CLASSES}) + 1e-3) as h from b, range({CLASSES}) t(c) where {where} group by round, bucket, c)"""
+
+
+@query("hash_leaf_table", f"with {_BUCKETS}, {_cells_sql()} select round, bucket, class, round(g, 6) + 0.0 as g, round(h, 6) + 0.0 as h, round(g / (h + 1e-6) * {LR}, 6) + 0.0 as leaf from cells")
+def hash_leaf_table(spark, sf_dir):
+    cells = with_leaf(cell_sums(bucketed(embeddings(spark, sf_dir))))
+    return cells.select("round", "bucket", "class", rounded("g").alias("g"), rounded("h").alias("h"), rounded("leaf").alias("leaf"))
+
+
+@query(
+    "hash_leaf_update",
+    f"""with {_BUCKETS}, {_cells_sql('vec_id % 2 = 0', 'old')}, {_cells_sql('vec_id % 2 = 1', 'more')},
+ merged as (select coalesce(o.round, m.round) as round, coalesce(o.bucket, m.bucket) as bucket, coalesce(o.class, m.class) as class, coalesce(o.g, 0) + coalesce(m.g, 0) as g, coalesce(o.h, 0) + coalesce(m.h, 0) as h
+ from old o full join more m on o.round = m.round and o.bucket = m.bucket and o.class = m.class)
+select round, bucket, class, round(g, 6) + 0.0 as g, round(h, 6) + 0.0 as h, round(g / (h + 1e-6) * {LR}, 6) + 0.0 as leaf from merged""",
+)
+def hash_leaf_update(spark, sf_dir):
+    """Sums of one batch, merged into those of another: a union and a sum do what a full outer join would."""
+    rows = embeddings(spark, sf_dir)
+    old, more = (cell_sums(bucketed(rows.where(F.col("vec_id") % 2 == k))) for k in (0, 1))
+    cells = with_leaf(old.unionByName(more).groupBy("round", "bucket", "class").agg(F.sum("g").alias("g"), F.sum("h").alias("h")))
+    return cells.select("round", "bucket", "class", rounded("g").alias("g"), rounded("h").alias("h"), rounded("leaf").alias("leaf"))
+
+
+_LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LINE_MIDPOINTS = [25.0, 30000.0, 0.05, 0.04]
+
+
+@query(
+    "lineitem_hash_leaves",
+    f"""with r as (select l_returnflag as label, ({' + '.join(f'case when {c} <= {m} then {1 << b} else 0 end' for b, (c, m) in enumerate(zip(_LINE_FEATURES, _LINE_MIDPOINTS, strict=True)))})::int as bucket from lineitem),
+ k as (select distinct l_returnflag as class from lineitem), n as (select count(*) as k from k)
+select bucket, class, round(-sum(1.0::double / n.k - (class = label)::int) / (sum(1.0::double / n.k * (1 - 1.0::double / n.k) + 1e-3) + 1e-6) * {LR}, 6) + 0.0 as leaf from r, k, n group by bucket, class""",
+)
+def lineitem_hash_leaves(spark, sf_dir):
+    """One hash over a larger feature matrix, class by return flag: one partial aggregation, then cells by class."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.array(*(F.col(c).cast("double") for c in _LINE_FEATURES)).alias("x"), F.col("l_returnflag").alias("label"))
+    counts = rows.select(bucket(F.col("x"), [0, 1, 2, 3], _LINE_MIDPOINTS).alias("bucket"), "label").groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    classes = [r[0] for r in counts.select("label").distinct().orderBy("label").collect()]  # one row a class
+    p = 1.0 / max(1, len(classes))
+    cells = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("m")).select("bucket", "n", "m", F.explode(F.array(*map(F.lit, classes))).alias("class"))
+    g = -(F.col("n") * p - F.coalesce(F.try_element_at("m", F.col("class")), F.lit(0)))
+    return cells.select("bucket", "class", rounded(g / (F.col("n") * (p * (1 - p) + 1e-3) + 1e-6) * LR).alias("leaf"))
+
+
+# prediction with the demonstration hashes
+
+_STAGES = f"""{_BUCKETS}, {_cells_sql()},
+ s as (select vec_id, label, 0 as round, c::int as class, ln(1.0::double / {CLASSES}) as logit from embeddings, range({CLASSES}) t(c)
+  union all select b.vec_id, b.label, b.round + 1, k.class, k.g / (k.h + 1e-6) * {LR} from b join cells k on k.round = b.round and k.bucket = b.bucket),
+ z as (select vec_id, label, class, sum(logit) as logit from s where round > 0 group by vec_id, label, class),
+ x as (select *, exp(logit - max(logit) over (partition by vec_id)) as e from z),
+ p as (select vec_id, label, class, e / sum(e) over (partition by vec_id) as p from x),
+ a as (select vec_id, label, class as prediction from (select *, row_number() over (partition by vec_id order by round(logit, 9) desc, class) as rn from z) where rn = 1)"""
+
+
+def stages(spark, sf_dir) -> DataFrame:
+    """(id, label, round, class, logit); the leaf table is rounds x buckets x classes cells, sent to all tasks."""
+    rows = embeddings(spark, sf_dir)
+    at = bucketed(rows)
+    found = at.join(F.broadcast(with_leaf(cell_sums(at))), ["round", "bucket"], "left").select(F.col("vec_id").alias("id"), "label", (F.col("round") + 1).alias("round"), "class", F.coalesce("leaf", F.lit(0.0)).alias("logit"))
+    first = rows.select(F.col("vec_id").alias("id"), "label", F.lit(0).alias("round"), F.posexplode(F.array(*map(F.lit, uniform_logits(CLASSES)))).alias("class", "logit"))
+    return first.unionByName(found)
+
+
+def logit_arrays(spark, sf_dir) -> DataFrame:
+    """(id, label, logits): one row a series."""
+    sums = stages(spark, sf_dir).where("round > 0").groupBy("id", "label", "class").agg(F.sum("logit").alias("logit"))
+    return sums.groupBy("id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "logit"))), lambda x: x["logit"]).alias("logits"))
+
+
+@query("predict_logits", f"with {_STAGES} select vec_id, class, round(logit, 6) + 0.0 as logit from z")
+def predict_logits(spark, sf_dir):
+    rows = logit_arrays(spark, sf_dir).select(F.col("id").alias("vec_id"), F.posexplode("logits").alias("class", "logit"))
+    return rows.select("vec_id", "class", rounded("logit").alias("logit"))
+
+
+@query("predict_proba", f"with {_STAGES} select vec_id, class, round(p, 6) + 0.0 as proba from p")
+def predict_proba(spark, sf_dir):
+    rows = logit_arrays(spark, sf_dir).select(F.col("id").alias("vec_id"), F.posexplode(softmax(F.col("logits"))).alias("class", "proba"))
+    return rows.select("vec_id", "class", rounded("proba").alias("proba"))
+
+
+def predictions(spark, sf_dir) -> DataFrame:
+    rows = logit_arrays(spark, sf_dir)
+    return rows.select("id", "label", softmax(F.col("logits")).alias("proba"), argmax(F.transform("logits", lambda x: F.round(x, 9))).alias("prediction"))
+
+
+@query("predict_label", f"with {_STAGES} select vec_id, prediction from a")
+def predict_label(spark, sf_dir):
+    return predictions(spark, sf_dir).select(F.col("id").alias("vec_id"), "prediction")
+
+
+@query(
+    "predict_staged",
+    f"with {_STAGES} select vec_id, round::int as round, class, round(logit, 6) + 0.0 as logit, round(sum(logit) over (partition by vec_id, class order by round), 6) + 0.0 as running from s",
+)
+def predict_staged(spark, sf_dir):
+    running = F.sum("logit").over(Window.partitionBy("id", "class").orderBy("round").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return stages(spark, sf_dir).select(F.col("id").alias("vec_id"), "round", "class", rounded("logit").alias("logit"), rounded(running).alias("running"))
+
+
+_STAGED_ERROR = f"""{_STAGES}, t as (select vec_id, label, round, class, round(sum(logit) over (partition by vec_id, class order by round), 9) as total from s),
+ w as (select vec_id, label, round, class, row_number() over (partition by vec_id, round order by total desc, class) as rn from t),
+ err as (select round::int as round, count(*)::bigint as n, avg((class <> label)::int::double) as error_rate from w where rn = 1 group by round)"""
+
+
+def staged(spark, sf_dir) -> DataFrame:
+    rows = stages(spark, sf_dir)
+    running = F.sum("logit").over(Window.partitionBy("id", "class").orderBy("round").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    best = F.max_by(F.col("class"), F.struct("total", -F.col("class")))
+    winners = rows.withColumn("total", F.round(running, 9)).groupBy("id", "round").agg(F.first("label").alias("label"), best.alias("prediction"))
+    return metrics.error_rate(winners, "prediction", "label", "round")
+
+
+@query("predict_staged_error", f"with {_STAGED_ERROR} select round, n, round(error_rate, 6) + 0.0 as error_rate from err")
+def predict_staged_error(spark, sf_dir):
+    return staged(spark, sf_dir).select("round", "n", rounded("error_rate").alias("error_rate"))
+
+
+@query("best_and_last_round", f"with {_STAGED_ERROR} select round(min(error_rate), 6) + 0.0 as best, arg_min(round, (error_rate, round))::int as best_at, round(arg_max(error_rate, round), 6) + 0.0 as last from err")
+def best_and_last_round(spark, sf_dir):
+    return metrics.best_and_last(staged(spark, sf_dir), "round", "error_rate").select(rounded("best").alias("best"), "best_at", rounded("last").alias("last"))
+
+
+@query("error_curve", f"with {_STAGED_ERROR} select string_agg(round::varchar, ',' order by round) as x, string_agg(format('{{:.6f}}', error_rate), ',' order by round) as y from err")
+def error_curve(spark, sf_dir):
+    points = curve(staged(spark, sf_dir), "round", "error_rate")
+    return points.select(F.array_join(F.transform("curve.x", lambda v: v.cast("string")), ",").alias("x"), F.array_join(F.transform("curve.y", lambda v: F.format_string("%.6f", v)), ",").alias("y"))
+
+
+@query("error_rate", f"with {_STAGES} select count(*)::bigint as n, round(avg((prediction <> label)::int::double), 6) + 0.0 as error_rate from a")
+def error_rate(spark, sf_dir):
+    return metrics.error_rate(predictions(spark, sf_dir)).select("n", rounded("error_rate").alias("error_rate"))
+
+
+@query("log_loss", f"with {_STAGES} select count(*)::bigint as n, round(avg(-ln(least(greatest(p, 1.1920929e-07), 1 - 1.1920929e-07))), 6) + 0.0 as log_loss from p where class = label")
+def log_loss(spark, sf_dir):
+    return metrics.log_loss(predictions(spark, sf_dir)).select("n", rounded("log_loss").alias("log_loss"))
+
+
+@query("confusion_matrix", f"with {_STAGES} select label, prediction, count(*)::bigint as n from a group by label, prediction")
+def confusion_matrix(spark, sf_dir):
+    return metrics.confusion_matrix(predictions(spark, sf_dir))
+
+
+@query("error_by_class", f"with {_STAGES} select label, count(*)::bigint as n, round(avg((prediction <> label)::int::double), 6) + 0.0 as error_rate from a group by label")
+def error_by_class(spark, sf_dir):
+    return metrics.error_rate(predictions(spark, sf_dir), "prediction", "label", "label").select("label", "n", rounded("error_rate").alias("error_rate"))
+
+
+@query("batch_log_loss", f"with {_PROBA} select count(*)::bigint as n, round(avg(-ln(least(greatest(p, 1.1920929e-07), 1 - 1.1920929e-07))), 6) + 0.0 as log_loss from p where cls = label")
+def batch_log_loss(spark, sf_dir):
+    return demo_proba(spark, sf_dir).agg(F.count("*").alias("n"), rounded(F.avg(clipped_log_loss(F.col("proba"), F.col("label")))).alias("log_loss"))
+
+
+# learners. They choose at random or go through batches one by one: tested by properties and small cases instead of SQL
+
+
+def featured(spark, sf_dir, **kwargs) -> DataFrame:
+    rows = dataset(spark, sf_dir).df
+    return Quant(length=LENGTH, **kwargs).transform(rows).select("id", "features", "label")
+
+
+def _splits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    key = shuffle_key("id", SEED)
+    return rows.where(key < 0.8 * (1 << 32)), rows.where(key >= 0.8 * (1 << 32))
+
+
+@query("hashboost_train_curve")
+def hashboost_train_curve(spark, sf_dir):
+    rows = featured(spark, sf_dir, method="arrow").persist()
+    train, valid = _splits(rows)
+    booster = HashBoost(CLASSES, num_pairs=6, lr=0.1, seed=SEED)
+    batch = lambda epoch: [train.where(F.pmod(F.floor(shuffle_key("id", SEED, epoch) / 1024), F.lit(4)) == i) for i in range(4)]
+    found = learning_curve(booster, batch, {"train": train, "valid": valid}, epochs=2)
+    rows.unpersist()
+    return spark.createDataFrame([(r["split"], r["epoch"], r["batches"], r["error_rate"]) for r in found], "split string, epoch int, batches int, error_rate double")
+
+
+@query("forest_train")
+def forest_train(spark, sf_dir):
+    from strataloom.operators.forest import QuantForest
+
+    data = dataset(spark, sf_dir, seed=SEED)
+    train, valid = (data.view(df) for df in _splits(data.df))
+    forest = QuantForest(num_estimators=8, limit_mb=max(0.01, train.shape[0] * LENGTH * 4 / 2 / (1 << 20)), depth=3).fit(train)
+    found = [(name, len(forest.trees), *forest.score_log_loss(d)) for name, d in (("train", train), ("valid", valid))]
+    return spark.createDataFrame(found, "split string, trees int, error_rate double, log_loss double")
+
+
+@query("mllib_baselines")
+def mllib_baselines(spark, sf_dir):
+    from strataloom.operators.baselines import BASELINES, run_baseline
+
+    rows = dataset(spark, sf_dir).flat().persist()
+    train, valid = _splits(rows)
+    less = {"tree": {}, "forest": {"trees": 5, "max_depth": 8}, "boosted_leafwise": {"rounds": 1, "max_depth": 2}}
+    found = [(b.name, b.substitute, split, err) for b in BASELINES if b.name in less for split, err in run_baseline(b, train, {"train": train, "valid": valid}, **less[b.name]).items()]
+    rows.unpersist()
+    return spark.createDataFrame(found, "learner string, substitute string, split string, error_rate double")
+
+
+@query("streaming_fit")
+def streaming_fit(spark, sf_dir):
+    """The online learner over a file stream of the table, until all of it has been read."""
+    from strataloom.streaming.online import OnlineTrainer
+
+    rows = embeddings(spark, sf_dir)
+    source = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/embeddings.parquet*").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), "label")
+    trainer = OnlineTrainer(HashBoost(CLASSES, num_pairs=4, seed=SEED))
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_streams"
+    trainer.start(source, f"{base}/{uuid.uuid4().hex}").awaitTermination()
+    return trainer.booster.leaf_table(spark)
+
+
+@query("results_json")
+def results_json(spark, sf_dir):
+    """The nested document of a run, as one JSON text."""
+    points = curve(staged(spark, sf_dir).withColumn("split", F.lit("train")), "round", "error_rate", "split")
+    document = F.struct(F.lit("embeddings").alias("dataset"), F.struct(F.lit("quant").alias("name"), F.lit(DEPTH).alias("depth"), F.lit(DIV).alias("div")).alias("transform"), F.col("split"), F.struct(F.lit("round").alias("x_name"), F.col("curve").alias("error_rate")).alias("results"))
+    return points.select(F.to_json(document).alias("document"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """QUANT features, three boosting rounds, error rates by split."""
+    rows = featured(spark, sf_dir, method="native").persist()
+    train, valid = _splits(rows)
+    booster = HashBoost(CLASSES, num_pairs=6, seed=SEED)
+    for i in range(3):
+        booster.fit_batch(train.where(F.pmod(F.floor(shuffle_key("id", SEED) / 1024), F.lit(3)) == i))
+    parts = [booster.predict_proba(df).withColumn("split", F.lit(name)) for name, df in (("train", train), ("valid", valid))]
+    return metrics.error_rate(parts[0].unionByName(parts[1]).withColumn("prediction", argmax(F.col("proba"))), "prediction", "label", "split")
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
