@@ -16,7 +16,7 @@ benchmark's shingles are sent to all tasks, and only if there are at most MAX_SE
 shuffling marked positions instead.
 
 Defined cases: null, empty and wordless texts and items match nothing; items repeated under several ids match under each;
-a null id is reported as null; repeated rows are reported once; an empty table gives no rows.
+null ids of documents and items are reported as null; repeated rows are reported once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -65,11 +65,12 @@ def block(fp: str | Column, k: int) -> Column:
 
 
 def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """item, size (of its shingles), n (their number), and its shingle hashes."""
-    words = once(pick(benchmark, item=id_col, text=text_col).where(F.col("text").isNotNull()).distinct(), "words", word_hashes(F.col("text"))).where(F.size("words") > 0)
+    """item (a number for its id and text), item_id, size (of its shingles), n (their number), and its shingle hashes."""
+    own = pick(benchmark, item_id=id_col, text=text_col).where(F.col("text").isNotNull()).distinct().withColumn("item", F.xxhash64("item_id", "text"))
+    words = once(own, "words", word_hashes(F.col("text"))).where(F.size("words") > 0)
     words = words.withColumn("size", F.least(F.size("words"), F.lit(SIZE)))
     per_size = reduce(lambda x, k: x.when(F.col("size") == k, shingle_hashes("words", k)), range(2, SIZE + 1), F.when(F.col("size") == 1, shingle_hashes("words", 1)))
-    return once(words, "shingles", per_size).select("item", "size", F.size("shingles").alias("n"), "shingles")
+    return once(words, "shingles", per_size).select("item", "item_id", "size", F.size("shingles").alias("n"), "shingles")
 
 
 def marked(docs: DataFrame, known: DataFrame, sent: list[int] | None, size: int) -> DataFrame:
@@ -131,8 +132,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     close = close.join(whole.select("item", "weight", "entries"), "item")
     shared = F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["w"] * F.least(e["c"], F.size(F.filter("part", lambda h: h == e["h"]))))
     close = once(close, "shared", shared).withColumn("similarity", F.col("shared") / (F.col("own_weight") + F.col("weight") - F.col("shared"))).where(F.col("similarity") >= similarity - 1e-9)
-    best = close.groupBy("id", "text_hash", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "hamming")).alias("x"))
-    return best.select("id", "text_hash", F.col("item").alias("item_id"), F.round("x.similarity", 9).alias("similarity"), "x.hamming", (-F.col("x.s")).alias("start"))
+    close = close.join(items.select("item", "item_id"), "item")
+    best = close.groupBy("id", "text_hash", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "hamming")).alias("x"))
+    return best.select("id", "text_hash", F.col("item_id").cast("long").alias("item_id"), F.round("x.similarity", 9).alias("similarity"), "x.hamming", (-F.col("x.s")).alias("start"))
 
 
 def op4(spark, sf_dir) -> DataFrame:
