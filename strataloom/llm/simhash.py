@@ -12,6 +12,9 @@ parts of the bits outside its exact segment (three parts, at most two errors: on
 expanded into all pairs: each gives the edges of a spanning forest, found block by block or, in large groups, by looking
 up every fingerprint one or two flips away.
 
+keep_one() works on whole texts at a similarity of 0.8 and five-word shingles, where fingerprints differ in far more than two
+bits: there passages are named by their decoded SimHash, and fingerprints of 256 bits verify what shares two of them.
+
 Defined cases: null and empty texts have the fingerprint zero, linked like any other; a null id has a fingerprint and the
 component of its equals, but is never the smallest id of a component (null if no other is there); repeated rows stay
 separate rows of one component; an empty table gives no rows.
@@ -223,23 +226,180 @@ def groups(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str
     return fps.join(of, F.col("fp") == F.col("its")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
-    """docs with one row of each component, the one with the smallest id; all columns stay as they are."""
+# near copies of whole texts: passages find the candidates, long fingerprints verify them
+
+PASSAGE = 8  # shingles of a passage on average
+CHOSEN = 7  # passages of a document that make its keys, two by two
+WIDE_BITS = 256  # of a document's fingerprint: four words of 64
+_SALTS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
+
+
+def wide_radius(similarity: float) -> int:
+    """Differing bits of WIDE_BITS to be expected at a Jaccard similarity, of shingle sets of one size."""
+    return int(WIDE_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(salt)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _bits(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+
+
+def _packed(ones: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return np.packbits(ones * 2 > of, axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def golay_name(fps: np.ndarray) -> np.ndarray:
+    """Codeword indices of the three segments together: 36 bits that small changes mostly leave as they are."""
+    out = np.zeros(len(fps), np.uint64)
+    for k in range(3):
+        out = (out << np.uint64(12)) | golay_index(segment(fps, k)).astype(np.uint64)
+    return out
+
+
+def signature(words: list[bytes], size: int = 5) -> tuple[np.ndarray, int, np.ndarray]:
+    """Four words of the document's fingerprint, its number of shingles, and its keys.
+
+    Passages end where a shingle's hash says so, so an edit changes the passages it touches and no others. A passage is
+    named by its decoded SimHash. The CHOSEN names that come first by hash are taken two by two; of three or fewer each
+    alone as well.
+    """
+    if not words:
+        return np.zeros(4, np.uint64), 0, np.zeros(1, np.uint64)
+    h64 = xxhash.xxh64_intdigest
+    shingles = (words,) if len(words) < size else zip(*(words[i:] for i in range(size)), strict=False)
+    h = np.array([h64(b" ".join(s), 42) for s in shingles], np.uint64)
+    wide = np.zeros((4, 64), np.int64)
+    for lo in range(0, len(h), 8192):
+        for k, salt in enumerate(_SALTS):
+            wide[k] += _bits(_mixed(h[lo : lo + 8192], salt)).sum(0, dtype=np.int32)
+    start = np.flatnonzero(np.r_[True, _mixed(h[:-1], 0x2545F4914F6CDD1D) % np.uint64(PASSAGE) == 0])
+    ones = np.concatenate([np.add.reduceat(_bits(h[a:b]), start[(start >= a) & (start < b)] - a, axis=0, dtype=np.int32) for a, b in _slices(start, len(h))])
+    names = np.unique(golay_name(_packed(ones, np.diff(np.r_[start, len(h)])[:, None])))
+    names = _mixed(names, _SALTS[0])
+    names.sort()
+    names = names[:CHOSEN]
+    i, j = np.triu_indices(len(names), 0 if len(names) <= 3 else 1)
+    return _packed(wide, np.array([[len(h)]])), len(h), _mixed(names[i] + _mixed(names[j], _SALTS[1]), _SALTS[2])
+
+
+def _slices(start: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Stretches of whole passages, of about 8192 shingles or one passage."""
+    out, a = [], 0
+    while a < n:
+        further = start[start >= a + 8192]
+        b = int(further[0]) if len(further) else n
+        out.append((a, b))
+        a = b
+    return out
+
+
+def wide_links(f: np.ndarray, n: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of one group: fingerprints f [members, 4] within radius whose sizes n allow the similarity."""
+    root = np.arange(len(f))
+    for lo in range(0, len(f), BLOCK):
+        for to in range(lo, len(f), BLOCK):
+            near = sum(np.bitwise_count(f[lo : lo + BLOCK, None, k] ^ f[None, to : to + BLOCK, k]).astype(np.int16) for k in range(4)) <= radius
+            a, b = n[lo : lo + BLOCK, None], n[None, to : to + BLOCK]
+            near &= np.minimum(a, b) >= similarity * np.maximum(a, b)
+            i, j = np.nonzero(near)
+            root = local_forest(np.concatenate([i + lo, np.arange(len(f))]), np.concatenate([j + to, root]), len(f))
+    tied = np.flatnonzero(root != np.arange(len(f)))
+    return tied, root[tied]
+
+
+SIGNED = "sig long, f0 long, f1 long, f2 long, f3 long, n long"
+
+
+def near_linked(signed: DataFrame, similarity: float, hot: int = 4 * BLOCK) -> DataFrame:
+    """Edges (a, b) of signatures (SIGNED and keys) that share a key and are close enough; a forest for each key.
+
+    A key with more than `hot` different signatures is dealt out as pairs of blocks of that many, each pair a task's work.
+    """
+    spark = signed.sparkSession
+    radius, n = wide_radius(similarity), shuffle_partitions(spark)
+    keyed = signed.select(F.explode("keys").alias("key"), "sig")
+    sizes = saved(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "near-keys")
+    blocks = F.ceil(F.col("members") / hot).cast("int")
+    rows = keyed.join(sizes.select(F.col("key").alias("k"), blocks.alias("blocks")), F.col("key") == F.col("k")).drop("k")
+    mine = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)))
+    rows = rows.withColumn("key", F.explode(F.when(F.col("blocks") > 1, tiles).otherwise(F.array("key")))).drop("blocks")
+    whole = rows.join(signed.select(F.col("sig").alias("s"), "f0", "f1", "f2", "f3", "n"), F.col("sig") == F.col("s")).drop("s")
+
+    def verify(batches):
+        held = None
+        for batch in batches:
+            rows = np.stack([batch.column(i).to_numpy() for i in range(7)], 1)
+            held = rows if held is None else np.concatenate([held, rows])
+            cut = int(np.searchsorted(held[:, 0], held[-1, 0]))
+            if cut:
+                yield _near_edges(held[:cut], radius, similarity)
+                held = held[cut:]
+        if held is not None:
+            yield _near_edges(held, radius, similarity)
+
+    sorted_ = whole.select("key", "sig", "f0", "f1", "f2", "f3", "n").repartition(n, "key").sortWithinPartitions("key", "sig")
+    return sorted_.mapInArrow(verify, "a long, b long").distinct()
+
+
+def _near_edges(rows: np.ndarray, radius: int, similarity: float) -> pa.RecordBatch:
+    """rows sorted by key: key, sig, f0..f3, n."""
+    key, sig, f, n = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:6]).view(np.uint64), rows[:, 6]
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[start, len(key)])
+    own = np.repeat(size, size)
+    first, second = [], []
+    for d in range(1, int(size[size <= 64].max(initial=0))):
+        i = np.flatnonzero((key[d:] == key[:-d]) & (own[d:] <= 64))
+        i = i[np.bitwise_count(f[i] ^ f[i + d]).sum(1) <= radius]
+        i = i[np.minimum(n[i], n[i + d]) >= similarity * np.maximum(n[i], n[i + d])]
+        first.append(i)
+        second.append(i + d)
+    for g in np.flatnonzero(size > 64):
+        i, j = wide_links(f[start[g] : start[g] + size[g]], n[start[g] : start[g] + size[g]], radius, similarity)
+        first.append(i + start[g])
+        second.append(j + start[g])
+    i, j = (np.concatenate([*x, np.zeros(0, int)]).astype(int) for x in (first, second))
+    names, at = np.unique(np.concatenate([sig[i], sig[j]]), return_inverse=True)
+    root = local_forest(at[: len(i)], at[len(i) :], len(names))
+    tied = root != np.arange(len(names))
+    return pa.RecordBatch.from_arrays([pa.array(names[root[tied]]), pa.array(names[tied])], ["a", "b"])
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near copies, the one with the smallest id; all columns stay as they are.
+
+    Near copies share two of their chosen passages and have an estimated Jaccard similarity of at least `similarity`
+    (their 256-bit fingerprints differ in no more bits than are expected there); groups are components of such links.
+    Texts without words are copies of each other.
+    """
     mark = F.xxhash64(F.lit(1), docs["text"])
     tagged = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"), mark.alias("mark"))
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(words_of(t.as_py()), size) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["id", "mark", "fp"])
-
-    fps = saved(tagged.mapInArrow(run, "id long, mark long, fp long"), "simhash")
-    roots = saved(roots_of(fps), "simhash-roots")
+            made = [signature(words_of(t.as_py()), size) for t in batch.column(1)]
+            f = np.array([m[0] for m in made]).reshape(-1, 4)
+            n = np.array([m[1] for m in made], np.int64)
+            sig = _mixed(f[:, 0] ^ _mixed(f[:, 1], _SALTS[0]) ^ _mixed(f[:, 2], _SALTS[1]) ^ _mixed(f[:, 3], _SALTS[2]) ^ _mixed(n.astype(np.uint64), _SALTS[3]), _SALTS[0])
+            columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (sig, *f.T, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, pa.array([m[2].view(np.int64) for m in made], pa.list_(pa.int64()))], ["id", "mark", "sig", "f0", "f1", "f2", "f3", "n", "keys"])
+
+    made = saved(tagged.mapInArrow(run, f"id long, mark long, {SIGNED}, keys array<long>"), "near-signatures")
+    signed = saved(made.groupBy("sig").agg(*(F.min(c).alias(c) for c in ("f0", "f1", "f2", "f3", "n")), F.first("keys").alias("keys")), "near-distinct")
+    roots = components(near_linked(signed, similarity))
+    roots = saved(signed.join(roots, F.col("sig") == F.col("node"), "left").select(F.col("sig").alias("its"), F.coalesce("root", "sig").alias("root")), "near-roots")
     rank = F.struct(F.col("id").isNull().alias("null"), F.col("id").alias("id"), F.col("mark").alias("mark"))
-    rows = fps.groupBy("fp", "id", "mark").agg(F.count("*").alias("n"))  # repeated rows are one here
-    of = rows.join(roots, F.col("fp") == F.col("its"))
-    first = of.groupBy("root").agg(F.min(rank).alias("first"), F.sum("n").alias("size")).where("size > 1")
-    of = saved(of.join(first, "root").withColumn("stays", rank.eqNullSafe(F.col("first"))).where("not stays or n > 1").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "stays"), "simhash-copies")
+    rows = made.groupBy("sig", "id", "mark").agg(F.count("*").alias("copies"))  # repeated rows are one here
+    of = saved(rows.join(roots, F.col("sig") == F.col("its")).select("root", "id", "mark", "copies"), "near-rows")
+    first = saved(of.groupBy("root").agg(F.min(rank).alias("first"), F.sum("copies").alias("size")).where("size > 1").withColumnRenamed("root", "r"), "near-first")
+    of = of.join(first, F.col("root") == F.col("r")).withColumn("stays", rank.eqNullSafe(F.col("first"))).where("not stays or copies > 1")
+    of = saved(of.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "stays"), "near-copies")
     same = lambda df, other: df["doc_id"].eqNullSafe(other["__id"]) & (F.xxhash64(F.lit(1), df["text"]) == other["__mark"])
     out = of.where("not stays")
     kept = docs.join(out, on=same(docs, out), how="left_anti")
