@@ -37,7 +37,7 @@ SENSITIVE = {
 }
 HARMLESS = ["example", "placeholder", "changeme", "your", "none", "null", "true", "false", "undefined", "todo", "redacted", "xxxx", "****", "file", "path", "url", "length", "count"]
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{1,63}"
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,63}"
 #: Name, optional type, sign, then a quoted literal with its quotes or a bare one.
 PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-$])["']?({_NAME})["']?(?:[\x20\t]*:[\x20\t]*[A-Za-z_]+(?=[\x20\t]*=))?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:"([^"\n]{{1,4096}})"|'([^'\n]{{1,4096}})'|(\$?\{{?[A-Za-z0-9+/_.=\-]{{1,4096}}\}}?))""")
 TAG = re.compile(rf"<({_NAME})>([^<\n]{{2,4096}})</\1>")
