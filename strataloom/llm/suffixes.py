@@ -25,6 +25,7 @@ PIECE bytes are worked through in overlapping pieces; an empty table gives no ro
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -41,11 +42,12 @@ LENGTH = 50
 GRAM = 20
 PIECE = 1 << 20
 MANY = 16  # different runs under one anchor in one task from which it is announced
-FLUSH = 3_000_000  # entries that a task holds before it sends them
+FLUSH = 1_000_000  # entries that a task holds before it sends them
 
 _U = np.uint64
 _M = 0x9E3779B97F4A7C15
 _SPOT = 21  # bits of a position in a piece with its overlap
+SPOTS = 40  # bits of a position in a text
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -133,7 +135,7 @@ def pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
                 yield part, np.array([len(part)]), np.array([i]), np.array([lo - at[i]])
             i += 1
             continue
-        j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE // 2, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE // 4, "right")) - 1)
         yield data[at[i] : at[j]], at[i + 1 : j + 1] - at[i], np.arange(i, j), np.zeros(j - i, np.int64)
         i = j
 
@@ -192,9 +194,11 @@ def _rows(buckets: list[int], blobs: list[bytes]) -> pa.RecordBatch:
 
 def by_bucket(bucket: np.ndarray, columns: list[np.ndarray], deltas: int | None = None, shift: int = 0) -> pa.RecordBatch:
     """One row a bucket; within a bucket entries keep their order; column number `deltas` as differences."""
+    if not len(bucket):
+        return _rows([], [])
     order = np.argsort(bucket, kind="stable")
     bucket, columns = bucket[order], [c[order] for c in columns]
-    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
+    start = np.flatnonzero(firsts(bucket))
     names, blobs = [], []
     for lo, hi in zip(start, np.r_[start[1:], len(bucket)], strict=True):
         own = [c[lo:hi] for c in columns]
@@ -238,8 +242,9 @@ def anchors_of(batches: Iterator[pa.RecordBatch], n: int, docs_n: int) -> Iterat
             return
         gram, run, doc = (np.concatenate([h[k] for h in held]) for k in range(3))
         held.clear()
-        order = np.lexsort((doc, run, gram))
+        order = multikey_order([gram, run, doc])
         gram, run, doc = gram[order], run[order], doc[order]
+        del order
         keep = firsts(gram, run, doc)
         gram, run, doc = gram[keep], run[keep], doc[keep]
         covered, partial, _ = settle_runs(gram, run, doc, MANY)
@@ -250,6 +255,8 @@ def anchors_of(batches: Iterator[pa.RecordBatch], n: int, docs_n: int) -> Iterat
         yield by_bucket(doc_bucket(doc[known], docs_n), [doc[known], run[known] * _U(2) + partial[known].astype(np.uint64)], shift=n)
         gram, run, doc = gram[sent], run[sent], doc[sent]
         yield by_bucket(((gram >> _U(32)) * _U(n) >> _U(32)).astype(np.int64), [gram, run, doc], deltas=0)
+        del gram, run, doc, keep, covered, partial, number, sent, known
+        give_back()
 
     for batch in batches:
         ids = batch.column(0)
@@ -276,7 +283,8 @@ def compare_runs(key: int, blobs: list[bytes], n: int, docs_n: int) -> pa.Record
         return _rows([key - n] * len(blobs), blobs)
     parts = [unpack(b, "uui") for b in blobs]
     gram, run, doc = (np.concatenate([np.cumsum(p[0], dtype=np.uint64) if k == 0 else p[k] for p in parts]) for k in range(3))
-    order = np.lexsort((doc, run, gram))
+    del parts
+    order = multikey_order([gram, run, doc])
     gram, run, doc = gram[order], run[order], doc[order]
     covered, partial, _ = settle_runs(gram, run, doc, None)
     known = covered | partial
@@ -298,17 +306,31 @@ def spread(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nda
 
 
 def merged(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows first..last as stretches that neither touch nor overlap, by doc and place."""
+    """Windows first..last as stretches that neither touch nor overlap, by doc and place. Places hold the text's number above SPOTS bits."""
     if not len(doc):
         return doc, first, last
     order = np.lexsort((first, doc))
     doc, first, last = doc[order], first[order], last[order]
-    group = np.cumsum(firsts(doc))
-    far = np.int64(1) << 40
-    reach = np.maximum.accumulate(last + group * far)
-    new = np.r_[True, (first[1:] + group[1:] * far) > reach[:-1] + 1]
+    text = first >> SPOTS
+    group = np.cumsum(firsts(doc, text)) << SPOTS
+    low = np.int64((1 << SPOTS) - 1)
+    reach = np.maximum.accumulate((last & low) + group)
+    new = np.r_[True, (first[1:] & low) + group[1:] > reach[:-1] + 1]
     start = np.flatnonzero(new)
-    return doc[start], first[start], reach[np.r_[start[1:], len(doc)] - 1] - group[start] * far
+    end = np.r_[start[1:], len(doc)] - 1
+    return doc[start], first[start], (reach[end] - group[start]) | (text[start] << SPOTS)
+
+
+def text_numbers(doc: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """0 for the text of an id that one row has; rows that share an id are told apart by their different texts."""
+    out = np.zeros(len(doc), np.int64)
+    names, number, count = np.unique(doc, return_inverse=True, return_counts=True)
+    rows = np.flatnonzero(count[number] > 1)
+    texts: dict[int, dict[bytes, int]] = {}
+    for i in sorted(rows, key=lambda i: hashlib.sha256(data[at[i] : at[i + 1]]).digest()):
+        own = texts.setdefault(int(doc[i]), {})
+        out[i] = own.setdefault(hashlib.sha256(data[at[i] : at[i + 1]]).digest(), len(own))
+    return out
 
 
 def windows_of(doc: np.ndarray, texts: pa.Array, blobs: list[bytes], splitters: tuple[np.ndarray, np.ndarray], docs_n: int) -> Iterator[pa.RecordBatch]:
@@ -326,6 +348,7 @@ def windows_of(doc: np.ndarray, texts: pa.Array, blobs: list[bytes], splitters:
     by_key = np.argsort(whole_keys, kind="stable")  # of both flags for one run, from a task and from a bucket, covered comes first
     keys, flags = whole_keys[by_key], (its_run & _U(1))[by_key]
     data, at = utf8_parts(texts)
+    nth = text_numbers(doc, data, at) << SPOTS
     done, left = [], []
     for part, ends, row, offset in pieces(data, at):
         lo, hi, text, _, run, hashes = runs(part, ends)
@@ -335,7 +358,7 @@ def windows_of(doc: np.ndarray, texts: pa.Array, blobs: list[bytes], splitters:
         first = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
         found = keys[first] == own
         covered = found & (flags[first] == 0)
-        begin = np.r_[0, ends[:-1]] - offset  # of the text in the part
+        begin = np.r_[0, ends[:-1]] - offset - nth[row]  # of the text in the part
         done.append((doc[row[text[covered]]], lo[covered] - begin[text[covered]], hi[covered] - begin[text[covered]]))
         open_ = found & ~covered
         if open_.any():
@@ -391,6 +414,7 @@ def kept_rows(doc: np.ndarray, null: np.ndarray, texts: pa.Array, blobs: list[by
     else:
         whose = first = last = np.zeros(0, np.int64)
     lo, hi = np.searchsorted(whose, doc, "left"), np.searchsorted(whose, doc, "right")
+    nth, low = text_numbers(doc, data, at), (1 << SPOTS) - 1
     removed, spans, digests = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64), []
     for i in range(len(doc)):
         raw = data[at[i] : at[i + 1]]
@@ -398,10 +422,12 @@ def kept_rows(doc: np.ndarray, null: np.ndarray, texts: pa.Array, blobs: list[by
         here = 0
         if not null[i]:
             for k in range(lo[i], hi[i]):
-                digest.update(raw[here : first[k]])
-                removed[i] += last[k] + 1 - first[k]
-                here = int(last[k]) + 1
-            spans[i] = hi[i] - lo[i]
+                if first[k] >> SPOTS == nth[i]:
+                    start, end = int(first[k]) & low, (int(last[k]) & low) + 1
+                    digest.update(raw[here:start])
+                    removed[i] += end - start
+                    spans[i] += 1
+                    here = end
         digest.update(raw[here:])
         digests.append(digest.hexdigest())
     return pa.RecordBatch.from_arrays([pa.array(doc, mask=null), pa.array(np.diff(at)), pa.array(removed), pa.array(spans), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -433,8 +459,7 @@ def sampled_splitters(docs: DataFrame, n: int, rows: int = 2000, each: int = 32)
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
     """Documents with their bucket, covered windows (bucket, data) and the number of buckets."""
     docs = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    n = shuffle_partitions(docs.sparkSession)
-    docs_n = 2 * n
+    n = docs_n = 2 * shuffle_partitions(docs.sparkSession)  # a bucket is held in memory
 
     def anchors(batches):
         return anchors_of(batches, n, docs_n)
@@ -456,6 +481,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         some = pc.is_valid(ids)
         own = left.filter(some)
         made = list(windows_of(own.column("id").to_numpy(), _one(own.column("text")), right.column("data").to_pylist(), splitters, docs_n)) if own.num_rows else []
+        give_back()
         return pa.Table.from_batches(made, schema=_OUT)
 
     def resolve(key, tables):
@@ -473,7 +499,18 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
 
 
 def _grouped(key, table_: pa.Table, fn) -> pa.Table:
-    return pa.Table.from_batches([fn(key[0].as_py(), table_.column("data").to_pylist())], schema=_OUT)
+    made = pa.Table.from_batches([fn(key[0].as_py(), table_.column("data").to_pylist())], schema=_OUT)
+    give_back()
+    return made
+
+
+def give_back() -> None:
+    """Returns memory that the allocators hold without need to the system; executors run several workers side by side."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
