@@ -8,7 +8,7 @@ document are ruled out first, without loss:
    A run that a smaller document has as a whole is covered. Runs under an anchor that other runs share may match in part;
    of equal ones the smallest document's stands for all. All other runs match nothing.
 2. The windows of those runs are the suffixes left. Each is known by its first eight bytes and a fingerprint of all 50.
-   Splitters sampled from the texts range-partition them by these leading tokens; each bucket sorts its suffixes by
+   Splitters sampled from them range-partition them by these leading tokens; each bucket sorts its suffixes by
    multikey quicksort (words of eight bytes, ties refined by the next word, then by document). Splitters lie between
    different suffixes, so equal ones never straddle a boundary: the first of a run of equals decides it.
 3. Covered windows go back to their documents, which drop the covered bytes.
@@ -333,11 +333,12 @@ def text_numbers(doc: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarra
     return out
 
 
-def windows_of(doc: np.ndarray, texts: pa.Array, blobs: list[bytes], splitters: tuple[np.ndarray, np.ndarray], docs_n: int) -> Iterator[pa.RecordBatch]:
-    """Buckets 0..: suffixes (lead, fingerprint, doc, place) by the splitters; buckets above: covered (doc, first, last)."""
-    n = len(splitters[0]) + 1
+def open_windows(doc: np.ndarray, texts: pa.Array, blobs: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of a bucket's documents: covered (doc, first, last), and the suffixes left to be compared, (lead, fingerprint, doc, place) in order."""
+    none = np.zeros(0, np.int64)
+    cover, left = [none] * 3, [none.astype(np.uint64)] * 2 + [none] * 2
     if not blobs or not len(doc):
-        return
+        return cover, left
     its_doc, its_run = unpack_all(blobs, "iu")
     order = np.lexsort((its_run, its_doc))
     its_doc, its_run = its_doc[order], its_run[order]
@@ -349,7 +350,7 @@ def windows_of(doc: np.ndarray, texts: pa.Array, blobs: list[bytes], splitters:
     keys, flags = whole_keys[by_key], (its_run & _U(1))[by_key]
     data, at = utf8_parts(texts)
     nth = text_numbers(doc, data, at) << SPOTS
-    done, left = [], []
+    done, found_open = [], []
     for part, ends, row, offset in pieces(data, at):
         lo, hi, text, _, run, hashes = runs(part, ends)
         if not len(lo):
@@ -363,18 +364,25 @@ def windows_of(doc: np.ndarray, texts: pa.Array, blobs: list[bytes], splitters:
         open_ = found & ~covered
         if open_.any():
             which, place = spread(text[open_], lo[open_], hi[open_])
-            left.append((leads(part, place), hashes.of(place, place + LENGTH), doc[row[which]], place - begin[which]))
-    cover = [np.concatenate([d[k] for d in done]) for k in range(3)] if done else [np.zeros(0, np.int64)] * 3
-    if left:
-        lead, print_, whose, place = (np.concatenate([x[k] for x in left]) for k in range(4))
+            found_open.append((leads(part, place), hashes.of(place, place + LENGTH), doc[row[which]], place - begin[which]))
+    if done:
+        cover = [np.concatenate([d[k] for d in done]) for k in range(3)]
+    if found_open:
+        lead, print_, whose, place = (np.concatenate([x[k] for x in found_open]) for k in range(4))
         order = multikey_order([lead, print_, whose])
         lead, print_, whose, place = lead[order], print_[order], whose[order], place[order]
         new = firsts(lead, print_)
         least = whose[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
         here = whose > least
         cover = [np.concatenate([c, x]) for c, x in zip(cover, (whose[here], place[here], place[here]), strict=True)]
-        lead, print_, whose, place = lead[~here], print_[~here], whose[~here], place[~here]
-        yield by_bucket(split_bucket(lead, print_, splitters), [lead, print_, whose, place], deltas=0)
+        left = [lead[~here], print_[~here], whose[~here], place[~here]]
+    return cover, left
+
+
+def windows_of(doc: np.ndarray, texts: pa.Array, blobs: list[bytes], splitters: tuple[np.ndarray, np.ndarray], n: int, docs_n: int) -> Iterator[pa.RecordBatch]:
+    """Buckets 0..n-1: suffixes (lead, fingerprint, doc, place) by at most n - 1 splitters; buckets n..: covered (doc, first, last)."""
+    cover, left = open_windows(doc, texts, blobs)
+    yield by_bucket(split_bucket(left[0], left[1], splitters), left, deltas=0)
     a, b, c = merged(*cover)
     yield by_bucket(doc_bucket(a, docs_n), [a, b, c], shift=n)
 
@@ -433,24 +441,21 @@ def kept_rows(doc: np.ndarray, null: np.ndarray, texts: pa.Array, blobs: list[by
     return pa.RecordBatch.from_arrays([pa.array(doc, mask=null), pa.array(np.diff(at)), pa.array(removed), pa.array(spans), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def sampled_splitters(docs: DataFrame, n: int, rows: int = 2000, each: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """n - 1 splitters from at most rows * each suffixes of documents spread by a hash of their ids."""
-    some = docs.where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    ids = some.select("id").orderBy(F.xxhash64("id"), "id").limit(rows)
+def sampled_splitters(dealt: DataFrame, runs_: DataFrame, n: int, buckets: int = 8, each: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """n - 1 splitters from the suffixes to be compared in a few buckets of documents: at most buckets * each of them."""
 
-    def draw(batches):
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = np.frombuffer(text.as_py().encode(), np.uint8)
-                if len(raw) >= LENGTH:
-                    place = np.random.default_rng(abs(doc)).integers(0, len(raw) - LENGTH + 1, each)
-                    prints = np.concatenate([Hashes(raw[p : p + LENGTH]).every(LENGTH) for p in place])
-                    yield pa.RecordBatch.from_arrays([pa.array(leads(raw, place).view(np.int64)), pa.array(prints.view(np.int64))], ["lead", "print"])
-
-    found = some.join(F.broadcast(ids), "id").select("id", "text").mapInArrow(draw, "lead long, print long").limit(2 * rows * each).collect()
-    if not found or n < 2:
+    def draw(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = left.filter(pc.is_valid(left.column("id")))
+        found = open_windows(own.column("id").to_numpy(), _one(own.column("text")), right.column("data").to_pylist())[1]
+        some = np.random.default_rng(5).permutation(len(found[0]))[:each]
+        give_back()
+        return pa.table({"lead": found[0][some].view(np.int64), "print": found[1][some].view(np.int64)})
+
+    few = lambda df: df.where(F.col("bucket") < buckets).groupBy("bucket")
+    drawn = few(dealt).cogroup(few(runs_)).applyInArrow(draw, "lead long, print long").collect()
+    if not drawn or n < 2:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    lead, print_ = (np.array([f[k] for f in found], np.int64).view(np.uint64) for k in range(2))
+    lead, print_ = (np.array([r[k] for r in drawn], np.int64).view(np.uint64) for k in range(2))
     order = multikey_order([lead, print_])
     at = order[np.linspace(0, len(order), n + 1).astype(int)[1:-1]]
     return lead[at], print_[at]
@@ -473,14 +478,14 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(doc_bucket(ids, docs_n), pa.int32()), *batch.columns], ["bucket", "id", "text"])
 
     runs_ = saved(docs.mapInArrow(anchors, OUT).groupBy("bucket").applyInArrow(compare, OUT), "suffix-runs")
-    splitters = sampled_splitters(docs, n)
     dealt = docs.mapInArrow(bucket_rows, "bucket int, id long, text string")
+    splitters = sampled_splitters(dealt, runs_, n)
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("id").combine_chunks()
         some = pc.is_valid(ids)
         own = left.filter(some)
-        made = list(windows_of(own.column("id").to_numpy(), _one(own.column("text")), right.column("data").to_pylist(), splitters, docs_n)) if own.num_rows else []
+        made = list(windows_of(own.column("id").to_numpy(), _one(own.column("text")), right.column("data").to_pylist(), splitters, n, docs_n)) if own.num_rows else []
         give_back()
         return pa.Table.from_batches(made, schema=_OUT)
 
