@@ -483,7 +483,7 @@ def _splits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @query("hashboost_train_curve")
 def hashboost_train_curve(spark, sf_dir):
-    rows = featured(spark, sf_dir, method="arrow").persist()
+    rows = featured(spark, sf_dir).persist()
     train, valid = _splits(rows)
     booster = HashBoost(CLASSES, num_pairs=6, lr=0.1, seed=SEED)
     batch = lambda epoch: [train.where(F.pmod(F.floor(shuffle_key("id", SEED, epoch) / 1024), F.lit(4)) == i) for i in range(4)]
@@ -538,7 +538,7 @@ def results_json(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """QUANT features, three boosting rounds, error rates by split."""
-    rows = featured(spark, sf_dir, method="native").persist()
+    rows = featured(spark, sf_dir).persist()
     train, valid = _splits(rows)
     booster = HashBoost(CLASSES, num_pairs=6, seed=SEED)
     for i in range(3):
