@@ -1,9 +1,8 @@
-"""Helpers shared by the operators: table reading, shared folders, Arrow batch plumbing."""
+"""Helpers shared by the operators: table reading, shared folders, column picking, bytes of text columns."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,17 +55,6 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*(df[f"`{old}`"].alias(new) for new, old in cols.items()))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow for a function of one batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
-
-    return df.mapInArrow(run, schema)
-
-
 def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column and the len+1 offsets of its values; nulls are empty."""
     if column.null_count:
