@@ -6,7 +6,7 @@ A value that is null or NaN makes every feature null whose interval holds it. Co
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark.sql import Column
@@ -19,6 +19,11 @@ def as_double(series: Column) -> Column:
     return F.transform(series, lambda x: x.cast("double"))
 
 
+def doubles(values: Iterable[float]) -> str:
+    """An array literal in SQL: one expression instead of one call for each number."""
+    return "array(" + ", ".join(f"{v!r}D" for v in values) + ")"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row."""
     return F.transform(F.array(value), body)[0]
@@ -49,16 +54,14 @@ def second_diff(x: Column, length: int) -> Column:
 def spectrum(x: Column, length: int) -> Column:
     """Magnitudes of the real discrete Fourier transform."""
 
-    def part(v: Column, wave: list[float]) -> Column:
-        return F.aggregate(F.zip_with(v, F.array(*map(F.lit, wave)), lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
+    turns = [[2 * math.pi * ((k * i) % length) / length for i in range(length)] for k in range(length // 2 + 1)]
+    waves = F.expr("array(" + ", ".join(f"struct({doubles(math.cos(t) for t in own)} as re, {doubles(math.sin(t) for t in own)} as im)" for own in turns) + ")")
+
+    def part(v: Column, wave: Column) -> Column:
+        return F.aggregate(F.zip_with(v, wave, lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
 
     def magnitudes(v: Column) -> Column:
-        out = []
-        for k in range(length // 2 + 1):
-            turn = [2 * math.pi * ((k * i) % length) / length for i in range(length)]
-            re, im = part(v, [math.cos(t) for t in turn]), part(v, [math.sin(t) for t in turn])
-            out.append(F.sqrt(re * re + im * im))
-        return F.array(*out)
+        return F.transform(waves, lambda w: F.sqrt(F.pow(part(v, w["re"]), F.lit(2.0)) + F.pow(part(v, w["im"]), F.lit(2.0))))
 
     return let(as_double(x), magnitudes)
 
@@ -70,7 +73,7 @@ REPRESENTATIONS: dict[str, Callable[[Column, int], Column]] = {"identity": ident
 def interval_quantiles(x: Column, length: int, depth: int = 6, div: int = 4) -> Column:
     """Array of one array of features for each interval of make_intervals."""
     pieces = [(a, b - a, quantile_count(b - a, div)) for a, b in make_intervals(length, depth)]
-    table = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(m).alias("m"), F.lit(k).alias("k")) for a, m, k in pieces))
+    table = F.expr("array(" + ", ".join(f"struct({a} as a, {m} as m, {k} as k)" for a, m, k in pieces) + ")")
 
     def features(piece: Column) -> Column:
         own = F.slice(x, piece["a"] + 1, piece["m"])
@@ -88,7 +91,7 @@ def interval_quantiles(x: Column, length: int, depth: int = 6, div: int = 4) ->
             return F.transform(F.sequence(F.lit(0), piece["k"] - 1), value)
 
         bad = F.exists(own, lambda v: v.isNull() | F.isnan(v))
-        return F.when(bad, F.transform(F.sequence(F.lit(0), piece["k"] - 1), lambda j: F.lit(None).cast("double"))).otherwise(let(F.array_sort(own), quantiles))
+        return F.when(bad, F.transform(F.sequence(F.lit(0), piece["k"] - 1), lambda j: F.lit(None).cast("double"))).otherwise(let(F.sort_array(own), quantiles))
 
     return F.transform(table, features)
 
