@@ -75,6 +75,7 @@ def prepared(docs: DataFrame, domain_sql: str = DOMAIN_SQL) -> DataFrame:
 
 def mixed(rows: DataFrame, seed: int = 1, fraction: float = 0.8, max_epochs: int = 2, weights: list[dict] | None = None) -> DataFrame:
     """The rows taken, one for each epoch in which they are: with epoch, first_token (of its leaf) and taken."""
+    rows = saved(rows, "mixture-rows")  # used twice; texts are counted once
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).withColumn("cap", F.col("tokens") * max_epochs)
     wanted = budgets(leaves, weights or [DOMAINS, LANGS, SOURCES], fraction)
     plan = leaves.select(*LEVELS, "tokens").join(wanted, LEVELS)
