@@ -224,17 +224,32 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     ways = ways.groupBy("leaf", "some").agg(F.collect_list("vector").alias("asked"))  # about BLOCK queries each
 
     def compare(batches):
+        best: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # of this task, so that the shuffle after it is small
+
+        def flush():
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.binary()), pa.array([x[0] for x in best.values()], pa.list_(pa.int64())), pa.array([x[1] for x in best.values()], pa.list_(pa.float64()))], ["vector", "ids", "scores"])
+            best.clear()
+
         for batch in batches:
             for i in range(batch.num_rows):
                 mine = batch.column("held")[i].as_py()
                 q = batch.column("asked")[i].as_py()
                 x = np.frombuffer(b"".join(h["vector"] for h in mine), np.float64).reshape(len(mine), -1)
                 ids = [np.array(h["ids"], np.int64) for h in mine]
-                found = best_of(np.frombuffer(b"".join(q), np.float64).reshape(len(q), -1), ids, x, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.binary()), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], ["vector", "ids", "scores"])
-
-    met = ways.join(held, "leaf").select("asked", "held").repartition(shuffle_partitions(spark)).mapInArrow(compare, "vector binary, ids array<long>, scores array<double>")
-    # each block gives at most k + 1 of a query; the best of them for each query
+                for vector, found in zip(q, best_of(np.frombuffer(b"".join(q), np.float64).reshape(len(q), -1), ids, x, k), strict=True):
+                    if (old := best.get(vector)) is not None:
+                        whose, dist = np.concatenate([old[0], found[0]]), np.concatenate([old[1], found[1]])
+                        order = np.lexsort((whose, dist))[: k + 1]
+                        found = whose[order], dist[order]
+                    best[vector] = found
+            if len(best) > 20_000:
+                yield from flush()
+        if best:
+            yield from flush()
+
+    # neither side is bounded, however small it looks when compressed: no broadcast
+    met = ways.hint("merge").join(held, "leaf").select("asked", "held").repartition(shuffle_partitions(spark)).mapInArrow(compare, "vector binary, ids array<long>, scores array<double>")
+    # each task gives at most k + 1 of a query now and then; the best of them for each query
     merged = F.slice(F.array_distinct(F.sort_array(F.flatten(F.collect_list(F.zip_with("scores", "ids", lambda s, i: F.struct(s.alias("score"), i.alias("vec_id"))))))), 1, k + 1)
     best = met.groupBy("vector").agg(merged.alias("best"))
     answers = wanted.join(best, "vector").select("query_id", "best")  # a plain join: a vector that very many queries have may be split
