@@ -51,17 +51,18 @@ def op10(spark, sf_dir, shards: int = 8) -> DataFrame:
 def assign(docs: DataFrame, shards: int = 8, seed: int = 0) -> DataFrame:
     """docs with shard and slot; columns of these names are replaced. Texts are shuffled once, to join them to their places.
 
-    Rows are found again by id, source, size and checksum; rows equal in all four are numbered and take one place each.
+    Rows are found again by two hashes of id, source, size and checksum; rows equal in them are numbered and take one place each.
     """
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = measured(docs)
-    key = rows.columns
-    copy = Window.partitionBy(*key).orderBy(F.lit(0))
-    places = interleaved(rows.withColumn("__copy", F.row_number().over(copy)), shards, seed, keys=["doc_id", "size", "text_crc32", "__copy"])
-    named = places.select(*(F.col(c).alias(f"__{c}") for c in key), F.struct("__copy", "shard", "slot").alias("__place")).groupBy(*(f"__{c}" for c in key)).agg(F.sort_array(F.collect_list("__place")).alias("__places"))
+    names = F.xxhash64(F.lit(1), "doc_id", "source", "size", "text_crc32"), F.xxhash64(F.lit(2), "doc_id", "source", "size", "text_crc32")
+    copy = F.row_number().over(Window.partitionBy("__a", "__b").orderBy(F.lit(0)))
+    rows = measured(docs).select("*", *(h.alias(n) for h, n in zip(names, ("__a", "__b"), strict=True))).withColumn("__copy", copy)
+    places = interleaved(rows, shards, seed, keys=["doc_id", "size", "text_crc32", "__copy"])
+    named = places.groupBy("__a", "__b").agg(F.sort_array(F.collect_list(F.struct("__copy", "shard", "slot"))).alias("__places"))
     raw = F.coalesce(docs["text"].cast("binary"), F.lit(b""))
-    own = docs.select(*(docs[f"`{c}`"] for c in kept), docs["doc_id"].alias("__o_doc_id"), docs["source"].alias("__o_source"), (F.octet_length(raw) + 1).cast("long").alias("__o_size"), F.crc32(raw).alias("__o_text_crc32"))
-    own = own.withColumn("__o_n", F.row_number().over(Window.partitionBy(*(f"__o_{c}" for c in key)).orderBy(F.lit(0))))
-    found = own.join(named, on=[F.col(f"__o_{c}").eqNullSafe(F.col(f"__{c}")) for c in key])
-    place = F.element_at("__places", F.col("__o_n"))
+    parts = docs["doc_id"], docs["source"], (F.octet_length(raw) + 1).cast("long"), F.crc32(raw)
+    own = docs.select(*(docs[f"`{c}`"] for c in kept), *(F.xxhash64(F.lit(k), *parts).alias(n) for k, n in ((1, "__a"), (2, "__b"))))
+    # numbered and joined by the same two columns: one shuffle serves both
+    found = own.withColumn("__n", copy).join(named.hint("merge"), ["__a", "__b"])
+    place = F.element_at("__places", F.col("__n"))
     return found.select(*(F.col(f"`{c}`") for c in kept), place["shard"].alias("shard"), place["slot"].alias("slot"))
