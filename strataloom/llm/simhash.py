@@ -231,6 +231,7 @@ def groups(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str
 PASSAGE = 8  # shingles of a passage on average
 CHOSEN = 7  # passages of a document that make its keys, two by two
 WIDE_BITS = 256  # of a document's fingerprint: four words of 64
+SENT_ROWS = 1_000_000  # rows to be dropped up to which they are sent to all tasks instead of shuffling the texts
 _SALTS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
 
 
@@ -402,6 +403,8 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     of = saved(of.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "stays"), "near-copies")
     same = lambda df, other: df["doc_id"].eqNullSafe(other["__id"]) & (F.xxhash64(F.lit(1), df["text"]) == other["__mark"])
     out = of.where("not stays")
+    if out.count() <= SENT_ROWS:  # two longs a row; beyond, Spark chooses and shuffles if need be
+        out = F.broadcast(out)
     kept = docs.join(out, on=same(docs, out), how="left_anti")
     again = of.where("stays")
     if again.isEmpty():
