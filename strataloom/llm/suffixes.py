@@ -254,7 +254,8 @@ def anchors_of(batches: Iterator[pa.RecordBatch], n: int, docs_n: int) -> Iterat
         known = covered | partial
         yield by_bucket(doc_bucket(doc[known], docs_n), [doc[known], run[known] * _U(2) + partial[known].astype(np.uint64)], shift=n)
         gram, run, doc = gram[sent], run[sent], doc[sent]
-        yield by_bucket(((gram >> _U(32)) * _U(n) >> _U(32)).astype(np.int64), [gram, run, doc], deltas=0)
+        # mixed again: anchors are the least of their windows, so their own hashes are mostly small
+        yield by_bucket(((mix(gram) >> _U(32)) * _U(n) >> _U(32)).astype(np.int64), [gram, run, doc], deltas=0)
         del gram, run, doc, keep, covered, partial, number, sent, known
         give_back()
 
