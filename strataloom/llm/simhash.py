@@ -13,7 +13,8 @@ expanded into all pairs: each gives the edges of a spanning forest, found block
 up every fingerprint one or two flips away.
 
 keep_one() works on whole texts at a similarity of 0.8 and five-word shingles, where fingerprints differ in far more than two
-bits: there passages are named by their decoded SimHash, and fingerprints of 256 bits verify what shares two of them.
+bits: there passages are named by their decoded SimHash, fingerprints of 256 bits rule out what is far from similar among
+texts that share two of them, and the sets of shingles decide.
 
 Defined cases: null and empty texts have the fingerprint zero, linked like any other; a null id has a fingerprint and the
 component of its equals, but is never the smallest id of a component (null if no other is there); repeated rows stay
@@ -235,9 +236,27 @@ SENT_ROWS = 1_000_000  # rows to be dropped up to which they are sent to all tas
 _SALTS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
 
 
+SHORT = 64  # shingles of a text below which its fingerprint is a coarse estimate
+SHORT_RADIUS = 96  # for those: at 0.8 no sizes of sets have more than 48 bits to be expected, sd 6.2
+
+
 def wide_radius(similarity: float) -> int:
-    """Differing bits of WIDE_BITS to be expected at a Jaccard similarity, of shingle sets of one size."""
-    return int(WIDE_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    """Differing bits of WIDE_BITS that pairs of a Jaccard similarity don't exceed: those to be expected and five standard deviations."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(WIDE_BITS * share + 5 * np.sqrt(WIDE_BITS * share * (1 - share)))
+
+
+def _sizes_allow(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    return np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
+
+
+def shingle_hashes(words: list[bytes], size: int = 5) -> np.ndarray:
+    """Hashes of a text's shingles in their order; all words are one where there are fewer than `size`."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    h64 = xxhash.xxh64_intdigest
+    shingles = (words,) if len(words) < size else zip(*(words[i:] for i in range(size)), strict=False)
+    return np.array([h64(b" ".join(s), 42) for s in shingles], np.uint64)
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -262,22 +281,22 @@ def golay_name(fps: np.ndarray) -> np.ndarray:
     return out
 
 
-def signature(words: list[bytes], size: int = 5) -> tuple[np.ndarray, int, np.ndarray]:
-    """Four words of the document's fingerprint, its number of shingles, and its keys.
+def signature(words: list[bytes], size: int = 5) -> tuple[int, np.ndarray, int, np.ndarray]:
+    """A hash of the document's set of shingles, four words of the set's fingerprint, its size, and the document's keys.
 
     Passages end where a shingle's hash says so, so an edit changes the passages it touches and no others. A passage is
     named by its decoded SimHash. The CHOSEN names that come first by hash are taken two by two; of three or fewer each
     alone as well.
     """
-    if not words:
-        return np.zeros(4, np.uint64), 0, np.zeros(1, np.uint64)
-    h64 = xxhash.xxh64_intdigest
-    shingles = (words,) if len(words) < size else zip(*(words[i:] for i in range(size)), strict=False)
-    h = np.array([h64(b" ".join(s), 42) for s in shingles], np.uint64)
+    h = shingle_hashes(words, size)
+    own = np.unique(h)
+    sig = xxhash.xxh64_intdigest(own.tobytes())
+    if not len(h):
+        return sig, np.zeros(4, np.uint64), 0, np.zeros(1, np.uint64)
     wide = np.zeros((4, 64), np.int64)
-    for lo in range(0, len(h), 8192):
+    for lo in range(0, len(own), 8192):
         for k, salt in enumerate(_SALTS):
-            wide[k] += _bits(_mixed(h[lo : lo + 8192], salt)).sum(0, dtype=np.int32)
+            wide[k] += _bits(_mixed(own[lo : lo + 8192], salt)).sum(0, dtype=np.int32)
     start = np.flatnonzero(np.r_[True, _mixed(h[:-1], 0x2545F4914F6CDD1D) % np.uint64(PASSAGE) == 0])
     ones = np.concatenate([np.add.reduceat(_bits(h[a:b]), start[(start >= a) & (start < b)] - a, axis=0, dtype=np.int32) for a, b in _slices(start, len(h))])
     names = np.unique(golay_name(_packed(ones, np.diff(np.r_[start, len(h)])[:, None])))
@@ -285,7 +304,7 @@ def signature(words: list[bytes], size: int = 5) -> tuple[np.ndarray, int, np.nd
     names.sort()
     names = names[:CHOSEN]
     i, j = np.triu_indices(len(names), 0 if len(names) <= 3 else 1)
-    return _packed(wide, np.array([[len(h)]])), len(h), _mixed(names[i] + _mixed(names[j], _SALTS[1]), _SALTS[2])
+    return sig, _packed(wide, np.array([[len(own)]])), len(own), _mixed(names[i] + _mixed(names[j], _SALTS[1]), _SALTS[2])
 
 
 def _slices(start: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -299,14 +318,21 @@ def _slices(start: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
+def _radii(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    return np.where(np.minimum(a, b) < SHORT, max(radius, SHORT_RADIUS), radius)
+
+
 def wide_links(f: np.ndarray, n: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of one group: fingerprints f [members, 4] within radius whose sizes n allow the similarity."""
+    """Edges of a spanning forest of one group: fingerprints f [members, 4] within radius whose sizes n allow the similarity.
+
+    Pairs with a set of fewer than SHORT shingles need only be within SHORT_RADIUS.
+    """
     root = np.arange(len(f))
     for lo in range(0, len(f), BLOCK):
         for to in range(lo, len(f), BLOCK):
-            near = sum(np.bitwise_count(f[lo : lo + BLOCK, None, k] ^ f[None, to : to + BLOCK, k]).astype(np.int16) for k in range(4)) <= radius
             a, b = n[lo : lo + BLOCK, None], n[None, to : to + BLOCK]
-            near &= np.minimum(a, b) >= similarity * np.maximum(a, b)
+            near = sum(np.bitwise_count(f[lo : lo + BLOCK, None, k] ^ f[None, to : to + BLOCK, k]).astype(np.int16) for k in range(4)) <= _radii(a, b, radius)
+            near &= _sizes_allow(a, b, similarity)
             i, j = np.nonzero(near)
             root = local_forest(np.concatenate([i + lo, np.arange(len(f))]), np.concatenate([j + to, root]), len(f))
     tied = np.flatnonzero(root != np.arange(len(f)))
@@ -317,9 +343,9 @@ SIGNED = "sig long, f0 long, f1 long, f2 long, f3 long, n long"
 
 
 def near_linked(signed: DataFrame, similarity: float, hot: int = 4 * BLOCK) -> DataFrame:
-    """Edges (a, b) of signatures (SIGNED and keys) that share a key and are close enough; a forest for each key.
+    """Groups (grp, sig) of signatures (SIGNED and keys) to be compared by their sets: those that share a key and may be close enough.
 
-    A key with more than `hot` different signatures is dealt out as pairs of blocks of that many, each pair a task's work.
+    A key's signatures whose fingerprints tie them together are a group; the same group under other keys is one. A key with more than `hot` different signatures is dealt out as pairs of blocks of that many, each pair a task's work.
     """
     spark = signed.sparkSession
     radius, n = wide_radius(similarity), shuffle_partitions(spark)
@@ -339,16 +365,16 @@ def near_linked(signed: DataFrame, similarity: float, hot: int = 4 * BLOCK) -> D
             held = rows if held is None else np.concatenate([held, rows])
             cut = int(np.searchsorted(held[:, 0], held[-1, 0]))
             if cut:
-                yield _near_edges(held[:cut], radius, similarity)
+                yield _near_groups(held[:cut], radius, similarity)
                 held = held[cut:]
         if held is not None:
-            yield _near_edges(held, radius, similarity)
+            yield _near_groups(held, radius, similarity)
 
     sorted_ = whole.select("key", "sig", "f0", "f1", "f2", "f3", "n").repartition(n, "key").sortWithinPartitions("key", "sig")
-    return sorted_.mapInArrow(verify, "a long, b long").distinct()
+    return sorted_.mapInArrow(verify, "grp long, sig long").distinct()
 
 
-def _near_edges(rows: np.ndarray, radius: int, similarity: float) -> pa.RecordBatch:
+def _near_groups(rows: np.ndarray, radius: int, similarity: float) -> pa.RecordBatch:
     """rows sorted by key: key, sig, f0..f3, n."""
     key, sig, f, n = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:6]).view(np.uint64), rows[:, 6]
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -357,8 +383,8 @@ def _near_edges(rows: np.ndarray, radius: int, similarity: float) -> pa.RecordBa
     first, second = [], []
     for d in range(1, int(size[size <= 64].max(initial=0))):
         i = np.flatnonzero((key[d:] == key[:-d]) & (own[d:] <= 64))
-        i = i[np.bitwise_count(f[i] ^ f[i + d]).sum(1) <= radius]
-        i = i[np.minimum(n[i], n[i + d]) >= similarity * np.maximum(n[i], n[i + d])]
+        i = i[np.bitwise_count(f[i] ^ f[i + d]).sum(1) <= _radii(n[i], n[i + d], radius)]
+        i = i[_sizes_allow(n[i], n[i + d], similarity)]
         first.append(i)
         second.append(i + d)
     for g in np.flatnonzero(size > 64):
@@ -366,17 +392,79 @@ def _near_edges(rows: np.ndarray, radius: int, similarity: float) -> pa.RecordBa
         first.append(i + start[g])
         second.append(j + start[g])
     i, j = (np.concatenate([*x, np.zeros(0, int)]).astype(int) for x in (first, second))
-    names, at = np.unique(np.concatenate([sig[i], sig[j]]), return_inverse=True)
-    root = local_forest(at[: len(i)], at[len(i) :], len(names))
-    tied = root != np.arange(len(names))
-    return pa.RecordBatch.from_arrays([pa.array(names[root[tied]]), pa.array(names[tied])], ["a", "b"])
+    root = local_forest(i, j, len(key))
+    tied = np.flatnonzero(np.bincount(root, minlength=len(key))[root] > 1)
+    name = np.zeros(len(key), np.uint64)  # of a group: by its members, in any order
+    np.add.at(name, root[tied], _mixed(sig[tied].view(np.uint64), _SALTS[3]))
+    return pa.RecordBatch.from_arrays([pa.array(name[root[tied]].view(np.int64)), pa.array(sig[tied])], ["grp", "sig"])
+
+
+def set_links(flat: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
+    """Smallest member that each member of a group reaches over pairs at the Jaccard similarity or more.
+
+    Member i's distinct shingles are flat[at[i] : at[i + 1]]. Pairs that are tied already aren't compared.
+    """
+    n = np.diff(at)
+    root = np.arange(len(n))
+    ids = np.unique(flat, return_inverse=True)[1]
+    mark = np.zeros(ids.max(initial=-1) + 1, np.int8)
+    for i in range(len(n) - 1):
+        open_ = root[i + 1 :] != root[i]
+        if not open_.any():
+            continue
+        if n[i] == 0:
+            hit = n[i + 1 :] == 0
+        else:
+            mine = ids[at[i] : at[i + 1]]
+            mark[mine] = 1
+            sums = np.r_[0, np.cumsum(mark[ids[at[i + 1] :]], dtype=np.int64)]
+            mark[mine] = 0
+            both = np.diff(sums[at[i + 1 :] - at[i + 1]])
+            hit = both >= similarity * (n[i] + n[i + 1 :] - both) - 1e-9
+        hit = np.flatnonzero(hit & open_) + i + 1
+        if len(hit):
+            joined = np.unique(np.r_[root[i], root[hit]])
+            root[np.isin(root, joined)] = joined[0]
+    return root
+
+
+def set_linked(groups_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) of signatures of one group (grp, sig) whose sets (its, shingles) have the Jaccard similarity: a forest for each group."""
+    n = shuffle_partitions(groups_.sparkSession)
+
+    def edges(held):
+        group, sig = held.column(0).to_numpy(), held.column(1).to_numpy()
+        flat, at = held.column(2).flatten().to_numpy(), np.r_[0, np.cumsum(held.column(2).value_lengths().to_numpy())]
+        start = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)]
+        a, b = [], []
+        for lo, hi in zip(start[:-1], start[1:], strict=True):
+            root = set_links(flat[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], similarity)
+            tied = np.flatnonzero(root != np.arange(hi - lo))
+            a.append(sig[lo + root[tied]])
+            b.append(sig[lo + tied])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    def verify(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            group = held.column(0).to_numpy()
+            cut = int(np.searchsorted(group, group[-1])) if len(group) else 0
+            if cut:
+                yield edges(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield edges(held)
+
+    rows = groups_.join(sets, F.col("sig") == F.col("its")).select("grp", "sig", "shingles")
+    return rows.repartition(n, "grp").sortWithinPartitions("grp", "sig").mapInArrow(verify, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies, the one with the smallest id; all columns stay as they are.
 
-    Near copies share two of their chosen passages and have an estimated Jaccard similarity of at least `similarity`
-    (their 256-bit fingerprints differ in no more bits than are expected there); groups are components of such links.
+    Near copies share two of their chosen passages and their sets of shingles have a Jaccard similarity of at least
+    `similarity`; groups are components of such links.
     Texts without words are copies of each other.
     """
     mark = F.xxhash64(F.lit(1), docs["text"])
@@ -385,15 +473,30 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     def run(batches):
         for batch in batches:
             made = [signature(words_of(t.as_py()), size) for t in batch.column(1)]
-            f = np.array([m[0] for m in made]).reshape(-1, 4)
-            n = np.array([m[1] for m in made], np.int64)
-            sig = _mixed(f[:, 0] ^ _mixed(f[:, 1], _SALTS[0]) ^ _mixed(f[:, 2], _SALTS[1]) ^ _mixed(f[:, 3], _SALTS[2]) ^ _mixed(n.astype(np.uint64), _SALTS[3]), _SALTS[0])
+            sig = np.array([m[0] for m in made], np.uint64)
+            f = np.array([m[1] for m in made]).reshape(-1, 4)
+            n = np.array([m[2] for m in made], np.int64)
             columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (sig, *f.T, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, pa.array([m[2].view(np.int64) for m in made], pa.list_(pa.int64()))], ["id", "mark", "sig", "f0", "f1", "f2", "f3", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, pa.array([m[3].view(np.int64) for m in made], pa.list_(pa.int64()))], ["id", "mark", "sig", "f0", "f1", "f2", "f3", "n", "keys"])
 
     made = saved(tagged.mapInArrow(run, f"id long, mark long, {SIGNED}, keys array<long>"), "near-signatures")
     signed = saved(made.groupBy("sig").agg(*(F.min(c).alias(c) for c in ("f0", "f1", "f2", "f3", "n")), F.first("keys").alias("keys")), "near-distinct")
-    roots = components(near_linked(signed, similarity))
+    close = saved(near_linked(signed, similarity), "near-groups")
+
+    def whole(batches):
+        for batch in batches:
+            own = [np.unique(shingle_hashes(words_of(t.as_py()), size)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["its", "shingles"])
+
+    # one text for each signature of a group; its set is made anew, so that sets of other texts are never written
+    one = F.struct("id", "mark")
+    needed = made.join(close.select("sig").distinct(), "sig").groupBy("sig").agg(F.min(one).alias("one"))
+    needed = saved(needed.select(F.col("sig").alias("its"), F.col("one.id").alias("__id"), F.col("one.mark").alias("__mark")), "near-needed")
+    if needed.count() <= SENT_ROWS:
+        needed = F.broadcast(needed)
+    texts = tagged.join(needed, tagged["id"].eqNullSafe(needed["__id"]) & (tagged["mark"] == needed["__mark"])).select("its", "text")
+    sets = saved(texts.mapInArrow(whole, "its long, shingles array<long>"), "near-sets").dropDuplicates(["its"])
+    roots = components(set_linked(close, sets, similarity))
     roots = saved(signed.join(roots, F.col("sig") == F.col("node"), "left").select(F.col("sig").alias("its"), F.coalesce("root", "sig").alias("root")), "near-roots")
     rank = F.struct(F.col("id").isNull().alias("null"), F.col("id").alias("id"), F.col("mark").alias("mark"))
     rows = made.groupBy("sig", "id", "mark").agg(F.count("*").alias("copies"))  # repeated rows are one here

@@ -478,3 +478,43 @@ def test_pipeline_stages(spark):
     assert taken == {r["doc_id"] for r in mixing.mixed(mixing.prepared(docs), max_epochs=1).collect()} and 0 < len(taken) < len(ids)
     out = stages["sharding"](spark, docs, SMALL).toPandas()
     assert sorted(out.doc_id) == sorted(ids) and out.groupby("shard").size().max() - out.groupby("shard").size().min() <= 1
+
+
+def edited(rng, words, similarity):
+    """words with single ones replaced as long as the five-word shingles keep the Jaccard similarity."""
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    own, now = shingles(words), list(words)
+    for at in rng.sample(range(len(words)), len(words)):
+        more = [*now[:at], f"new{rng.random()}", *now[at + 1 :]]
+        if len(own & shingles(more)) >= similarity * len(own | shingles(more)):
+            now = more
+    return now
+
+
+def test_near_copies_at_the_limit(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        text = [f"w{rng.randrange(9000)}" for _ in range(rng.choice([300, 600]))]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(edited(rng, text, 0.8)))]
+        if i % 3 == 0:  # not similar enough, but no long way off
+            other = edited(rng, text, 0.70)
+            rows.append((1000 + i, " ".join(other)))
+    close = similar_pairs(rows, 0.8)
+    expected = {min(own) for own in grouped([i for i, _ in rows], close).values()}
+    assert 60 <= len(close) and {i for i in expected if i >= 1000}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert not expected - kept  # nothing under the limit goes
+    assert len(kept - expected) <= 3  # of 60: keys miss few
+
+
+def test_sets_of_a_group():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 400)
+    sets = [np.unique(base[rng.random(400) < keep]) for keep in [0.95] * 8 + [0.7] * 8] + [base[:0], base[:0], base[:1]]
+    at = np.r_[0, np.cumsum([len(x) for x in sets])]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    expected = grouped(range(len(sets)), pairs)
+    found = simhash.set_links(np.concatenate(sets), at, 0.8)
+    assert {frozenset(np.flatnonzero(found == r)) for r in set(found)} == {frozenset(v) for v in expected.values()} and (16, 17) in pairs
