@@ -13,8 +13,8 @@ expanded into all pairs: each gives the edges of a spanning forest, found block
 up every fingerprint one or two flips away.
 
 keep_one() works on whole texts at a similarity of 0.8 and five-word shingles, where fingerprints differ in far more than two
-bits: there passages are named by their decoded SimHash, fingerprints of 256 bits rule out what is far from similar among
-texts that share two of them, and the sets of shingles decide.
+bits: there short texts meet by the first shingles of their sets and longer ones by bands of least hashes, fingerprints of 256
+bits rule out what is far from similar among texts that meet, and the sets of shingles decide.
 
 Defined cases: null and empty texts have the fingerprint zero, linked like any other; a null id has a fingerprint and the
 component of its equals, but is never the smallest id of a component (null if no other is there); repeated rows stay
@@ -227,16 +227,16 @@ def groups(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str
     return fps.join(of, F.col("fp") == F.col("its")).select("doc_id", "fp", "component_id")
 
 
-# near copies of whole texts: passages find the candidates, long fingerprints verify them
+# near copies of whole texts: first shingles and bands find the candidates, long fingerprints filter, sets decide
 
-PASSAGE = 8  # shingles of a passage on average
-CHOSEN = 7  # passages of a document that make its keys, two by two
+BANDS, LEAST = 20, 4  # bands of so many least hashes each: a pair at 0.8 shares none with a chance of 0.00003
 WIDE_BITS = 256  # of a document's fingerprint: four words of 64
 SENT_ROWS = 1_000_000  # rows to be dropped up to which they are sent to all tasks instead of shuffling the texts
 _SALTS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * LEAST, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-SHORT = 64  # shingles of a text below which its fingerprint is a coarse estimate
+SHORT = 64  # shingles of a text below which its fingerprint is a coarse estimate and first shingles are its keys
 SHORT_RADIUS = 96  # for those: at 0.8 no sizes of sets have more than 48 bits to be expected, sd 6.2
 
 
@@ -273,49 +273,39 @@ def _packed(ones: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.packbits(ones * 2 > of, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def golay_name(fps: np.ndarray) -> np.ndarray:
-    """Codeword indices of the three segments together: 36 bits that small changes mostly leave as they are."""
-    out = np.zeros(len(fps), np.uint64)
-    for k in range(3):
-        out = (out << np.uint64(12)) | golay_index(segment(fps, k)).astype(np.uint64)
-    return out
-
+def near_keys(own: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a sorted set of shingle hashes: two sets with the Jaccard similarity share one.
 
-def signature(words: list[bytes], size: int = 5) -> tuple[int, np.ndarray, int, np.ndarray]:
-    """A hash of the document's set of shingles, four words of the set's fingerprint, its size, and the document's keys.
-
-    Passages end where a shingle's hash says so, so an edit changes the passages it touches and no others. A passage is
-    named by its decoded SimHash. The CHOSEN names that come first by hash are taken two by two; of three or fewer each
-    alone as well.
+    Sets of n shingles that are similar enough have one in common among their first n - similarity * n + 1 by hash: so
+    every pair with a set under SHORT shares a key. Longer sets share one of BANDS bands of LEAST least hashes, with the
+    chance given there.
     """
-    h = shingle_hashes(words, size)
-    own = np.unique(h)
-    sig = xxhash.xxh64_intdigest(own.tobytes())
-    if not len(h):
-        return sig, np.zeros(4, np.uint64), 0, np.zeros(1, np.uint64)
+    n = len(own)
+    if not n:
+        return np.zeros(1, np.uint64)
+    keys = []
+    if n <= (SHORT - 1) / similarity:  # similar to a short one, at most
+        keys.append(_mixed(own[: n - int(np.ceil(similarity * n - 1e-9)) + 1], _SALTS[2]))
+    if n >= SHORT:
+        spread = own ^ (own >> np.uint64(32))
+        least = np.full(BANDS * LEAST, ~np.uint64(0))
+        for lo in range(0, n, 2048):
+            least = np.minimum(least, (spread[lo : lo + 2048, None] * _FACTORS).min(0))
+        band = np.arange(BANDS, dtype=np.uint64)
+        for column in least.reshape(BANDS, LEAST).T:
+            band = _mixed(band + column, _SALTS[1])
+        keys.append(band)
+    return np.unique(np.concatenate(keys))
+
+
+def signature(words: list[bytes], size: int = 5, similarity: float = 0.8) -> tuple[int, np.ndarray, int, np.ndarray]:
+    """A hash of the document's set of shingles, four words of the set's fingerprint, its size, and the document's keys."""
+    own = np.unique(shingle_hashes(words, size))
     wide = np.zeros((4, 64), np.int64)
     for lo in range(0, len(own), 8192):
         for k, salt in enumerate(_SALTS):
             wide[k] += _bits(_mixed(own[lo : lo + 8192], salt)).sum(0, dtype=np.int32)
-    start = np.flatnonzero(np.r_[True, _mixed(h[:-1], 0x2545F4914F6CDD1D) % np.uint64(PASSAGE) == 0])
-    ones = np.concatenate([np.add.reduceat(_bits(h[a:b]), start[(start >= a) & (start < b)] - a, axis=0, dtype=np.int32) for a, b in _slices(start, len(h))])
-    names = np.unique(golay_name(_packed(ones, np.diff(np.r_[start, len(h)])[:, None])))
-    names = _mixed(names, _SALTS[0])
-    names.sort()
-    names = names[:CHOSEN]
-    i, j = np.triu_indices(len(names), 0 if len(names) <= 3 else 1)
-    return sig, _packed(wide, np.array([[len(own)]])), len(own), _mixed(names[i] + _mixed(names[j], _SALTS[1]), _SALTS[2])
-
-
-def _slices(start: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Stretches of whole passages, of about 8192 shingles or one passage."""
-    out, a = [], 0
-    while a < n:
-        further = start[start >= a + 8192]
-        b = int(further[0]) if len(further) else n
-        out.append((a, b))
-        a = b
-    return out
+    return xxhash.xxh64_intdigest(own.tobytes()), _packed(wide, np.array([[len(own)]])), len(own), near_keys(own, similarity)
 
 
 def _radii(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -463,8 +453,8 @@ def set_linked(groups_: DataFrame, sets: DataFrame, similarity: float) -> DataFr
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies, the one with the smallest id; all columns stay as they are.
 
-    Near copies share two of their chosen passages and their sets of shingles have a Jaccard similarity of at least
-    `similarity`; groups are components of such links.
+    Near copies are those whose sets of shingles have a Jaccard similarity of at least `similarity` (near_keys says which
+    of them meet for sure); groups are components of such links.
     Texts without words are copies of each other.
     """
     mark = F.xxhash64(F.lit(1), docs["text"])
@@ -472,7 +462,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
 
     def run(batches):
         for batch in batches:
-            made = [signature(words_of(t.as_py()), size) for t in batch.column(1)]
+            made = [signature(words_of(t.as_py()), size, similarity) for t in batch.column(1)]
             sig = np.array([m[0] for m in made], np.uint64)
             f = np.array([m[1] for m in made]).reshape(-1, 4)
             n = np.array([m[2] for m in made], np.int64)

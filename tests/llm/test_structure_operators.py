@@ -518,3 +518,30 @@ def test_sets_of_a_group():
     expected = grouped(range(len(sets)), pairs)
     found = simhash.set_links(np.concatenate(sets), at, 0.8)
     assert {frozenset(np.flatnonzero(found == r)) for r in set(found)} == {frozenset(v) for v in expected.values()} and (16, 17) in pairs
+
+
+def test_near_copies_of_short_texts(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        text = [f"w{rng.randrange(9000)}" for _ in range(rng.choice([5, 14, 20, 40, 66, 70, 80, 85]))]
+        n = len(text) - 4
+        more = [f"end{rng.random()}" for _ in range(rng.randrange(1, max(2, n // 4 + 1)))]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text, *more] if i % 2 else [*more, *text]))]
+    close = similar_pairs(rows, 0.8)
+    assert len(close) >= 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {min(own) for own in grouped([i for i, _ in rows], close).values()}
+
+
+def test_keys_of_similar_sets_meet():
+    rng = np.random.default_rng(9)
+    pool = np.unique(rng.integers(0, (1 << 64) - 1, 4000, np.uint64))
+    for n in [*range(1, 100), 150, 400, 1500]:
+        for _ in range(10):
+            own = rng.permutation(pool)[: 2 * n]
+            lost = int(rng.integers(0, n // 5 + 1))
+            added = int((n - lost) / 0.8 - n + 1e-9)  # the most that leave 0.8
+            a, b = np.sort(own[:n]), np.sort(own[lost : n + max(0, added)])
+            assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
+            assert np.isin(simhash.near_keys(a, 0.8), simhash.near_keys(b, 0.8)).any(), (n, len(b))
