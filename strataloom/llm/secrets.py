@@ -37,12 +37,12 @@ SENSITIVE = {
 }
 HARMLESS = ["example", "placeholder", "changeme", "your", "none", "null", "true", "false", "undefined", "todo", "redacted", "xxxx", "****", "file", "path", "url", "length", "count"]
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,63}"
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
 #: Name, optional type, sign, then a quoted literal with its quotes or a bare one.
-PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-$])["']?({_NAME})["']?(?:[\x20\t]*:[\x20\t]*[A-Za-z_]+(?=[\x20\t]*=))?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:"([^"\n]{{1,4096}})"|'([^'\n]{{1,4096}})'|(\$?\{{?[A-Za-z0-9+/_.=\-]{{1,4096}}\}}?))""")
-TAG = re.compile(rf"<({_NAME})>([^<\n]{{2,4096}})</\1>")
-SET = re.compile(rf"(?m)^[\x20\t]*set[\x20\t]+({_NAME})[\x20\t]+([^\s;]{{2,4096}})")
-JOINED = re.compile(r"""["'][\x20\t]*\+[\x20\t]*["']([^"'\n]{1,4096})["']""")
+PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-$])["']?({_NAME})["']?(?:[\x20\t]*:[\x20\t]*[A-Za-z_]+(?=[\x20\t]*=))?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:"([^"\n]++)"|'([^'\n]++)'|(\$?\{{?[A-Za-z0-9+/_.=\-]++\}}?))""")
+TAG = re.compile(rf"<({_NAME})>([^<\n]{{2,}}+)</\1>")
+SET = re.compile(rf"(?m)^[\x20\t]*set[\x20\t]+({_NAME})[\x20\t]+([^\s;]{{2,}}+)")
+JOINED = re.compile(r"""["'][\x20\t]*\+[\x20\t]*["']([^"'\n]++)["']""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _MAY = re.compile(r"[:=]|</|(?m:^[\x20\t]*set[\x20\t])")
 

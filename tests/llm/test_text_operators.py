@@ -188,3 +188,13 @@ def test_shuffled_reads(spark, tokenizer, tmp_path):
     order = np.random.default_rng(1).permutation(entry["records"])
     for k, (row, ids) in zip(order, records.read(f"file://{tmp_path}/out", entry["name"], order), strict=True):
         assert row == plain[k][0] and (ids == plain[k][1]).all()
+
+
+def test_long_literals_and_names():
+    own = "".join(random.Random(3).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=4400))
+    for text in (f'private_key = "{own}"', f"private_key = '{own}'", f"private_key = {own}", f"set private_key {own}", f"<private_key>{own}</private_key>", f'private_key = "{own[:9]}" + "{own[9:]}"'):
+        at = text.index(own[:9])
+        assert [p[2:] for p in secrets.pairs(text)] == [(at, text.rindex(own[-9:]) + 9)]
+    name = "spring.security.oauth2.client.registration.keycloak.signing.private-key"
+    assert len(name) > 64 and [p[0] for p in secrets.pairs(f'{name}="x9$Kq!27vLp#"')] == [name]
+    assert secrets.scan(f'{name}="x9$Kq!27vLp#"')[1] == [(len(name) + 2, len(name) + 14, "named")]
