@@ -1,7 +1,8 @@
 """Off-the-shelf learners to compare with, from Spark's own library.
 
 Gradient boosting there is binary, so several classes are learned one against the rest; trees go to depth 30 at most. Outside
-boosting libraries are used if they are installed. What stands in for what is in `substitute` of each entry.
+boosting libraries aren't used, and `patience` isn't applied: all rounds are kept. What stands in for what is in `substitute`
+of each entry; overrides of run_baseline() aren't in it.
 """
 
 from __future__ import annotations
