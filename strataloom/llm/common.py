@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import math
 import uuid
 
 import numpy as np
@@ -18,19 +20,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), one under the warehouse, set for checkpoint()."""
+    """The folder in spark.checkpoint.dir as a URI; where it is unset (tests), one under the warehouse, set for checkpoint()."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return sc.getCheckpointDir()
+    if not at:
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        at = sc.getCheckpointDir()
+    path, fs = _hadoop(spark, at)
+    return fs.makeQualified(path).toString()  # a path without a scheme is one of the cluster's file system
+
+
+def _hadoop(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+_MADE: list[str] = []  # folders of this process, the newest last
 
 
 def fresh_dir(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder; nothing is created."""
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; nothing is created. What is there when the process ends, or drop_made() is called, is removed."""
+    if not _MADE:
+        atexit.register(_at_exit, spark)
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def made_so_far() -> int:
+    """A mark for drop_made()."""
+    return len(_MADE)
+
+
+def drop_made(spark: SparkSession, since: int = 0, kept: tuple[str, ...] = ()) -> None:
+    """Removes the folders made after the mark `since`, for when no DataFrame on them is needed any more; `kept`: those to leave."""
+    mine = _MADE[since:]
+    _MADE[since:] = [m for m in mine if m in kept]
+    for at in mine:
+        if at not in kept:
+            path, fs = _hadoop(spark, at)
+            fs.delete(path, True)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        drop_made(spark)
 
 
 def saved(df: DataFrame, kind: str) -> DataFrame:
@@ -50,6 +84,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(df: DataFrame, bytes_each: int) -> int:
+    """As many partitions as the estimated size of df asks for, at least the session's."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # from file sizes and the columns read
+    return max(shuffle_partitions(df.sparkSession), min(200_000, math.ceil(int(str(size)) / bytes_each)))
+
+
 def pick(df: DataFrame, **cols: str) -> DataFrame:
     """Only the named columns under names of our own, so that no other column can clash."""
     return df.select(*(df[f"`{old}`"].alias(new) for new, old in cols.items()))

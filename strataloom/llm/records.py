@@ -4,12 +4,14 @@ Data file: one record after another, each
     u64 length of the payload | u32 masked CRC-32 of those 8 bytes | payload | u32 masked CRC-32 of the payload
 with payload = i64 row id | u8 flags (1: the id is null) | u8 bytes of an id (2 or 4) | token ids, all little-endian. A
 checksum is masked by rotating it right by 15 bits and adding 0xA282EAD8, so that data which holds checksums stays safe.
-Index file: u64 number of records | u32 masked CRC-32 of the rest | for each record u64 offset, u64 tokens. With it a reader
-fetches any record by one seek, in any order.
+Index file: framed in the same way, first the number of records n (u64), then the n + 1 entries (u64 offset in the data file,
+u64 tokens of all records before) in blocks of INDEXED, each block one frame. All blocks but the last have one size, so a
+reader fetches any record, in any order, by a seek in the index and one in the data, and checks what it reads.
 
-Writing: rows are range-partitioned by id, sorted, encoded and written by the task that holds them, one file pair a task.
-A file's name is unique to the attempt and only files named by finished tasks enter the manifest, so lost executors and
-repeated attempts leave no wrong data. Files go to the shared folder through pyarrow's file systems.
+Writing: rows are range-partitioned by id, sorted, encoded and written by the task that holds them, one file pair a task;
+there are as many tasks as the input's estimated size asks for. A file's name is unique to the attempt and only files named by
+finished tasks enter the manifest, so lost executors and repeated attempts leave no wrong data. Files go to the shared folder
+through pyarrow's file systems.
 
 Defined cases: null and empty texts are the end id alone; null ids come first; rows with equal ids are in the order of
 their texts; very long texts are one record; an empty table has no files and gives no rows.
@@ -17,25 +19,42 @@ their texts; very long texts are one record; an empty table has no files and giv
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from strataloom.llm.common import fresh_dir, pick, shuffle_partitions, table
+from strataloom.llm.common import fresh_dir, partitions_for, pick, table
 
 MASK_DELTA = 0xA282EAD8
 _LENGTH = struct.Struct("<Q")
 _CRC = struct.Struct("<I")
 _HEAD = struct.Struct("<qBB")
+_FRAME = 16  # bytes that a frame adds to its payload
 END_ID = 1
-CACHED_WORDS = 1_000_000  # a worker's cache of encoded words starts anew beyond
+INDEXED = 4096  # index entries in a block
+FILE_BYTES = 64 << 20  # estimated input of a task, and so of a file pair
+
+# The steps before the vocabulary for which pieces of Latin-1 texts are known beforehand.
+KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+# Lower-case letters, numbers and white space of Latin-1, and white space beyond it.
+_LETTERS, _NUMBERS, _SPACES, _FAR_SPACES = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0", "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PIECES = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^{_LETTERS}{_NUMBERS}{_SPACES}]+")
+_WORDS = re.compile(f"[^{_SPACES}{_FAR_SPACES}]+")
+_STRETCH = re.compile(f"(?s).{{1,1000000}}(?![^{_SPACES}])|.+")  # of a long text, between white space where there is some
 
 
 def masked(data: bytes | memoryview) -> int:
@@ -59,111 +78,107 @@ def unframe(data: memoryview) -> memoryview:
     return body
 
 
-def payload(row: int | None, ids: np.ndarray, end_id: int) -> bytes:
-    width = ids.dtype.itemsize
-    return _HEAD.pack(row or 0, row is None, width) + ids.tobytes() + int(end_id).to_bytes(width, "little")
+def payload(row: int | None, ids: bytes, width: int, end_id: int) -> bytes:
+    return b"".join((_HEAD.pack(row or 0, row is None, width), ids, int(end_id).to_bytes(width, "little")))
 
 
 def index_bytes(offsets: list[int], tokens: list[int]) -> bytes:
-    rest = np.array([offsets, tokens], "<u8").T.tobytes()
-    return _LENGTH.pack(len(offsets)) + _CRC.pack(masked(rest)) + rest
-
-
-def read_index(data: bytes) -> np.ndarray:
-    """[records, 2]: offset and tokens."""
-    n, crc = _LENGTH.unpack_from(data)[0], _CRC.unpack_from(data, 8)[0]
-    if len(data) != 12 + 16 * n or masked(data[12:]) != crc:
-        raise ValueError("index: wrong checksum")
-    return np.frombuffer(data, "<u8", offset=12).reshape(n, 2)
+    """offsets: of the records and the end of the data; tokens: before each record, and of all."""
+    entries = np.array([offsets, tokens], "<u8").T
+    return frame(_LENGTH.pack(len(offsets) - 1)) + b"".join(frame(entries[lo : lo + INDEXED].tobytes()) for lo in range(0, len(entries), INDEXED))
+
+
+def read_index(data: Callable[[int, int], bytes], first: int = 0, last: int | None = None) -> np.ndarray:
+    """[last - first + 1, 2]: offset and tokens before, of the records first..last and of what follows them; data(offset, size) reads."""
+    at = _LENGTH.size + _FRAME
+    n = _LENGTH.unpack(unframe(memoryview(data(0, at))))[0]
+    last = n if last is None else min(last, n)
+    step = 16 * INDEXED + _FRAME
+    lo, hi = first // INDEXED, last // INDEXED + 1
+    held, blocks = memoryview(data(at + lo * step, (hi - lo) * step)), []
+    for k in range(lo, hi):
+        blocks.append(np.frombuffer(unframe(held[(k - lo) * step :]), "<u8").reshape(-1, 2))
+    found = np.concatenate(blocks)[first - lo * INDEXED : last + 1 - lo * INDEXED]
+    if len(found) != last + 1 - first:
+        raise ValueError("index: too short")
+    return found
 
 
 def file_system(uri: str):
-    """pyarrow file system and path; a plain path is local."""
+    """pyarrow file system and path of a URI; a path without a scheme could mean another machine's disk and is refused."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
+    if ":" not in uri:
+        raise ValueError(f"records: {uri} has no scheme")
+    return fs.FileSystem.from_uri(uri)
+
+
+class Kept(dict):
+    """Results by key. Beyond `most` a new generation begins; of the one before, what is asked for again moves over."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.before.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[key] = found
+        return found
 
 
 class Encoder:
-    """Token ids of whole texts; words seen before aren't encoded again.
+    """Token ids of whole texts, as little-endian bytes of `width` an id; pieces seen before aren't looked up again.
 
-    The tokenizer splits at white space and its steps before that act on single characters, so the ids of a text are
-    those of its words in turn. Texts for which that can't be relied on are encoded whole: those with separators that
-    Python takes for white space and the tokenizer doesn't, and those that may hold a special token's string.
+    With the known steps before the vocabulary, white space parts words for sure, and in Latin-1 words, which NFC leaves as
+    they are and lower case changes letter by letter, the pieces are those of the tokenizer's own pattern: each goes to the
+    tokenizer's model by itself. Words with other characters go to the library whole. Texts that hold a special token's
+    string, and all texts of tokenizers with other steps, go to the library as they are.
     """
 
-    _odd = tuple("\x1c\x1d\x1e\x1f")
-    _trailing = ".,;:!?|#*%$"
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self._clear()
-
-    def _clear(self) -> None:
-        encoder = self
-
-        class Words(dict):
-            def __missing__(self, word: str) -> int:
-                self[word] = at = encoder._add(word)
-                return at
-
-        self.words, self.cores = Words(), {}
-        self.flat, self.start = array("I"), array("q", [0])
-
-    def _ids(self, word: str) -> list[int]:
-        if word.isascii() and word.isalpha():
-            return [t.id for t in self.tokenizer.model.tokenize(word)]
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def _add(self, word: str) -> int:
-        core = word.rstrip(self._trailing)
-        if core is not word and core != word and core.isalpha():
-            ids = [*self._core(core), *self._core(word[len(core) :])]
-        else:
-            ids = self._core(word)
-        self.flat.extend(ids)
-        self.start.append(len(self.flat))
-        return len(self.start) - 2
-
-    def _core(self, core: str) -> list[int]:
-        found = self.cores.get(core)
-        if found is None:
-            found = self.cores[core] = self._ids(core)
-        return found
-
-    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the len+1 offsets of the texts among them."""
-        if len(self.words) > CACHED_WORDS:
-            self._clear()
-        get = self.words.__getitem__
-        at, counts, whole = [], [], {}
-        for i, text in enumerate(texts):
-            text = text or ""
-            if any(c in text for c in self._odd) or any(s in text for s in self.special):
-                whole[i] = self.tokenizer.encode(text, add_special_tokens=False).ids
-                words = []
-            else:
-                try:
-                    text.encode("latin-1")
-                    words = text.lower().split()
-                except UnicodeEncodeError:
-                    words = [w.lower() if w.isascii() else w for w in text.split()]
-            at.append(np.fromiter(map(get, words), np.int64, len(words)))
-            counts.append(len(words))
-        start, flat = np.array(self.start), np.array(self.flat, np.uint32)
-        every = np.concatenate([*at, np.zeros(0, np.int64)])
-        size = start[every + 1] - start[every]
-        ends = np.cumsum(size)
-        ids = flat[np.repeat(start[every] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.r_[0, ends][np.r_[0, np.cumsum(counts)]] if len(ends) else np.zeros(len(texts) + 1, np.int64)
-        if whole:
-            parts = [np.array(whole[i], np.uint32) if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
-            ids, bounds = np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
-        return ids, bounds
+        steps = json.loads(self.tokenizer.to_str())
+        self.known = steps["normalizer"] == KNOWN_NORMALIZER and steps["pre_tokenizer"] == KNOWN_PRE_TOKENIZER and steps["post_processor"] is None and steps["model"]["type"] == "BPE" and not steps["model"]["dropout"] and not steps["truncation"] and not steps["padding"]
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.width = self.dtype.itemsize
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.known = self.known and not any(t.normalized for t in added)
+        self.special = tuple(t.content for t in added)
+        if self.known:  # letters as the model sees them
+            spelled = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c)) for c in range(256)}
+            self.spelling = {c: x[0][0] for c, x in spelled.items() if x}
+        self.pieces, self.words = Kept(self._piece, kept), Kept(self._whole, kept // 4)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.tokenizer.model.tokenize(piece.translate(self.spelling))], self.dtype).tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not self.known or any(s in text for s in self.special):
+            return self._whole(text)
+        if len(text) > 1_000_000:
+            return b"".join(self._words(part[0]) for part in _STRETCH.finditer(text))
+        return self._words(text)
+
+    def _words(self, text: str) -> bytes:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return b"".join(self._pieces(w) if w.isascii() else self.words[w] for w in _WORDS.findall(text))
+        return self._pieces(text)
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -184,59 +199,53 @@ def write(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "doc_id",
 
         of = encoder(tokenizer)
         part, out, name = TaskContext.get().partitionId(), None, ""
-        offsets, tokens, total = [], [], 0
+        offsets, tokens = [0], [0]
         files, root = file_system(folder)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            lo = 0
-            while lo < len(ids):
-                hi, chars, chunk = lo, 0, []
-                while hi < len(ids) and chars < 2_000_000:
-                    chunk.append(texts[hi].as_py())
-                    chars += len(chunk[-1] or "")
-                    hi += 1
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if out is None:
                     name = f"part-{part:06d}-{uuid.uuid4().hex}"
                     files.create_dir(root, recursive=True)
-                    out = files.open_output_stream(f"{root}/{name}.rec")
-                flat, bounds = of.batch(chunk)
-                small = flat.astype(of.width)
-                written = []
-                for i, row in enumerate(ids[lo:hi]):
-                    record = frame(payload(row, small[bounds[i] : bounds[i + 1]], end_id))
-                    offsets.append(total)
-                    tokens.append(int(bounds[i + 1] - bounds[i]) + 1)
-                    total += len(record)
-                    written.append(record)
-                out.write(b"".join(written))
-                lo = hi
+                    out = files.open_output_stream(f"{root}/{name}.rec", buffer_size=1 << 20)
+                ids = of.encode(text.as_py())
+                record = frame(payload(row, ids, of.width, end_id))
+                out.write(record)
+                offsets.append(offsets[-1] + len(record))
+                tokens.append(tokens[-1] + len(ids) // of.width + 1)
         if out is not None:
             out.close()
             with files.open_output_stream(f"{root}/{name}.idx") as index:
                 index.write(index_bytes(offsets, tokens))
-            yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "records": len(tokens), "tokens": sum(tokens), "bytes": total}], pa.schema([("part", pa.int32()), ("name", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "records": len(tokens) - 1, "tokens": tokens[-1], "bytes": offsets[-1]}], pa.schema([("part", pa.int32()), ("name", pa.string()), ("records", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
 
-    rows = pick(docs, id=id_col, text=text_col).repartitionByRange(shuffle_partitions(docs.sparkSession), "id").sortWithinPartitions("id", "text")
+    rows = pick(docs, id=id_col, text=text_col)
+    rows = rows.repartitionByRange(partitions_for(rows, FILE_BYTES), "id").sortWithinPartitions("id", "text")
     made = rows.mapInArrow(run, "part int, name string, records long, tokens long, bytes long").collect()  # one row a file
     return [r.asDict() for r in sorted(made, key=lambda r: r["part"])]
 
 
+def _entries(files, path: str, first: int, last: int | None) -> np.ndarray:
+    with files.open_input_file(path) as index:
+
+        def data(offset: int, size: int) -> bytes:
+            index.seek(offset)
+            return index.read(size)
+
+        return read_index(data, first, last)
+
+
 def read(folder: str, name: str, order: np.ndarray | None = None, first: int = 0, last: int | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
     """(id, token ids) of the records first..last of a file, or of those in `order`, by the index."""
     files, root = file_system(folder)
-    with files.open_input_stream(f"{root}/{name}.idx") as index:
-        entries = read_index(index.read())
-    wanted = np.arange(first, len(entries) if last is None else last) if order is None else order
+    entries = _entries(files, f"{root}/{name}.idx", first, last)
+    wanted = np.arange(len(entries) - 1) if order is None else np.asarray(order) - first
     with files.open_input_file(f"{root}/{name}.rec") as data:
-        size = data.size()
-        near = order is None
         at, held = 0, memoryview(b"")
         for k in wanted:
-            offset = int(entries[k, 0])
-            end = int(entries[k + 1, 0]) if k + 1 < len(entries) else size
+            offset, end = int(entries[k, 0]), int(entries[k + 1, 0])
             if not (at <= offset and end <= at + len(held)):  # in file order several MB at a time
                 data.seek(offset)
-                at, held = offset, memoryview(data.read(max(end - offset, 4_000_000 if near else 0)))
+                at, held = offset, memoryview(data.read(max(end - offset, 4_000_000 if order is None else 0)))
             body = unframe(held[offset - at : end - at])
             row, null, width = _HEAD.unpack_from(body)
             yield (None if null else row), np.frombuffer(body[_HEAD.size :], f"<u{width}")
@@ -254,8 +263,7 @@ def read_back(spark, folder: str, manifest: list[dict], span: int = 200_000) ->
         for batch in batches:
             for job in batch.to_pylist():
                 files, root = file_system(folder)
-                with files.open_input_stream(f"{root}/{job['name']}.idx") as index:
-                    start = job["before"] + int(read_index(index.read())[: job["lo"], 1].sum())
+                start = job["before"] + int(_entries(files, f"{root}/{job['name']}.idx", job["lo"], job["lo"])[0, 1])
                 rows = []
                 for row, ids in read(folder, job["name"], first=job["lo"], last=job["hi"]):
                     rows.append((row, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))

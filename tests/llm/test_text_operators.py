@@ -137,10 +137,17 @@ def test_frames_notice_damage():
             records.unframe(memoryview(bytes(bad)))
     with pytest.raises(ValueError):
         records.unframe(memoryview(data[:-1]))
-    index = records.index_bytes([0, 21], [2, 3])
-    assert records.read_index(index).tolist() == [[0, 2], [21, 3]]
+    n = 3 * records.INDEXED - 1
+    index = records.index_bytes(list(range(0, 7 * n + 1, 7)), list(range(n + 1)))
+    part = lambda at, size: index[at : at + size]
+    for first, last in ((0, n), (0, 0), (n, n), (records.INDEXED, records.INDEXED + 3), (records.INDEXED - 1, 2 * records.INDEXED)):
+        assert records.read_index(part, first, last).tolist() == [[7 * k, k] for k in range(first, last + 1)]
+    assert len(records.read_index(part)) == n + 1
+    for bad in (index[:-1] + b"x", index[:-1], index[:3] + b"x" + index[4:]):
+        with pytest.raises(ValueError):
+            records.read_index(lambda at, size, bad=bad: bad[at : at + size])
     with pytest.raises(ValueError):
-        records.read_index(index[:-1] + b"x")
+        records.file_system("/shared/records")
 
 
 @pytest.fixture(scope="module")
@@ -148,25 +155,45 @@ def tokenizer():
     return str(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"))
 
 
-def test_encoder_equals_the_library(tokenizer):
-    from tokenizers import Tokenizer
+def same_ids(ours, texts):
+    for text in texts:
+        assert np.frombuffer(ours.encode(text), ours.dtype).tolist() == ours.tokenizer.encode(text or "", add_special_tokens=False).ids, text
 
-    plain, ours = Tokenizer.from_file(tokenizer), records.Encoder(tokenizer)
-    texts = ["Hello, World! it's we'LL don't <|endoftext|> x", "ÀÉ ñ ß İstanbul ΟΔΟΣ Σ é é ́a", "a\x1cb c\x85d\xa0e f​g", "123 4.5 ½ ² ª º ''s 'S abc's.", "", "  ", None, "日本語 テキスト。 😀😀!! naïve… “q”", "x" * 300 + " don't."]
+
+def test_encoder_equals_the_library(tokenizer):
+    ours = records.Encoder(tokenizer, kept=20)
+    texts = ["Hello, World! it's we'LL don't <|endoftext|> x", "ÀÉ ñ ß İstanbul ΟΔΟΣ Σ é é ́a", "a\x1cb c\x85d\xa0e f​g", "123 4.5 ½ ² ª º ''s 'S abc's.", "", "  ", None, "日本語 テキスト。 😀😀!! naïve… “q”", "x" * 300 + " don't.", "Merhaba İ, dünya", "\x00\x01 \x7f\x80\xad"]
+    assert ours.known
     for _ in range(2):
-        ids, at = ours.batch(texts)
-        for i, t in enumerate(texts):
-            assert ids[at[i] : at[i + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids
+        same_ids(ours, texts)
+
+
+def test_every_letter_before_every_sign(tokenizer):
+    ours = records.Encoder(tokenizer)
+    letters = [c for c in map(chr, range(0x11000)) if c.isalpha() and not 0x3400 <= ord(c) < 0xD800]
+    signs = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    same_ids(ours, [" ".join(f"{c}{s} a{c}{s}b" for c in letters[k::400] for s in signs) for k in range(400)])
+    latin = [chr(c) for c in range(256)]
+    same_ids(ours, [" ".join(f"{a}{b} {b}{a}'s" for b in latin) for a in latin] + [f"x{a}{b}'{a}" for a in latin for b in latin])
+
+
+def test_stretches_of_long_texts(tokenizer):
+    ours = records.Encoder(tokenizer)
+    same_ids(ours, ["don't stop, " * 200_000, "word" * 300_000 + "'s end"])
+
+
+def test_a_tokenizer_with_other_steps(tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    ours = records.Encoder(str(public.path("byte_bpe_50k.json")))
+    assert not ours.known
+    same_ids(ours, ["Hello  World's\n\n end.", "é😀 <|endoftext|>", None])
 
 
-@given(st.lists(st.text(max_size=60), max_size=5))
-@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(max_size=60) | st.text("aB's.,é½ \x1c\xa0İ\u0301", max_size=30), max_size=5))
+@settings(max_examples=200, deadline=None)
 def test_encoder_on_any_text(texts):
     public = pytest.importorskip("public_tokenizers")
-    ours = records.encoder(str(public.path("word_bpe_49k.json")))
-    ids, at = ours.batch(texts)
-    for i, t in enumerate(texts):
-        assert ids[at[i] : at[i + 1]].tolist() == ours.tokenizer.encode(t, add_special_tokens=False).ids
+    same_ids(records.encoder(str(public.path("word_bpe_49k.json"))), texts)
 
 
 def test_round_trip(spark, tokenizer):
