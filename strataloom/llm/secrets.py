@@ -1,14 +1,16 @@
 """Secret scans by assignment-aware lexing.
 
-Three base kinds come from fixed patterns. On top, each text is lexed line by line into name-literal pairs (`name = "x"`,
-`name: x`, `"name": "x"`, `name := x`, `export NAME=x`, `<name>x</name>`, `set name x`); a literal that is itself the name
-of an earlier pair, `${name}` or `$name` takes that pair's literal, and adjacent quoted literals joined by `+` are one. Each
-literal is scored by how sensitive its target name is and how random the literal looks; those at or over the threshold
-are added with kind `named`, unless a base span already covers them. A named span is the literal where it is written.
+Three base kinds come from fixed patterns. On top, each text is lexed into name-literal pairs (`name = "x"`, `name: x`,
+`"name": "x"`, `name := x`, `export NAME=x`, `<name>x</name>`, `set name x`, triple quotes, YAML blocks under `name: |`); quotes
+may be escaped inside quoted literals, and quoted literals joined by `+`, in one line or over several, are one. Constants are
+propagated: a bare literal that is the name of an earlier pair, and `${name}` or `$name` bare or in double quotes, take that
+pair's literal; any other quoted literal stands for itself. Each literal is scored by how sensitive its target name is and
+how random it looks (line breaks, indentation and armour lines of blocks left out); those at or over the threshold are added
+with kind `named`, unless a base span already covers them. A named span is the literal where it is written.
 
 Spans count code points, end exclusive, and hold the whole match of a base pattern. Defined cases: null and empty texts
-have no spans and the SHA-256 of the empty string; very long lines are lexed like any other; repeated rows and rows with
-a null id get their own result.
+have no spans and the SHA-256 of the empty string; names, literals and lines of any length are lexed alike; repeated rows and
+rows with a null id get their own result.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,11 +42,20 @@ SENSITIVE = {
 HARMLESS = ["example", "placeholder", "changeme", "your", "none", "null", "true", "false", "undefined", "todo", "redacted", "xxxx", "****", "file", "path", "url", "length", "count"]
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
-#: Name, optional type, sign, then a quoted literal with its quotes or a bare one.
-PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-$])["']?({_NAME})["']?(?:[\x20\t]*:[\x20\t]*[A-Za-z_]+(?=[\x20\t]*=))?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:"([^"\n]++)"|'([^'\n]++)'|(\$?\{{?[A-Za-z0-9+/_.=\-]++\}}?))""")
+_DOUBLE, _SINGLE = r'"((?:[^"\\\n]|\\[^\n])++)"', r"'((?:[^'\\\n]|\\[^\n])++)'"
+_TRIPLE = r'"""((?:[^"]|"(?!""))++)"""' + "|" + r"'''((?:[^']|'(?!''))++)'''"
+_BARE = r"(\$?\{?[A-Za-z0-9+/_.=\-]++\}?)"
+_BLOCK = r"([|>])[+\-]?[\x20\t]*(?=\n[\x20\t])"
+#: Name, optional type, sign, then a literal: triple quotes (2, 3), double (4), single (5), bare (6) or, after a colon, the sign of a block (7).
+PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-$])["']?({_NAME})["']?(?:[\x20\t]*:[\x20\t]*[A-Za-z_]+(?=[\x20\t]*=))?[\x20\t]*(?:(?::=|=>|[:=])[\x20\t]*(?:{_TRIPLE}|{_DOUBLE}|{_SINGLE}|{_BARE})|:[\x20\t]*{_BLOCK})""")
 TAG = re.compile(rf"<({_NAME})>([^<\n]{{2,}}+)</\1>")
-SET = re.compile(rf"(?m)^[\x20\t]*set[\x20\t]+({_NAME})[\x20\t]+([^\s;]{{2,}}+)")
-JOINED = re.compile(r"""["'][\x20\t]*\+[\x20\t]*["']([^"'\n]++)["']""")
+SET = re.compile(rf"(?m)^[\x20\t]*set[\x20\t]+({_NAME})[\x20\t]+([^\s;]++)")
+_BREAK = r"[\x20\t]*(?:\\?\r?\n[\x20\t]*)?"
+JOINED = re.compile(rf"{_BREAK}\+{_BREAK}(?:{_DOUBLE}|{_SINGLE})")
+REFERENCE = re.compile(rf"\$(?:\{{({_NAME})\}}|({_NAME}))")
+_INDENT = re.compile(r"[\x20\t]*")
+_ESCAPE = re.compile(r"\\(.)")
+_ARMOUR = re.compile(r"-----[A-Z0-9 ]+-----")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _MAY = re.compile(r"[:=]|</|(?m:^[\x20\t]*set[\x20\t])")
 
@@ -68,29 +81,58 @@ def randomness(literal: str) -> float:
     return min(1.0, 0.5 * min(entropy / 4.0, 1.0) + 0.15 * (kinds - 1) + 0.2 * min(n / 32, 1.0))
 
 
+def _block(text: str, start: int, end: int) -> tuple[str, int, int]:
+    """A literal over several lines: its lines without indentation, side by side, and where it starts and ends without outer white space."""
+    body = text[start:end]
+    start, end = start + len(body) - len(body.lstrip()), end - len(body) + len(body.rstrip())
+    return "".join(line.strip() for line in _ARMOUR.sub("", body).split("\n")), start, end
+
+
+def _indented(text: str, m: re.Match) -> tuple[int, int]:
+    """Start and end of the lines after a pair that are indented further than its own."""
+    own = m.start() - (text.rfind("\n", 0, m.start()) + 1)
+    at = start = text.index("\n", m.end()) + 1
+    while at < len(text) and _INDENT.match(text, at).end() - at > own:
+        at = text.find("\n", at) + 1 or len(text)
+    return start, at
+
+
+def _literal(text: str, m: re.Match) -> tuple[str, str | None, int, int]:
+    """Value, the name it refers to if it does, start and end."""
+    kind = m.lastindex
+    start, end = m.span(kind)
+    if kind in (2, 3, 7):
+        value, start, end = _block(text, *(_indented(text, m) if kind == 7 else (start, end)))
+        return value, None, start, end
+    if kind == 6:
+        named = REFERENCE.fullmatch(m[6])
+        return m[6], (named[1] or named[2]) if named else m[6], start, end
+    named = REFERENCE.fullmatch(m[4]) if kind == 4 else None
+    value, at = _ESCAPE.sub(r"\1", m[kind]), m.end()
+    while j := JOINED.match(text, at):
+        value, end, at = value + _ESCAPE.sub(r"\1", j[j.lastindex]), j.end(j.lastindex), j.end()
+        named = None
+    return value, (named[1] or named[2]) if named else None, start, end
+
+
 def pairs(text: str) -> list[tuple[str, str, int, int]]:
     """(name, literal, start, end) in the order of the pairs; literal, start and end after propagation: where a constant was written."""
-    found: list[tuple[str, str, int, int]] = []
     if not _MAY.search(text):
         return []
+    found = []
     for m in PAIR.finditer(text):
-        k = 2 if m[2] is not None else 3 if m[3] is not None else 4
-        literal, start, end = m[k], m.start(k), m.end(k)
-        if k < 4:
-            at = end
-            while j := JOINED.match(text, at):
-                literal, end = literal + j[1], j.end(1)
-                at = end
-        found.append((m[1], literal, start, end))
+        value, refers, start, end = _literal(text, m)
+        found.append((start, end, m[1], value, refers))
     if "</" in text:
-        found += [(m[1], m[2], m.start(2), m.end(2)) for m in TAG.finditer(text)]
+        found += [(m.start(2), m.end(2), m[1], m[2], None) for m in TAG.finditer(text)]
     if "set" in text:
-        found += [(m[1], m[2], m.start(2), m.end(2)) for m in SET.finditer(text)]
+        found += [(m.start(2), m.end(2), m[1], m[2], m[2]) for m in SET.finditer(text)]
     known: dict[str, tuple[str, int, int]] = {}
     out = []
-    for name, literal, start, end in sorted(found, key=lambda x: (x[2], x[3])):
-        known[name] = value, at, to = known.get(literal.strip("${}"), (literal, start, end))
-        out.append((name, value, at, to))
+    for start, end, name, value, refers in sorted(found, key=lambda x: x[:2]):
+        own = value, start, end
+        known[name] = own = known.get(refers, own) if refers is not None else own
+        out.append((name, *own))
     return out
 
 
@@ -107,10 +149,13 @@ def scan(text: str | None, threshold: float = 0.5) -> tuple[list[tuple[int, int,
     text = text or ""
     order = lambda x: (x[0], KINDS.index(x[2]), x[1])
     base = sorted(base_spans(text), key=order)
-    more = []
+    starts, reach = [x[0] for x in base], list(accumulate((x[1] for x in base), max))
+    more = set()
     for name, literal, start, end in pairs(text):
-        if sensitivity(name) * randomness(literal) >= threshold and not any(a <= start and end <= b for a, b, _ in base):
-            more.append((start, end, "named"))
+        if sensitivity(name) * randomness(literal) >= threshold:
+            before = bisect_right(starts, start)
+            if not before or reach[before - 1] < end:
+                more.add((start, end, "named"))
     return base, sorted({*base, *more}, key=order)
 
 

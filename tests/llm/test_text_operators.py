@@ -119,6 +119,51 @@ def test_named_spans():
     assert secrets.scan(None) == ([], [])
 
 
+def test_quoted_and_bare_literals_are_apart():
+    named = lambda t: [t[a:b] for a, b, k in secrets.scan(t)[1] if k == "named"]
+    own = "aB3dE5gH7jK9"
+    assert named(f'x = "{own}"\nprivateKey = "x"') == []
+    for use in ("x", "$x", "${x}", '"${x}"', '"$x"'):
+        assert named(f'x = "{own}"\nprivateKey = {use}') == [own]
+    assert named(f"x = '{own}'\nprivateKey = '${{x}}'") == []  # no variables in single quotes
+    assert named(f'x = "{own}"\ny = x\nset privateKey y') == [own]
+
+
+def test_literals_over_several_lines():
+    spans = lambda t: [t[a:b] for a, b, k in secrets.scan(t)[1] if k == "named"]
+    assert spans('privateKey = "aB3dE5" +\n    "gH7jK9" \\\n  + \'xY1\'') == ['aB3dE5" +\n    "gH7jK9" \\\n  + \'xY1']
+    assert spans('privateKey = "aB3d\\"E5gH7jK9"') == ['aB3d\\"E5gH7jK9']
+    assert spans('privateKey = """aB3dE5\ngH7jK9"""') == ["aB3dE5\ngH7jK9"] and spans("privateKey = '''\naB3dE5gH7jK9\n'''") == ["aB3dE5gH7jK9"]
+    block = "  -----BEGIN KEY-----\n  aB3dE5gH\n  7jK9xY1z\n  -----END KEY-----"
+    assert spans(f"privateKey: |\n{block}\nother: 1") == [block.strip()] and spans(f"privateKey: >-\n{block}") == [block.strip()]
+    assert spans("a:\n  privateKey: |\n    aB3dE5gH\n    7jK9xY1z\n  credential: aB3dE5gH7jK9\n") == ["aB3dE5gH\n    7jK9xY1z", "aB3dE5gH7jK9"]
+
+
+FORMS = ['{} = "{}"', "{}: '{}'", '"{}": "{}",', "{} := {}", "export {}={}", "<{}>{}</{}>", "set {} {}", '{} = """{}"""', "{}: |\n    {}"]
+
+
+@given(st.lists(st.tuples(st.sampled_from(["privateKey", "credential", "db_pwd", "colour", "x.width", "title"]), st.sampled_from(FORMS), st.text("aZ3k9QxB7m", min_size=2, max_size=24)), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_named_spans_of_written_pairs(lines):
+    """Texts made of pairs whose places are known: exactly the sensitive names with random literals are found."""
+    text, want = "", set()
+    for name, form, literal in lines:
+        line = form.format(name, literal, name)
+        at = len(text) + line.rindex(literal, 0, line.rindex("</") if "</" in line else len(line))
+        if secrets.sensitivity(name) * secrets.randomness(literal) >= 0.5:
+            want.add((at, at + len(literal)))
+        text += line + "\n"
+    base, every = secrets.scan(text)
+    want = {w for w in want if not any(a <= w[0] and w[1] <= b for a, b, _ in base)}
+    assert {(a, b) for a, b, k in every if k == "named"} == want
+
+
+def test_very_many_spans_take_little_time():
+    text = "".join(f"token=abcdef{i}\nprivateKey = 'aB3dE5gH7jK9{i}'\n" for i in range(40_000))
+    base, every = secrets.scan(text)
+    assert len(base) == 40_000 and len(every) == 80_000
+
+
 def test_code_points(spark):
     row = secrets.find(spark.createDataFrame([(1, "é😀 token=abcdef")], "doc_id long, text string")).first()
     assert row["spans"] == "assign:3:15" and row["base_sha256"] == hashlib.sha256(b"assign:3:15").hexdigest() and row["n_assign"] == 1
