@@ -12,11 +12,11 @@ leave shards empty; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import pick, table
-from strataloom.llm.ranks import running, unit
+from strataloom.llm.common import pick, saved, table
+from strataloom.llm.ranks import numbered, running, unit
 
 SPLIT = 1 << 12  # buckets of the global order; of a source's order as well
 
@@ -51,18 +51,19 @@ def op10(spark, sf_dir, shards: int = 8) -> DataFrame:
 def assign(docs: DataFrame, shards: int = 8, seed: int = 0) -> DataFrame:
     """docs with shard and slot; columns of these names are replaced. Texts are shuffled once, to join them to their places.
 
-    Rows are found again by two hashes of id, source, size and checksum; rows equal in them are numbered and take one place each.
+    Rows are found again by two hashes of id, source, size and checksum. Rows equal in all of them are counted before they are
+    shuffled, get one place each, and are numbered part by part to take them.
     """
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    names = F.xxhash64(F.lit(1), "doc_id", "source", "size", "text_crc32"), F.xxhash64(F.lit(2), "doc_id", "source", "size", "text_crc32")
-    copy = F.row_number().over(Window.partitionBy("__a", "__b").orderBy(F.lit(0)))
-    rows = measured(docs).select("*", *(h.alias(n) for h, n in zip(names, ("__a", "__b"), strict=True))).withColumn("__copy", copy)
-    places = interleaved(rows, shards, seed, keys=["doc_id", "size", "text_crc32", "__copy"])
-    named = places.groupBy("__a", "__b").agg(F.sort_array(F.collect_list(F.struct("__copy", "shard", "slot"))).alias("__places"))
+    names = lambda *c: [F.xxhash64(F.lit(k), *c).alias(n) for k, n in ((1, "__a"), (2, "__b"))]
+    rows = measured(docs).groupBy("doc_id", "source", "size", "text_crc32").agg(F.count("*").alias("__copies"))
+    rows = rows.select("*", *names("doc_id", "source", "size", "text_crc32"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)).alias("__n"))
+    places = saved(interleaved(rows, shards, seed, keys=["doc_id", "size", "text_crc32", "__n"]).select("__a", "__b", "__n", "__copies", "shard", "slot"), "shard-places")
     raw = F.coalesce(docs["text"].cast("binary"), F.lit(b""))
-    parts = docs["doc_id"], docs["source"], (F.octet_length(raw) + 1).cast("long"), F.crc32(raw)
-    own = docs.select(*(docs[f"`{c}`"] for c in kept), *(F.xxhash64(F.lit(k), *parts).alias(n) for k, n in ((1, "__a"), (2, "__b"))))
-    # numbered and joined by the same two columns: one shuffle serves both
-    found = own.withColumn("__n", copy).join(named.hint("merge"), ["__a", "__b"])
-    place = F.element_at("__places", F.col("__n"))
-    return found.select(*(F.col(f"`{c}`") for c in kept), place["shard"].alias("shard"), place["slot"].alias("slot"))
+    own = docs.select(*(docs[f"`{c}`"] for c in kept), *names(docs["doc_id"], docs["source"], (F.octet_length(raw) + 1).cast("long"), F.crc32(raw)))
+    single = own.join(places.where("__copies = 1").drop("__n", "__copies"), ["__a", "__b"])
+    many = places.where("__copies > 1")
+    if not many.isEmpty():
+        again = numbered(own.join(many.select("__a", "__b").distinct(), ["__a", "__b"], "left_semi"), ["__a", "__b"], "__n")
+        single = single.unionByName(again.join(many.drop("__copies"), ["__a", "__b", "__n"]).select(*single.columns))
+    return single.select(*(F.col(f"`{c}`") for c in kept), "shard", "slot")

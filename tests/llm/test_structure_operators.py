@@ -188,6 +188,63 @@ def test_epochs_are_whole_before_the_last(spark):
         assert (own.sort_values("first_token").first_token.diff().dropna() >= 0).all()
 
 
+def test_select_takes_copies_one_by_one(spark):
+    rows = [(1, "a b c d e f g h i j", "en", "s", k % 3) for k in range(100)] + [(None, "x y", None, None, 0)] * 10 + [(2, None, "en", "s", 0)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, copies int").repartition(6)
+    weights = [{None: 1}, {None: 1}, {None: 1}]
+    placed = mixing.mixed(mixing.prepared(docs), fraction=0.8, max_epochs=1, weights=weights).collect()
+    assert sum(r["taken"] for r in placed) == int(1020 * 0.8)
+    assert len({(r["doc_id"], r["copy"]) for r in placed}) == len(placed) and all(0 <= r["copy"] < r["copies"] for r in placed)
+    kept = mixing.select(docs)
+    assert kept.columns == docs.columns
+    counts = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    want = collections.Counter((r["doc_id"], {1: rows[0][1], None: "x y", 2: None}[r["doc_id"]]) for r in mixing.mixed(mixing.prepared(docs), max_epochs=1).collect())
+    assert counts == want and 70 <= counts[1, rows[0][1]] < 100
+
+
+def test_null_ids_are_spread_over_the_order(spark):
+    docs = spark.createDataFrame([(None, f"t{k} " * 3, "en", "s") for k in range(400)], "doc_id long, text string, lang string, source string")
+    rows = mixing.mixed(mixing.prepared(docs), max_epochs=1).collect()
+    assert len(rows) in (320, 321) and len({r["first_token"] for r in rows}) == len(rows)
+
+
+def brute_mixture(docs, seed=1, fraction=0.8, epochs=1):
+    """Rows taken with whole lists: budgets by fill(), each leaf in the order of md5 sums."""
+    leaf = collections.defaultdict(list)
+    for i, t, lang, source in docs:
+        digits = re.search("[0-9]+$", source or "")
+        leaf[f"domain{int(digits[0]) % 3 if digits else 0}", lang or "", source or ""].append((i, t or ""))
+    tokens = {k: sum(len(t.split()) for _, t in v) for k, v in leaf.items()}
+    weight = lambda table, key: table.get(key, table.get(None, 0))
+
+    def down(keys, level, budget):
+        if level == 3:
+            return {keys[0]: budget}
+        groups = collections.defaultdict(list)
+        for k in keys:
+            groups[k[level]].append(k)
+        shares = fill({g: (weight([mixing.DOMAINS, mixing.LANGS, mixing.SOURCES][level], g), epochs * sum(tokens[k] for k in own)) for g, own in groups.items()}, budget)
+        return {k: v for g, own in groups.items() for k, v in down(own, level + 1, shares[g]).items()}
+
+    whole = min(epochs * sum(tokens.values()), int(sum(tokens.values()) * fraction))
+    out = collections.Counter()
+    for k, budget in down(sorted(leaf), 0, whole).items():
+        for epoch in range(epochs):
+            at = epoch * tokens[k]
+            order = sorted(leaf[k], key=lambda r: (hashlib.md5(f"{seed}:{epoch}:{'null' if r[0] is None else r[0]}:{hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest()))
+            for i, t in order:
+                if at < budget:
+                    out[i, t] += 1
+                at += len(t.split())
+    return out
+
+
+def test_mixing_stage_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang", "source")
+    kept = collections.Counter((r["doc_id"], r["text"] or "") for r in mixing.select(docs).collect())
+    assert kept == brute_mixture([tuple(r) for r in docs.collect()])
+
+
 # suffixes
 
 
@@ -382,6 +439,41 @@ def test_shards_of_few_rows_and_hot_source(spark):
     assert {r["n"] for r in out} == {800} and max(r["h"] for r in out) - min(r["h"] for r in out) < 40
 
 
+def brute_shards(rows, shards):
+    """rows (id, source, size, crc) in order of the fractions of their ranks, one list; the hash is Spark's."""
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["source"]].append(r)
+    placed = []
+    for own in by.values():
+        own.sort(key=lambda r: (r["h"] % (1 << 64), r["doc_id"]))
+        placed += [((k + r["shift"]) / len(own), "-" if r["source"] is None else "+" + r["source"], r) for k, r in enumerate(own)]
+    placed.sort(key=lambda x: (x[0], x[1], x[2]["h"], x[2]["doc_id"]))
+    n, seen, out = len(placed), collections.Counter(), {}
+    for p, (_, _, r) in enumerate(placed):
+        shard = p * shards // n
+        out[r["doc_id"]] = shard, seen[shard]
+        seen[shard] += 1
+    return out
+
+
+@pytest.mark.parametrize("shards", [8, 3])
+def test_shards_against_brute_force(spark, shards):
+    rows = sharding.measured(spark.read.parquet(f"{SF}/documents.parquet"))
+    facts = rows.select("*", F.xxhash64(F.lit(0), "doc_id", "size", "text_crc32").alias("h"), (F.shiftrightunsigned(F.xxhash64(F.lit(1), F.concat(F.lit("+"), "source")), 11).cast("double") / float(1 << 53)).alias("shift"))
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.interleaved(rows, shards, keys=["doc_id", "size", "text_crc32"]).collect()}
+    assert got == brute_shards([r.asDict() for r in facts.collect()], shards)
+
+
+def test_repeated_rows_take_a_place_each(spark):
+    docs = spark.createDataFrame([(1, "a", "s", k) for k in range(50)] + [(None, None, None, 0)] * 7 + [(k, f"t{k}", "s", 0) for k in range(2, 30)], "doc_id long, text string, source string, slot int").repartition(5)
+    out = sharding.assign(docs, 4)
+    assert set(out.columns) == {"doc_id", "text", "source", "shard", "slot"}
+    rows = out.collect()
+    assert collections.Counter(r["text"] for r in rows) == collections.Counter(r["text"] for r in docs.collect())
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, k) for s in range(4) for k in range(22 if s == 0 else 21)]
+
+
 # native operators keep to DataFrame functions
 
 
