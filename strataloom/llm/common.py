@@ -36,6 +36,15 @@ def _hadoop(spark: SparkSession, at: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def file_system(uri: str):
+    """pyarrow file system and path of a URI; a path without a scheme could mean another machine's disk and is refused."""
+    from pyarrow import fs
+
+    if ":" not in uri:
+        raise ValueError(f"{uri} has no scheme")
+    return fs.FileSystem.from_uri(uri)
+
+
 _MADE: list[str] = []  # folders of this process, the newest last
 
 

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strataloom.llm.common import fresh_dir, partitions_for, pick, table
+from strataloom.llm.common import file_system, fresh_dir, partitions_for, pick, table
 
 MASK_DELTA = 0xA282EAD8
 _LENGTH = struct.Struct("<Q")
@@ -104,15 +104,6 @@ def read_index(data: Callable[[int, int], bytes], first: int = 0, last: int | No
     return found
 
 
-def file_system(uri: str):
-    """pyarrow file system and path of a URI; a path without a scheme could mean another machine's disk and is refused."""
-    from pyarrow import fs
-
-    if ":" not in uri:
-        raise ValueError(f"records: {uri} has no scheme")
-    return fs.FileSystem.from_uri(uri)
-
-
 class Kept(dict):
     """Results by key. Beyond `most` a new generation begins; of the one before, what is asked for again moves over."""
 

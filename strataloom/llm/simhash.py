@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm.common import pick, saved, shuffle_partitions, table
 from strataloom.llm.components import components, local_forest
+from strataloom.llm.rowmarks import PLACE, located, with_marks, without
 
 SEGMENTS = [(0, 22), (22, 21), (43, 21)]  # first bit and width
 GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the code
@@ -231,7 +232,6 @@ def groups(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str
 
 BANDS, LEAST = 20, 4  # bands of so many least hashes each: a pair at 0.8 shares none with a chance of 0.00003
 WIDE_BITS = 256  # of a document's fingerprint: four words of 64
-SENT_ROWS = 1_000_000  # rows to be dropped up to which they are sent to all tasks instead of shuffling the texts
 _SALTS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * LEAST, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -455,10 +455,11 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
 
     Near copies are those whose sets of shingles have a Jaccard similarity of at least `similarity` (near_keys says which
     of them meet for sure); groups are components of such links.
-    Texts without words are copies of each other.
+    Texts without words are copies of each other; of rows that repeat an id the one with the least checksum of its text
+    stays, null ids come last. Texts are never shuffled: what is found out about a row goes back to it by its place.
     """
-    mark = F.xxhash64(F.lit(1), docs["text"])
-    tagged = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"), mark.alias("mark"))
+    at = located(docs)
+    tagged = at.select(at["doc_id"].cast("long").alias("id"), at["text"].alias("text"), F.xxhash64(at["text"]).alias("mark"), "__file", "__row")
 
     def run(batches):
         for batch in batches:
@@ -467,43 +468,26 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
             f = np.array([m[1] for m in made]).reshape(-1, 4)
             n = np.array([m[2] for m in made], np.int64)
             columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (sig, *f.T, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns, pa.array([m[3].view(np.int64) for m in made], pa.list_(pa.int64()))], ["id", "mark", "sig", "f0", "f1", "f2", "f3", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *columns, pa.array([m[3].view(np.int64) for m in made], pa.list_(pa.int64()))], ["id", "mark", "file", "row", "sig", "f0", "f1", "f2", "f3", "n", "keys"])
 
-    made = saved(tagged.mapInArrow(run, f"id long, mark long, {SIGNED}, keys array<long>"), "near-signatures")
+    made = saved(tagged.mapInArrow(run, f"id long, mark long, file long, row long, {SIGNED}, keys array<long>"), "near-signatures")
     signed = saved(made.groupBy("sig").agg(*(F.min(c).alias(c) for c in ("f0", "f1", "f2", "f3", "n")), F.first("keys").alias("keys")), "near-distinct")
     close = saved(near_linked(signed, similarity), "near-groups")
 
-    def whole(batches):
-        for batch in batches:
-            own = [np.unique(shingle_hashes(words_of(t.as_py()), size)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["its", "shingles"])
+    def whole(batch, found, sigs):
+        own = [np.unique(shingle_hashes(words_of(t.as_py()), size)).view(np.int64) for t in batch.column(0).filter(pa.array(found))]
+        return pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(own, pa.list_(pa.int64()))], ["its", "shingles"])
 
     # one text for each signature of a group; its set is made anew, so that sets of other texts are never written
-    one = F.struct("id", "mark")
-    needed = made.join(close.select("sig").distinct(), "sig").groupBy("sig").agg(F.min(one).alias("one"))
-    needed = saved(needed.select(F.col("sig").alias("its"), F.col("one.id").alias("__id"), F.col("one.mark").alias("__mark")), "near-needed")
-    if needed.count() <= SENT_ROWS:
-        needed = F.broadcast(needed)
-    texts = tagged.join(needed, tagged["id"].eqNullSafe(needed["__id"]) & (tagged["mark"] == needed["__mark"])).select("its", "text")
-    sets = saved(texts.mapInArrow(whole, "its long, shingles array<long>"), "near-sets").dropDuplicates(["its"])
+    needed = made.join(close.select("sig").distinct(), "sig").groupBy("sig").agg(F.min(F.struct("file", "row")).alias("one")).select("one.file", "one.row", F.col("sig").alias("mark"))
+    sets = saved(with_marks(at.select("text", *PLACE), needed, whole, "its long, shingles array<long>"), "near-sets")
     roots = components(set_linked(close, sets, similarity))
     roots = saved(signed.join(roots, F.col("sig") == F.col("node"), "left").select(F.col("sig").alias("its"), F.coalesce("root", "sig").alias("root")), "near-roots")
-    rank = F.struct(F.col("id").isNull().alias("null"), F.col("id").alias("id"), F.col("mark").alias("mark"))
-    rows = made.groupBy("sig", "id", "mark").agg(F.count("*").alias("copies"))  # repeated rows are one here
-    of = saved(rows.join(roots, F.col("sig") == F.col("its")).select("root", "id", "mark", "copies"), "near-rows")
-    first = saved(of.groupBy("root").agg(F.min(rank).alias("first"), F.sum("copies").alias("size")).where("size > 1").withColumnRenamed("root", "r"), "near-first")
-    of = of.join(first, F.col("root") == F.col("r")).withColumn("stays", rank.eqNullSafe(F.col("first"))).where("not stays or copies > 1")
-    of = saved(of.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "stays"), "near-copies")
-    same = lambda df, other: df["doc_id"].eqNullSafe(other["__id"]) & (F.xxhash64(F.lit(1), df["text"]) == other["__mark"])
-    out = of.where("not stays")
-    if out.count() <= SENT_ROWS:  # two longs a row; beyond, Spark chooses and shuffles if need be
-        out = F.broadcast(out)
-    kept = docs.join(out, on=same(docs, out), how="left_anti")
-    again = of.where("stays")
-    if again.isEmpty():
-        return kept
-    alone = kept.join(again, on=same(kept, again), how="left_anti")
-    return alone.unionByName(kept.join(again, on=same(kept, again), how="left_semi").dropDuplicates(["doc_id", "text"]))
+    rank = F.struct(F.col("id").isNull().alias("null"), "id", "mark", "file", "row")
+    of = saved(made.join(roots, F.col("sig") == F.col("its")).select("root", "id", "mark", "file", "row"), "near-rows")
+    first = of.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("size")).where("size > 1").withColumnRenamed("root", "r")
+    out = of.join(first, F.col("root") == F.col("r")).where((F.col("file") != F.col("first.file")) | (F.col("row") != F.col("first.row")))
+    return without(at, out)
 
 
 def op7(spark, sf_dir) -> DataFrame:

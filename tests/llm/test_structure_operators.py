@@ -7,12 +7,13 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strataloom.llm import ann, components, decontaminate, mixing, registry, sharding, simhash, suffixes
+from strataloom.llm import ann, components, decontaminate, mixing, registry, rowmarks, sharding, simhash, suffixes
 
 SF = "/root/testdata/sf0.01"
 SMALL = "/root/testdata/sf0.001"
@@ -539,6 +540,21 @@ def test_near_copies_go_and_others_stay(spark):
     assert all(any(i in p for p in close) for i, _ in rows if i not in kept) and len(kept) >= 60 - 1
 
 
+def test_marks_find_their_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rowmarks, "MARKS", 50)
+    table = spark.range(1000).select(F.col("id").alias("file"), F.concat(F.lit("t"), "id").alias("text"))
+    table.repartition(7).write.parquet(f"{tmp_path}/t")
+    for rows in (spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/t").where("file > 10"), table):
+        at = rowmarks.located(rows)
+        n = at.count()
+        places = at.select(F.col("file").alias("id"), F.col("__file").alias("file"), F.col("__row").alias("row"))
+        left = rowmarks.without(at, places.where("id % 3 = 0"))
+        assert left.columns == ["file", "text"] and sorted(r["file"] for r in left.collect()) == [i for i in range(1000 - n, 1000) if i % 3]
+        got = rowmarks.with_marks(at, places.withColumn("mark", F.col("id")).where("id % 7 = 1").drop("id"), lambda b, found, v: pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(found)), pa.array(v)], ["a", "b"]), "a long, b long").collect()
+        assert sorted(tuple(r) for r in got) == [(i, i) for i in range(1000 - n, 1000) if i % 7 == 1]
+        assert rowmarks.without(at, places.where("false")).count() == n
+
+
 def test_wide_links_in_blocks(monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, (5, 4), dtype=np.uint64)
