@@ -3,17 +3,20 @@
 Words are runs of letters and digits, lower-cased; shingles are five words (items of fewer words: all their words). A
 window of a document has as many shingles as the item it is compared with (shorter documents: one window of all of them).
 
-1. Shingles that some item has are marked in each document. A window of weighted similarity t with an item holds at least
-   t of the item's weight, so only windows over marked shingles with that weight are looked at: nothing else can match.
-2. Each such window gets a 64-bit SimHash. Multi-index Hamming blocks find all items of that size within RADIUS bits: with
+1. One scan marks the shingles that some item has, for all sizes of shingles, and cuts the stretches of a document that a
+   window over a marked shingle can reach; only these travel, once for each different text.
+2. A window of weighted similarity t with an item holds at least t of the item's weight. So it holds one of the item's rarest
+   shingles, those that make up more than 1 - t of its weight, and windows are laid where marked shingles add up to enough;
+   nothing else can match.
+3. Each such window gets a 64-bit SimHash. Multi-index Hamming blocks find all items of that size within RADIUS bits: with
    BLOCKS blocks and fewer than 2 * BLOCKS errors, some block has at most one, so windows look up their blocks as they are
-   and items are listed under each block as it is and with each bit flipped.
-3. Candidates are verified by exact weighted similarity: sum of min over sum of max of shingle counts times weights, the
+   and items are listed under each block as it is and with each bit flipped. A window and an item that step 2 laid it for
+   but whose fingerprints lie further apart are candidates as well, so the estimate loses nothing.
+4. Candidates are verified by exact weighted similarity: sum of min over sum of max of shingle counts times weights, the
    weight of a shingle falling with the number of items that have it: ln(1 + items / items with it).
 
-A pair at the threshold has about 10 of 64 bits different; RADIUS is over three standard deviations beyond. Only the
-benchmark's shingles are sent to all tasks, and only if there are at most MAX_SENT of them; a larger benchmark is joined by
-shuffling marked positions instead.
+Only the benchmark's shingles are sent to all tasks, and only if there are at most MAX_SENT of them; a larger benchmark is
+joined by shuffling marked positions instead.
 
 Defined cases: null, empty and wordless texts and items match nothing; items repeated under several ids match under each;
 null ids of documents and items are reported as null; repeated rows are reported once; an empty table gives no rows.
@@ -23,7 +26,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.llm.common import pick, saved, table
@@ -52,11 +55,15 @@ def shingle_hashes(hashes: str, size: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*(F.col(hashes)[i + j] for j in range(size))))
 
 
+_LANES = 0x0001000100010001  # four counters of 16 bits in a long
+
+
 def simhash(shingles: Column) -> Column:
-    """64 bits as a long: bit b is set if over half of the shingle hashes have it."""
-    bit = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
-    ones = lambda b: F.aggregate(shingles, F.lit(0), lambda s, h: s + F.when(h.bitwiseAND(bit(b)) != 0, 1).otherwise(0))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.when(ones(b) * 2 > F.size(shingles), bit(b)).otherwise(F.lit(0).cast("long"))))
+    """64 bits as a long: bit b is set if over half of the shingle hashes have it. At most 65535 hashes."""
+    ones = lambda k: F.aggregate(shingles, F.lit(0).cast("long"), lambda s, h: s + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES)))
+    counts = F.array(*(ones(k) for k in range(16)))  # counter j of number k counts bit k + 16 * j
+    bit = lambda c, b: F.when(F.shiftrightunsigned(c[b % 16], 16 * (b // 16)).bitwiseAND(F.lit(0xFFFF)) * 2 > F.size(shingles), F.lit((1 << b) - (1 << 64 if b == 63 else 0))).otherwise(F.lit(0).cast("long"))
+    return F.transform(F.array(counts), lambda c: reduce(Column.bitwiseOR, (bit(c, b) for b in range(64))))[0]
 
 
 def block(fp: str | Column, k: int) -> Column:
@@ -73,68 +80,80 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return once(words, "shingles", per_size).select("item", "item_id", "size", F.size("shingles").alias("n"), "shingles")
 
 
-def marked(docs: DataFrame, known: DataFrame, sent: list[int] | None, size: int) -> DataFrame:
-    """Documents with a known shingle: id, text_hash, shingles (of all the text) and hits (the known positions)."""
+def marked(docs: DataFrame, sizes: list[int], sent: dict[int, list[int]] | None, known: DataFrame, reach: int) -> DataFrame:
+    """Stretches of documents around known shingles: id, text_hash, size, all (shingles of the text), at (where it starts), part (its shingles), hits (known places in it)."""
     words = once(docs.where(F.col("text").isNotNull()), "words", word_hashes(F.col("text"))).select("id", F.xxhash64("text").alias("text_hash"), "words")
-    rows = once(words, "shingles", shingle_hashes("words", size)).select("id", "text_hash", "shingles")
+    per_size = F.array(*(F.struct(F.lit(k).alias("size"), shingle_hashes("words", k).alias("shingles")) for k in sizes))
+    rows = words.select("id", "text_hash", F.explode(per_size).alias("x")).select("id", "text_hash", "x.size", "x.shingles").where(F.size("shingles") > 0)
     if sent is not None:
-        at = F.filter(F.sequence(F.lit(0), F.size("shingles") - 1), lambda i: F.col("shingles")[i].isin(sent))
-        return once(rows.where(F.size("shingles") > 0), "hits", at).where(F.size("hits") > 0)
-    spots = rows.select("id", "text_hash", F.posexplode("shingles").alias("pos", "h")).join(known.select("h").distinct(), "h", "left_semi")
-    spots = spots.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("hits"))
-    return rows.join(spots.select(F.col("id").alias("__id"), F.col("text_hash").alias("__t"), "hits"), on=F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__t"))).drop("__id", "__t").dropDuplicates(["id", "text_hash"])
+        is_known = lambda h: reduce(lambda x, k: x.when(F.col("size") == k, h.isin(sent[k])), sizes[1:], F.when(F.col("size") == sizes[0], h.isin(sent[sizes[0]])))
+        rows = once(rows, "hits", F.filter(F.sequence(F.lit(0), F.size("shingles") - 1), lambda i: is_known(F.col("shingles")[i]))).where(F.size("hits") > 0)
+    else:
+        spots = rows.select("text_hash", "size", F.posexplode("shingles").alias("pos", "h")).join(known.select("size", "h"), ["size", "h"], "left_semi")
+        rows = rows.join(spots.groupBy("text_hash", "size").agg(F.sort_array(F.collect_set("pos")).alias("hits")), ["text_hash", "size"])
+    apart = lambda p, q: q - p > 2 * reach
+    begins = F.filter("hits", lambda p, i: (i == 0) | apart(F.col("hits")[F.greatest(i - 1, F.lit(0))], p))
+    ends = F.filter("hits", lambda p, i: (i == F.size("hits") - 1) | apart(p, F.col("hits")[F.least(i + 1, F.size("hits") - 1)]))
+    stretches = F.zip_with(begins, ends, lambda a, b: F.struct(F.greatest(F.lit(0), a - reach + 1).alias("at"), F.least(F.size("shingles"), b + reach).alias("end")))
+    cut = rows.select("id", "text_hash", "size", "shingles", "hits", F.explode(stretches).alias("x"))
+    own = F.transform(F.filter("hits", lambda p: (p >= F.col("x.at")) & (p < F.col("x.end"))), lambda p: p - F.col("x.at"))
+    return cut.select("id", "text_hash", "size", F.size("shingles").alias("all"), "x.at", F.slice("shingles", F.col("x.at") + 1, F.col("x.end") - F.col("x.at")).alias("part"), own.alias("hits"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """id, text_hash, item_id, similarity, hamming, start (a shingle position), for each matching document and item."""
     docs = pick(docs, id=id_col, text=text_col)
     items = saved(items_of(benchmark, item_col, text_col), "bench-items")
-    facts = items.agg(F.sum("n").alias("shingles"), F.count("*").alias("items"), F.sort_array(F.collect_set("size")).alias("sizes")).first()  # one row
-    schema = "id long, text_hash long, item_id long, similarity double, hamming int, start int"
+    facts = items.agg(F.sum("n").alias("shingles"), F.count("*").alias("items"), F.sort_array(F.collect_set("size")).alias("sizes"), F.max("n").alias("reach")).first()  # one row
     if not facts["items"]:
-        return docs.sparkSession.createDataFrame([], schema)
+        return docs.sparkSession.createDataFrame([], "id long, text_hash long, item_id long, similarity double, hamming int, start int")
     entries = items.select("item", "size", "n", F.explode("shingles").alias("h")).groupBy("item", "size", "n", "h").agg(F.count("*").cast("int").alias("c"))
     weights = entries.groupBy("size", "h").agg(F.countDistinct("item").alias("df")).withColumn("w", F.log1p(F.lit(float(facts["items"])) / F.col("df"))).drop("df")
     entries = saved(entries.join(weights, ["size", "h"]), "bench-shingles")
     top = F.log1p(F.lit(float(facts["items"])))  # of shingles that no item has
     whole = entries.groupBy("item", "size", "n").agg(F.sum(F.col("w") * F.col("c")).alias("weight"), F.collect_list(F.struct("h", "c", "w")).alias("entries"))
-    whole = whole.join(items.select("item", simhash(F.col("shingles")).alias("item_fp")), "item")
-    found = []
-    for size in facts["sizes"]:
-        mine = entries.where(F.col("size") == size)
-        sent = [r["h"] for r in mine.select("h").distinct().collect()] if facts["shingles"] <= MAX_SENT else None
-        rows = saved(marked(docs, mine, sent, size).withColumn("size", F.lit(size)), "bench-marked")
-        found.append(rows)
-    rows = reduce(DataFrame.unionByName, found)
-    # hits of each document with their weights, and of each document and item
-    spots = rows.select("id", "text_hash", "size", F.explode("hits").alias("p"), F.size("shingles").alias("all"), "shingles").select("id", "text_hash", "size", "p", "all", F.col("shingles")[F.col("p")].alias("h"))
-    weighed = spots.join(entries.select("size", "h", "w").distinct(), ["size", "h"]).groupBy("id", "text_hash", "size").agg(F.sort_array(F.collect_list(F.struct("p", "w"))).alias("known"))
-    pairs = spots.join(entries.select("item", "size", "n", "h", "w"), ["size", "h"]).groupBy("id", "text_hash", "size", "all", "item", "n").agg(F.collect_set(F.struct("p", "w")).alias("own"))
-    pairs = pairs.join(whole.select("item", "weight"), "item").withColumn("length", F.least("n", "all"))
-    pairs = pairs.where(F.aggregate("own", F.lit(0.0), lambda s, x: s + x["w"]) >= similarity * F.col("weight") - 1e-9)
-    first = F.array_distinct(F.flatten(F.transform("own", lambda x: F.sequence(F.greatest(F.lit(0), F.least(x["p"] - F.col("length") + 1, F.col("all") - F.col("length"))), F.greatest(F.lit(0), F.least(x["p"], F.col("all") - F.col("length")))))))
-    held = lambda s: F.aggregate("own", F.lit(0.0), lambda t, x: t + F.when((x["p"] >= s) & (x["p"] < s + F.col("length")), x["w"]).otherwise(0.0))
-    starts = once(pairs, "starts", F.filter(first, lambda s: held(s) >= similarity * F.col("weight") - 1e-9)).where(F.size("starts") > 0)
-    windows = starts.select("id", "text_hash", "size", "n", "length", F.explode("starts").alias("start")).distinct()
-    body = rows.select(F.col("id").alias("__id"), F.col("text_hash").alias("__t"), F.col("size").alias("__s"), "shingles").dropDuplicates(["__id", "__t", "__s"])
-    known = weighed.select(F.col("id").alias("__id2"), F.col("text_hash").alias("__t2"), F.col("size").alias("__s2"), "known")
-    same = lambda i, t, s: F.col("id").eqNullSafe(F.col(i)) & (F.col("text_hash") == F.col(t)) & (F.col("size") == F.col(s))
-    windows = windows.join(body, same("__id", "__t", "__s")).join(known, same("__id2", "__t2", "__s2"))
-    windows = windows.withColumn("part", F.slice("shingles", F.col("start") + 1, F.col("length")))
-    inside = F.filter("known", lambda x: (x["p"] >= F.col("start")) & (x["p"] < F.col("start") + F.col("length")))
-    windows = windows.withColumn("own_weight", F.aggregate(inside, F.lit(0.0), lambda s, x: s + x["w"]) + (F.col("length") - F.size(inside)) * top)
-    windows = once(windows.select("id", "text_hash", "size", "n", "start", "part", "own_weight"), "fp", simhash(F.col("part")))
-    looked = windows.select("*", F.posexplode(F.array(*(block("fp", k) for k in range(BLOCKS)))).alias("k", "key"))
+    whole = saved(whole.join(items.select("item", simhash(F.col("shingles")).alias("item_fp")), "item"), "bench-whole")
+    # an item's rarest shingles, which make up more than 1 - similarity of its weight
+    rare = Window.partitionBy("item").orderBy(F.desc("w"), "h").rowsBetween(Window.unboundedPreceding, -1)
+    before = entries.join(whole.select("item", "weight"), "item").withColumn("before", F.coalesce(F.sum(F.col("w") * F.col("c")).over(rare), F.lit(0.0)))
+    known = saved(before.groupBy("size", "h").agg(F.first("w").alias("w"), F.collect_set(F.when(F.col("before") <= (1 - similarity + 1e-9) * F.col("weight"), F.col("item"))).alias("items")), "bench-known")
+    sent = None
+    if facts["shingles"] <= MAX_SENT:
+        sent = {k: [] for k in facts["sizes"]}
+        for r in known.select("size", "h").collect():
+            sent[r["size"]].append(r["h"])
+    rows = saved(marked(docs, facts["sizes"], sent, known, facts["reach"]), "bench-marked")
+    place = ["text_hash", "size", "at"]
+    parts = rows.drop("id").dropDuplicates(place)
+    spots = parts.select(*place, F.explode("hits").alias("p"), "part").select(*place, "p", F.col("part")[F.col("p")].alias("h")).join(known, ["size", "h"])
+    spots = spots.groupBy(*place).agg(F.collect_list(F.struct("p", "h", "w")).alias("known"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).where(F.size("items") > 0)
+    pairs = parts.drop("hits").join(spots, place).select(*place, "all", "part", "known", F.explode("items").alias("item"))
+    pairs = pairs.join(whole.select("item", "n", "weight", F.transform("entries", lambda e: e["h"]).alias("its")), "item").withColumn("length", F.least("n", "all"))
+    pairs = once(pairs, "own", F.filter("known", lambda x: F.array_contains("its", x["h"]))).drop("its")
+    enough = similarity * F.col("weight") - 1e-9
+    pairs = pairs.where(F.aggregate("own", F.lit(0.0), lambda s, x: s + x["w"]) >= enough)
+    last = F.col("all") - F.col("length") - F.col("at")  # the last place in the part at which a window fits
+    first = F.array_distinct(F.flatten(F.transform("own", lambda x: F.sequence(F.greatest(F.lit(0), F.least(x["p"] - F.col("length") + 1, last)), F.greatest(F.lit(0), F.least(x["p"], last))))))
+    inside = lambda name, s: F.filter(name, lambda x: (x["p"] >= s) & (x["p"] < s + F.col("length")))
+    weight = lambda xs: F.aggregate(xs, F.lit(0.0), lambda t, x: t + x["w"])
+    laid = pairs.withColumn("s", F.explode(F.filter(first, lambda s: weight(inside("own", s)) >= enough)))
+    laid = once(laid, "in", inside("known", F.col("s")))
+    laid = laid.select("text_hash", "size", "n", (F.col("at") + F.col("s")).alias("start"), "item", F.slice("part", F.col("s") + 1, F.col("length")).alias("window"), (weight(F.col("in")) + (F.col("length") - F.size("in")) * top).alias("own_weight"))
+    laid = saved(laid, "bench-windows")
+    window = ["text_hash", "size", "n", "start"]
+    windows = saved(once(laid.groupBy(*window).agg(F.first("window").alias("window"), F.first("own_weight").alias("own_weight")), "fp", simhash(F.col("window"))), "bench-prints")
+    looked = windows.select(*window, "fp", F.posexplode(F.array(*(block("fp", k) for k in range(BLOCKS)))).alias("k", "key"))
     flips = lambda k: [0, *(1 << j for j in range(_EDGES[k + 1] - _EDGES[k]))]
     listed = whole.select("item", "size", "n", "item_fp", F.explode(F.concat(*(F.array(*(F.struct(F.lit(k).alias("k"), block("item_fp", k).bitwiseXOR(F.lit(f)).alias("key")) for f in flips(k))) for k in range(BLOCKS)))).alias("x")).select("item", "size", "n", "item_fp", "x.k", "x.key")
-    close = looked.join(listed, ["size", "n", "k", "key"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= RADIUS)
-    close = close.groupBy("id", "text_hash", "item", "start").agg(F.first("part").alias("part"), F.first("own_weight").alias("own_weight"), F.first("hamming").cast("int").alias("hamming"))
-    close = close.join(whole.select("item", "weight", "entries"), "item")
+    hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int")
+    close = looked.join(listed, ["size", "n", "k", "key"]).withColumn("hamming", hamming).where(F.col("hamming") <= RADIUS).select(*window, "item", "hamming")
+    far = laid.select(*window, "item").join(windows.select(*window, "fp"), window).join(whole.select("item", "item_fp"), "item").withColumn("hamming", hamming).where(F.col("hamming") > RADIUS).select(*window, "item", "hamming")
+    close = close.unionByName(far).distinct().join(windows.select(*window, F.col("window").alias("part"), "own_weight"), window).join(whole.select("item", "weight", "entries"), "item")
     shared = F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["w"] * F.least(e["c"], F.size(F.filter("part", lambda h: h == e["h"]))))
     close = once(close, "shared", shared).withColumn("similarity", F.col("shared") / (F.col("own_weight") + F.col("weight") - F.col("shared"))).where(F.col("similarity") >= similarity - 1e-9)
-    close = close.join(items.select("item", "item_id"), "item")
-    best = close.groupBy("id", "text_hash", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "hamming")).alias("x"))
-    return best.select("id", "text_hash", F.col("item_id").cast("long").alias("item_id"), F.round("x.similarity", 9).alias("similarity"), "x.hamming", (-F.col("x.s")).alias("start"))
+    best = close.groupBy("text_hash", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "hamming")).alias("x"))
+    best = best.join(items.select("item", F.col("item_id").cast("long").alias("item_id")), "item").join(rows.select("id", "text_hash").distinct(), "text_hash")
+    return best.select("id", "text_hash", "item_id", F.round("x.similarity", 9).alias("similarity"), "x.hamming", (-F.col("x.s")).alias("start"))
 
 
 def op4(spark, sf_dir) -> DataFrame:

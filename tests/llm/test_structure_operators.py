@@ -125,6 +125,31 @@ def test_decontamination_on_the_tables(spark):
     assert got == pytest.approx(brute_similarity(docs, items))
 
 
+def test_fingerprints_of_windows(spark):
+    rng = random.Random(2)
+    rows = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 3, 40, 700)]
+    got = spark.createDataFrame([(r,) for r in rows], "h array<long>").select("h", decontaminate.simhash(F.col("h")).alias("fp")).collect()
+    for r in got:
+        assert r["fp"] % (1 << 64) == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in r["h"]) * 2 > len(r["h"]))
+
+
+def test_decontamination_beyond_the_radius(spark, monkeypatch):
+    docs, items = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    one = {tuple(r) for r in decontaminate.contaminated(docs, items).collect()}
+    monkeypatch.setattr(decontaminate, "RADIUS", 3)
+    assert one and {tuple(r) for r in decontaminate.contaminated(docs, items).collect()} == one
+
+
+def test_decontamination_of_short_items_and_long_texts(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(30)]
+    body = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, body(k)) for i, k in enumerate((1, 2, 3, 4, 5, 6, 9, 30))] + [(8, "w1 w2 w3 w4 w5 w6 w7"), (9, "w1 w2 w3 w4 w5 w6 w7 w8")]
+    docs = [(d, body(rng.randrange(0, 300)) + " " + items[d % 10][1] + " " + body(rng.randrange(0, 200)) + " " + items[d % 7][1]) for d in range(30)] + [(99, items[7][1][:-3])]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["id"], r["item_id"]): r["similarity"] for r in found.collect()} == pytest.approx(brute_similarity(docs, items))
+
+
 def test_hamming_blocks_find_everything_within_radius():
     edges = decontaminate._EDGES
     rng = random.Random(5)
