@@ -12,9 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.functions.boosting import argmax
 from strataloom.operators.hashboost import features_matrix
-from strataloom.operators.metrics import error_rate, log_loss
+from strataloom.operators.metrics import error_rate, label_of, log_loss
 from strataloom.operators.quant import Quant
 from strataloom.sources.dataset import SeriesDataset, estimator_quota
 
@@ -90,6 +89,13 @@ class QuantForest:
         self.trees: list[Tree] = []
         self.num_classes = 0
 
+    @classmethod
+    def from_trees(cls, trees: list[Tree], num_classes: int, **kwargs) -> QuantForest:
+        """A forest of given trees over the features."""
+        out = cls(num_estimators=len(trees), **kwargs)
+        out.trees, out.num_classes = trees, num_classes
+        return out
+
     def fit(self, data: SeriesDataset) -> QuantForest:
         """Trees of all batches together. A tree's rows are one batch: at most limit_mb of series in one task."""
         data.set_batch_size(self.limit_mb)
@@ -128,11 +134,11 @@ class QuantForest:
         return rows.mapInArrow(run, "id long, label int, proba array<double>")
 
     def error_rate(self, data: SeriesDataset) -> float:
-        return error_rate(self.predict_proba(data.df).withColumn("prediction", argmax(F.col("proba")))).first()["error_rate"]
+        return error_rate(self.predict_proba(data.df).withColumn("prediction", label_of(F.col("proba")))).first()["error_rate"]
 
     def score_log_loss(self, data: SeriesDataset) -> tuple[float, float]:
         """Error rate and mean negative log-likelihood of clipped probabilities."""
-        rows = self.predict_proba(data.df).withColumn("prediction", argmax(F.col("proba"))).persist()
+        rows = self.predict_proba(data.df).withColumn("prediction", label_of(F.col("proba"))).persist()
         try:
             return error_rate(rows).first()["error_rate"], log_loss(rows).first()["log_loss"]
         finally:

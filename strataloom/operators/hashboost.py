@@ -2,9 +2,10 @@
 
 One batch adds one hash. All earlier hashes are updated with the same residuals, taken before the batch changes anything;
 their sums add to what they hold. Every step is data-parallel: each task sums residuals and Hessians of its rows by
-(round, bucket, class) in NumPy with the model at hand and sends only visited cells; sums of sums are made by a groupBy,
-and the model (rounds x 2**b x classes) is merged on the driver. The pairs that define a new hash come from the hardest
-rows: a top-k by cross-entropy, doubled until there are enough pairs of different classes.
+(round, bucket, class) in NumPy with the model at hand and sends only visited cells, as arrays; sums of sums are made round
+by round, and the model (rounds x 2**b x classes) is updated on the driver. The pairs that define a new hash come from the
+hardest rows: a top-k by cross-entropy (to nine places, so that ties go by id whatever the order of additions), doubled until
+there are enough pairs of different classes.
 """
 
 from __future__ import annotations
@@ -117,23 +118,29 @@ class HashBoost:
         """Updates all hashes with a batch (id, features, label) and adds one."""
         if self.model.rounds >= self.max_hashes:
             raise ValueError(f"all {self.max_hashes} hashes are used")
+        return self._step(batch, new=True)
+
+    def update(self, batch: DataFrame) -> HashBoost:
+        """Updates all hashes with a batch (id, features, label) and adds none."""
+        return self._step(batch, new=False)
+
+    def _step(self, batch: DataFrame, new: bool) -> HashBoost:
         rows = batch.select("id", F.col("features").cast("array<double>").alias("features"), F.col("label").cast("int").alias("label"))
         scored = self._scored(rows).persist()
         try:
             facts = scored.agg(F.min("label"), F.max("label"), F.countDistinct("label"), F.count("*"), F.max(F.size("features"))).first()
-            if not facts[3] or facts[2] < 2:
+            if new and (not facts[3] or facts[2] < 2):
                 raise ValueError("a batch needs rows of at least two classes")
-            if facts[0] < 0 or facts[1] >= self.model.num_classes:
+            if facts[3] and (facts[0] < 0 or facts[1] >= self.model.num_classes):
                 raise ValueError(f"labels must be 0..{self.model.num_classes - 1}")
-            old = self.model.rounds
-            features, midpoints = self._new_hash(scored, int(facts[3]), int(facts[4]))
-            self.model.add(features, midpoints)
-            sums = self._sums(scored, old)
+            if new:
+                self.model.add(*self._new_hash(scored, int(facts[3]), int(facts[4])))
+            sums = self._sums(scored)
         finally:
             scored.unpersist()
-        for r in sums:
-            self.model.g[r["round"], r["bucket"], r["class"]] -= r["residual"]
-            self.model.h[r["round"], r["bucket"], r["class"]] += r["hessian"]
+        for r, cells, g, h in sums:
+            self.model.g[r].ravel()[cells] -= g
+            self.model.h[r].ravel()[cells] += h
         return self
 
     def _scored(self, rows: DataFrame) -> DataFrame:
@@ -155,7 +162,7 @@ class HashBoost:
         """Tests from pairs of the hardest rows."""
         want, wanted = self.model.bits, 4 * self.model.bits
         while True:
-            top = scored.orderBy(F.desc("ce"), "id").limit(min(wanted, n)).select("id", "label").collect()  # a top-k, widened if it holds too few pairs
+            top = scored.orderBy(F.desc(F.round("ce", 9)), "id").limit(min(wanted, n)).select("id", "label").collect()  # a top-k, widened if it holds too few pairs
             labels = [r["label"] for r in top]
             if len(set(labels)) > 1:
                 pairs, came = pair_up(labels, want)
@@ -167,30 +174,43 @@ class HashBoost:
         features = [self.picker(self.model.rounds, bit, num_features) for bit in range(want)]
         return features, [(x[top[a]["id"]][f] + x[top[b]["id"]][f]) / 2 for f, (a, b) in zip(features, pairs, strict=True)]
 
-    def _sums(self, scored: DataFrame, old: int) -> list:
-        """Residual and Hessian sums by (round, bucket, class) of all hashes, the new one among them."""
+    def _sums(self, scored: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Residual and Hessian sums of all hashes, the new one among them: (round, cells visited, their sums), a cell being bucket * classes + class.
+
+        A task goes through the hashes one by one and sends one row of arrays for each, so neither it nor the driver holds
+        more than the cells that rows fall into.
+        """
         sent = scored.sparkSession.sparkContext.broadcast(self.model)
+        schema = "round int, cells array<long>, g array<double>, h array<double>"
+        names = ["round", "cells", "g", "h"]
+
+        def summed(cells: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            own, at = np.unique(cells, return_inverse=True)
+            return own, np.bincount(at, g, len(own)), np.bincount(at, h, len(own))
+
+        def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+            r, cells, g, h = zip(*rows, strict=True) if rows else ([], [], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(cells, pa.list_(pa.int64())), pa.array(g, pa.list_(pa.float64())), pa.array(h, pa.list_(pa.float64()))], names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = sent.value
-            g, h = np.zeros_like(model.g), np.zeros_like(model.h)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x, y = features_matrix(b.column(1)), b.column(2).to_numpy()
-                p = features_matrix(b.column(3))
-                residual, hessian = p.copy(), p * (1 - p) + HESSIAN_FLOOR
-                residual[np.arange(len(y)), y] -= 1
-                for r in range(model.rounds):
-                    cell = model.buckets(x, r)
-                    np.add.at(g[r], cell, residual)
-                    np.add.at(h[r], cell, hessian)
-            r, c, k = np.nonzero(h)
-            if len(r):
-                yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32)) for v in (r, c, k)] + [pa.array(g[r, c, k]), pa.array(h[r, c, k])], ["round", "bucket", "class", "residual", "hessian"])
-
-        made = scored.select("id", "features", "label", "proba").mapInArrow(run, "round int, bucket int, class int, residual double, hessian double")
-        return made.groupBy("round", "bucket", "class").agg(F.sum("residual").alias("residual"), F.sum("hessian").alias("hessian")).collect()  # the model's size
+            model, k = sent.value, sent.value.num_classes
+            held = [(features_matrix(b.column(1)), b.column(2).to_numpy(), features_matrix(b.column(3))) for b in batches if b.num_rows]
+            if not held:
+                return
+            x, y, p = (np.concatenate([h[i] for h in held]) for i in range(3))
+            residual, hessian = p.copy(), p * (1 - p) + HESSIAN_FLOOR
+            residual[np.arange(len(y)), y] -= 1
+            for r in range(model.rounds):
+                cells = model.buckets(x, r)[:, None] * k + np.arange(k)
+                yield as_batch([(r, *summed(cells.ravel(), residual.ravel(), hessian.ravel()))])
+
+        def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            flat = [table.column(c).combine_chunks().flatten().to_numpy() for c in names[1:]]
+            return pa.Table.from_batches([as_batch([(key[0].as_py(), *summed(*flat))])])
+
+        made = scored.select("id", "features", "label", "proba").mapInArrow(run, schema)
+        found = made.groupBy("round").applyInArrow(merge, schema).toArrow()  # the visited part of the model, a row a round
+        return [(found.column(0)[i].as_py(), *(found.column(c)[i].values.to_numpy() for c in names[1:])) for i in range(found.num_rows)]
 
     # prediction
 
@@ -255,17 +275,20 @@ class HashBoost:
         return out
 
 
-def learning_curve(booster: HashBoost, batches: Callable[[int], list[DataFrame]], splits: dict[str, DataFrame], epochs: int) -> list[dict]:
-    """Trains for some epochs; after each the error rate on each split: (split, epoch, batches, error_rate)."""
-    from strataloom.functions.boosting import argmax
-    from strataloom.operators.metrics import error_rate
+def learning_curve(booster: HashBoost, batches: Callable[[int], list[DataFrame]], splits: dict[str, DataFrame], epochs: int, progress: Callable[[str], None] | None = None) -> list[dict]:
+    """Trains for some epochs; after each the error rate on each split: (split, epoch, batches, error_rate). progress is told of each batch and measure."""
+    from strataloom.operators.metrics import error_rate, label_of
 
     out, count = [], 0
     for epoch in range(epochs):
         for batch in batches(epoch):
             booster.fit_batch(batch)
             count += 1
+            if progress:
+                progress(f"epoch {epoch}: {count} batches")
         for name, df in splits.items():
-            err = error_rate(booster.predict_proba(df).withColumn("prediction", argmax(F.col("proba")))).first()
+            err = error_rate(booster.predict_proba(df).withColumn("prediction", label_of(F.col("proba")))).first()
             out.append({"split": name, "epoch": epoch, "batches": count, "error_rate": err["error_rate"]})
+            if progress:
+                progress(f"epoch {epoch}: {name} error {err['error_rate']:.4f}")
     return out

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.functions.boosting import clipped_log_loss
+from strataloom.functions.boosting import argmax, clipped_log_loss
 
 #: Names that outside learners use for their measures -> (our name, whether it is an accuracy).
 MEASURES = {"multi_error": ("merror", False), "merror": ("merror", False), "Accuracy": ("merror", True), "accuracy": ("merror", True)}
 
 
+def label_of(values: Column) -> Column:
+    """The class of the largest logit or probability, to nine places, so that ties go to the lowest class whatever the order of additions."""
+    return argmax(F.transform(values, lambda x: F.round(x, 9)))
+
+
 def class_count(df: DataFrame, label: str = "label") -> DataFrame:
     return df.agg(F.countDistinct(label).alias("num_classes"))
 
@@ -29,9 +34,9 @@ def confusion_matrix(df: DataFrame, prediction: str = "prediction", label: str =
 
 
 def staged_predictions(stages: DataFrame) -> DataFrame:
-    """(id, label, round, prediction) from logits (id, label, round, class, logit) of every round: running sums, ties to the lowest class."""
+    """(id, label, round, prediction) from logits (id, label, round, class, logit) of every round: running sums to nine places, ties to the lowest class."""
     running = F.sum("logit").over(Window.partitionBy("id", "class").orderBy("round").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sums = stages.withColumn("total", running)
+    sums = stages.withColumn("total", F.round(running, 9))
     best = F.max_by(F.col("class"), F.struct("total", -F.col("class")))
     return sums.groupBy("id", "round").agg(F.first("label").alias("label"), best.alias("prediction"))
 

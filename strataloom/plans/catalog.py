@@ -6,21 +6,22 @@ assembling series. Doubles are rounded to six places on both sides; adding 0.0 m
 
 from __future__ import annotations
 
-import uuid
+import io
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataloom.functions.boosting import argmax, bucket, clipped_log_loss, cross_entropy, hessians, one_hot, pick_feature, residuals, softmax, uniform_logits
+from strataloom.functions.boosting import bucket, clipped_log_loss, cross_entropy, hessians, one_hot, pick_feature, residuals, softmax
 from strataloom.functions.intervals import make_intervals, representation_lengths
 from strataloom.functions.series import REPRESENTATIONS, interval_quantiles, let
 from strataloom.operators import metrics
 from strataloom.operators.hashboost import HashBoost, learning_curve, pair_up
-from strataloom.operators.ordering import multiplier, shuffle_key, with_position
-from strataloom.operators.quant import Quant
-from strataloom.sources.dataset import SeriesDataset, dense_labels, estimator_quota
-from strataloom.sources.results import curve
+from strataloom.operators.ordering import shuffle_key, shuffle_key_sql, with_position
+from strataloom.operators.quant import IntervalModel, Quant
+from strataloom.sources.dataset import SeriesDataset, dense_labels, estimator_quota, read_fold, read_npy
+from strataloom.sources.folders import shared_folder, write_bytes
+from strataloom.sources.results import curve, results_document, write_results
 
 LENGTH, CLASSES, DEPTH, DIV, SEED = 64, 10, 6, 4, 42
 BITS, ROUNDS, LR, BATCH = 4, 3, 0.1, 64
@@ -52,6 +53,10 @@ def rounded(value: Column | str) -> Column:
     return F.round(value, 6) + 0.0
 
 
+def _key(seed: int = SEED, epoch: int = 0) -> str:
+    return shuffle_key_sql("vec_id", seed, epoch)
+
+
 # sources, selection, splitting, batching
 
 
@@ -65,6 +70,57 @@ def class_histogram(spark, sf_dir):
     return embeddings(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query("classes", "select distinct label from embeddings")
+def classes(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in dataset(spark, sf_dir).classes], "label int")
+
+
+@query("series_materialised", "select vec_id, (i - 1)::int as pos, embedding[i]::float::double as value, label::int as label from embeddings, range(1, 65) t(i)")
+def series_materialised(spark, sf_dir):
+    with_ids = dataset(spark, sf_dir).open()
+    rows = with_ids.materialised().select(F.col("id").alias("vec_id"), F.posexplode("series").alias("pos", "value"), "label")
+    with_ids.close()
+    return rows.withColumn("value", F.col("value").cast("double"))
+
+
+@query("fold_file", "select vec_id as id from embeddings where vec_id % 10 = 3")
+def fold_file(spark, sf_dir):
+    """A fold's ids written as text, one float a line, and read back."""
+    at = shared_folder(spark, "fold")
+    _fold(spark, sf_dir).select(F.format_string("%.18e", F.col("id").cast("double"))).write.text(at)
+    return read_fold(spark, at)
+
+
+@query("npy_scan", "select row_number() over (order by vec_id) - 1 as id, label::int as label, pos, value from (select vec_id, label, (i - 1)::int as pos, embedding[i]::float::double as value from embeddings, range(1, 65) t(i) where vec_id < 64) order by vec_id, pos".replace("row_number() over (order by vec_id) - 1 as id", "dense_rank() over (order by vec_id) - 1 as id"))
+def npy_scan(spark, sf_dir):
+    """64 series saved as .npy files and scanned again."""
+    import numpy as np
+
+    rows = embeddings(spark, sf_dir).where("vec_id < 64").orderBy("vec_id").collect()
+    paths = []
+    for values in (np.array([r["embedding"] for r in rows], np.float32), np.array([r["label"] for r in rows], np.int32)):
+        held = io.BytesIO()
+        np.save(held, values)
+        paths.append(shared_folder(spark, "series") + ".npy")
+        write_bytes(spark, paths[-1], held.getvalue())
+    local = [p.removeprefix("file://").removeprefix("file:") for p in paths]
+    return read_npy(spark, *local, rows_per_read=50).select("id", "label", F.posexplode("series").alias("pos", "value"))
+
+
+@query("batch_gather", f"select batch_id, count(*)::bigint as n, min(vec_id) as first_id, sum(label)::bigint as labels from (select vec_id, label, ((row_number() over (order by {_key(epoch=0)}, vec_id) - 1) // {BATCH})::int as batch_id from embeddings) group by batch_id")
+def batch_gather(spark, sf_dir):
+    """The batches of an epoch one by one, as a learner gets them."""
+    found = []
+    for i, batch in enumerate(dataset(spark, sf_dir, batch_size=BATCH, seed=SEED)):
+        found.append((i, *batch.agg(F.count("*"), F.min("id"), F.sum("label")).first()))
+    return spark.createDataFrame(found, "batch_id int, n long, first_id long, labels long")
+
+
+@query("positions_in_order", "select vec_id, row_number() over (order by vec_id) - 1 as position from embeddings")
+def positions_in_order(spark, sf_dir):
+    return dataset(spark, sf_dir, shuffle=False).positions().select(F.col("id").alias("vec_id"), F.col("position").cast("long").alias("position"))
+
+
 @query("num_classes", "select count(distinct label)::bigint as num_classes from embeddings")
 def num_classes(spark, sf_dir):
     return metrics.class_count(embeddings(spark, sf_dir))
@@ -89,10 +145,6 @@ def fold_selection(spark, sf_dir):
     return dataset(spark, sf_dir)[_fold(spark, sf_dir)].labels.select(F.col("id").alias("vec_id"), "label")
 
 
-def _key(seed: int = SEED, epoch: int = 0) -> str:
-    return f"((vec_id % 2147483648) * {multiplier(epoch)} + {seed}) % 4294967296"
-
-
 @query(
     "split_train_val_test",
     f"""with p as (select vec_id, row_number() over (order by {_key()}, vec_id) - 1 as position, count(*) over () as n from embeddings where vec_id % 10 <> 3)
@@ -156,16 +208,23 @@ def events_daily_series(spark, sf_dir):
 # representations, intervals, quantiles
 
 _VALUES = "v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as x from embeddings)"
-_REPR = {
-    "identity": "r_identity as (select vec_id, x as z from v)",
-    "smoothed_diff": """r_smoothed_diff as (select vec_id, list(m order by i) as z from (
- select vec_id, i, (d[greatest(i - 2, 1)] + d[greatest(i - 1, 1)] + d[i] + d[least(i + 1, 63)] + d[least(i + 2, 63)]) / 5.0 as m
- from (select vec_id, [x[j + 1] - x[j] for j in range(1, 64)] as d from v), range(1, 64) t(i)) group by vec_id)""",
-    "second_diff": "r_second_diff as (select vec_id, [(x[j + 2] - x[j + 1]) - (x[j + 1] - x[j]) for j in range(1, 63)] as z from v)",
-    "spectrum": """r_spectrum as (select vec_id, list(m order by k) as z from (
- select vec_id, k, sqrt(power(sum(x[i + 1] * cos(2 * pi() * ((k * i) % 64) / 64)), 2) + power(sum(x[i + 1] * sin(2 * pi() * ((k * i) % 64) / 64)), 2)) as m
- from v, range(33) f(k), range(64) t(i) group by vec_id, k) group by vec_id)""",
-}
+
+
+def _repr_sql(n: int) -> dict[str, str]:
+    """CTEs r_<kind> (vec_id, z) from v, for series of length n."""
+    return {
+        "identity": "r_identity as (select vec_id, x as z from v)",
+        "smoothed_diff": f"""r_smoothed_diff as (select vec_id, list(m order by i) as z from (
+ select vec_id, i, (d[greatest(i - 2, 1)] + d[greatest(i - 1, 1)] + d[i] + d[least(i + 1, {n - 1})] + d[least(i + 2, {n - 1})]) / 5.0 as m
+ from (select vec_id, [x[j + 1] - x[j] for j in range(1, {n})] as d from v), range(1, {n}) t(i)) group by vec_id)""",
+        "second_diff": f"r_second_diff as (select vec_id, [(x[j + 2] - x[j + 1]) - (x[j + 1] - x[j]) for j in range(1, {n - 1})] as z from v)",
+        "spectrum": f"""r_spectrum as (select vec_id, list(m order by k) as z from (
+ select vec_id, k, sqrt(power(sum(x[i + 1] * cos(2 * pi() * ((k * i) % {n}) / {n})), 2) + power(sum(x[i + 1] * sin(2 * pi() * ((k * i) % {n}) / {n})), 2)) as m
+ from v, range({n // 2 + 1}) f(k), range({n}) t(i) group by vec_id, k) group by vec_id)""",
+    }
+
+
+_REPR = _repr_sql(LENGTH)
 
 
 def _interval_sql(length: int) -> str:
@@ -177,11 +236,11 @@ def _interval_sql(length: int) -> str:
   and {length} // (1 << k) + case when (1 << k) - {length} % (1 << k) > ((1 << k) - 1) // 2 then 0 else 1 end > 1), range(64) u(i) where i < n - 1))"""
 
 
-def _quantile_sql(kind: str) -> str:
+def _quantile_sql(kind: str, length: int = LENGTH) -> str:
     """CTE q_<kind>: (vec_id, idx, q, value) of all intervals, from r_<kind>."""
     return f"""q_{kind} as (select vec_id, idx, q::int as q, s[1 + lo] + (place - lo) * (s[1 + least(lo + 1, m - 1)] - s[1 + lo]) - case when k > 1 and q % 2 = 1 then mean else 0 end as value from (
  select vec_id, idx, m, k, s, mean, q, case when k = 1 then (m - 1) / 2.0::double else (m - 1) * q / (k - 1)::double end as place, floor(case when k = 1 then (m - 1) / 2.0::double else (m - 1) * q / (k - 1)::double end)::int as lo from (
-  select vec_id, idx, b - a as m, case when b - a = 1 then 1 else 1 + (b - a - 1) // {DIV} end as k, list_sort(z[a + 1:b]) as s, list_sum(z[a + 1:b]) / (b - a) as mean from r_{kind}, {_interval_sql(representation_lengths(LENGTH)[kind])} i), range(64) t(q) where q < k))"""
+  select vec_id, idx, b - a as m, case when b - a = 1 then 1 else 1 + (b - a - 1) // {DIV} end as k, list_sort(z[a + 1:b]) as s, list_sum(z[a + 1:b]) / (b - a) as mean from r_{kind}, {_interval_sql(representation_lengths(length)[kind])} i), range(64) t(q) where q < k))"""
 
 
 def _representation(kind: str) -> Query:
@@ -229,6 +288,35 @@ def _wide(method: str) -> Query:
 query("quant_features_wide", _WIDE)(_wide("native"))
 query("quant_features_arrow", _WIDE)(_wide("arrow"))
 
+
+
+@query("interval_model", f"with {_VALUES}, {_REPR['identity']}, {_quantile_sql('identity')} select vec_id, (row_number() over (partition by vec_id order by idx, q) - 1)::int as feature, round(value, 6) + 0.0 as value from q_identity")
+def interval_model(spark, sf_dir):
+    rows = embeddings(spark, sf_dir).withColumn("z", REPRESENTATIONS["identity"](F.col("embedding"), LENGTH))
+    model = IntervalModel(LENGTH, DEPTH, DIV).fit(rows)
+    return rows.select("vec_id", F.posexplode(model.transform(F.col("z"))).alias("feature", "value")).select("vec_id", "feature", rounded("value").alias("value"))
+
+
+# two channels of 32: channel c of series i is series 2 * i + c for the CTEs
+_HALF = LENGTH // 2
+_TWO = f"""with v as (select vec_id * 2 + c as vec_id, list_transform(embedding[c * {_HALF} + 1:c * {_HALF} + {_HALF}], lambda x: x::double) as x from embeddings, range(2) t(c)),
+ {', '.join(f'{sql}, {_quantile_sql(k, _HALF)}' for k, sql in _repr_sql(_HALF).items())},
+ every as ({' union all '.join(f'select vec_id, {i} as rep, idx, q, value from q_{k}' for i, k in enumerate(_REPR))})
+select (vec_id // 2)::bigint as vec_id, (row_number() over (partition by vec_id // 2 order by rep, idx, vec_id % 2, q) - 1)::int as feature, round(value, 6) + 0.0 as value from every"""
+
+
+def _two_channels(method: str) -> Query:
+    def run(spark, sf_dir):
+        channels = F.array(F.slice("embedding", 1, _HALF), F.slice("embedding", _HALF + 1, _HALF))
+        rows = Quant(inputCol="series", depth=DEPTH, div=DIV, length=_HALF, method=method).transform(embeddings(spark, sf_dir).select("vec_id", channels.alias("series")))
+        return rows.select("vec_id", F.posexplode("features").alias("feature", "value")).select("vec_id", "feature", rounded("value").alias("value"))
+
+    return run
+
+
+query("quant_two_channels", _TWO)(_two_channels("native"))
+query("quant_two_channels_arrow", _TWO)(_two_channels("arrow"))
+
 # booster steps. Demonstration logits: five times the first ten values of a series
 
 _PROBA = f"""l as (select vec_id, label, c::int as cls, 5 * embedding[c + 1]::double as z from embeddings, range({CLASSES}) t(c)),
@@ -262,9 +350,22 @@ def hardest_examples(spark, sf_dir):
     return rows.orderBy(F.desc("ce"), "vec_id").limit(32).select("vec_id", "label", rounded("ce").alias("ce"))
 
 
-@query("hardest_pairs")
+def _pairs_sql(name: str, ranked: str, want: int) -> str:
+    """CTEs p_<name> (pair, first, second: ids) from CTE `ranked` (l: labels, ids; hardest first), as a queue that each step puts at most one row into."""
+    here = f"(i % len(l))::int"
+    other = f"len(waiting) > 0 and l[waiting[1] + 1] <> l[{here} + 1]"
+    return f"""s_{name} as (select 0 as i, []::int[] as waiting, []::int[][] as pairs union all
+ select i + 1, case when {other} then waiting[2:] when len(waiting) + len(pairs) < {want} then list_append(waiting, {here}) else waiting end, case when {other} then list_append(pairs, [waiting[1], {here}]) else pairs end
+ from s_{name}, {ranked} where len(pairs) < {want}),
+ p_{name} as (select (k - 1)::int as pair, ids[pairs[k][1] + 1] as first, ids[pairs[k][2] + 1] as second from s_{name}, {ranked}, range(1, {want + 1}) t(k) where len(pairs) = {want})"""
+
+
+@query(
+    "hardest_pairs",
+    f"with recursive {_PROBA}, top as (select vec_id, label, -ln(p) as ce from p where cls = label order by -ln(p) desc, vec_id limit 32), ranked as (select list(label order by ce desc, vec_id) as l, list(vec_id order by ce desc, vec_id) as ids from top), {_pairs_sql('hard', 'ranked', 8)} select * from p_hard",
+)
 def hardest_pairs(spark, sf_dir):
-    """Eight pairs of hard rows of different classes; a first-in first-out scan, so tested by hand-made cases instead of SQL."""
+    """Eight pairs of hard rows of different classes."""
     top = hardest_examples(spark, sf_dir).orderBy(F.desc("ce"), "vec_id").collect()  # 32 rows
     pairs, _ = pair_up([r["label"] for r in top], 8)
     return spark.createDataFrame([(i, top[a]["vec_id"], top[b]["vec_id"]) for i, (a, b) in enumerate(pairs)], "pair int, first long, second long")
@@ -293,47 +394,103 @@ def hash_bucket(spark, sf_dir):
     return bucketed(embeddings(spark, sf_dir)).select("vec_id", "round", "bucket")
 
 
-def cell_sums(rows: DataFrame) -> DataFrame:
-    """g and h of each (round, bucket, class) before anything was learned: all classes have the probability 1 / K.
+def flat(spark, sf_dir) -> DataFrame:
+    """(id, features, label): the values of a series as they are."""
+    return dataset(spark, sf_dir).flat()
 
-    Rows of a bucket are counted by class first, so that the classes multiply cells, not rows.
-    """
-    counts = rows.groupBy("round", "bucket", "label").agg(F.count("*").alias("n"))
 
-    cells = counts.groupBy("round", "bucket").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("m"))
-    cells = cells.select("round", "bucket", "n", "m", F.explode(F.sequence(F.lit(0), F.lit(CLASSES - 1))).alias("class"))
-    p = 1.0 / CLASSES
-    own = F.coalesce(F.try_element_at("m", F.col("class")), F.lit(0))
-    return cells.select("round", "bucket", "class", (-(F.col("n") * p - own)).alias("g"), (F.col("n") * (p * (1 - p) + 1e-3)).alias("h"))
+def demo_booster(spark) -> HashBoost:
+    """The demonstration hashes with nothing learned."""
+    splits = spark.createDataFrame([(r, b, PICKED[r][b], MIDPOINTS[r][b]) for r in range(ROUNDS) for b in range(BITS)], "round int, bit int, feature int, midpoint double")
+    return HashBoost.from_tables(splits, spark.createDataFrame([], "round int, bucket int, class int, g double, h double"), CLASSES, LR)
 
 
-def with_leaf(cells: DataFrame) -> DataFrame:
-    return cells.withColumn("leaf", F.col("g") / (F.col("h") + 1e-6) * LR)
+def leaves_of(booster: HashBoost, spark) -> DataFrame:
+    return booster.leaf_table(spark).select("round", "bucket", "class", rounded("g").alias("g"), rounded("h").alias("h"), rounded("leaf").alias("leaf"))
 
 
 def _cells_sql(where: str = "true", name: str = "cells") -> str:
+    """Sums before anything was learned: all classes have the probability 1 / K."""
     return f"""{name} as (select round, bucket, c::int as class, -sum({1.0 / CLASSES} - (c = label)::int) as g, sum({1.0 / CLASSES} * (1 - {1.0 / CLASSES}) + 1e-3) as h from b, range({CLASSES}) t(c) where {where} group by round, bucket, c)"""
 
 
-@query("hash_leaf_table", f"with {_BUCKETS}, {_cells_sql()} select round, bucket, class, round(g, 6) + 0.0 as g, round(h, 6) + 0.0 as h, round(g / (h + 1e-6) * {LR}, 6) + 0.0 as leaf from cells")
+_LEAVES = f"select round, bucket, class, round(g, 6) + 0.0 as g, round(h, 6) + 0.0 as h, round(g / (h + 1e-6) * {LR}, 6) + 0.0 as leaf from"
+
+
+@query("hash_leaf_table", f"with {_BUCKETS}, {_cells_sql()} {_LEAVES} cells")
 def hash_leaf_table(spark, sf_dir):
-    cells = with_leaf(cell_sums(bucketed(embeddings(spark, sf_dir))))
-    return cells.select("round", "bucket", "class", rounded("g").alias("g"), rounded("h").alias("h"), rounded("leaf").alias("leaf"))
+    return leaves_of(demo_booster(spark).update(flat(spark, sf_dir)), spark)
 
 
 @query(
     "hash_leaf_update",
-    f"""with {_BUCKETS}, {_cells_sql('vec_id % 2 = 0', 'old')}, {_cells_sql('vec_id % 2 = 1', 'more')},
- merged as (select coalesce(o.round, m.round) as round, coalesce(o.bucket, m.bucket) as bucket, coalesce(o.class, m.class) as class, coalesce(o.g, 0) + coalesce(m.g, 0) as g, coalesce(o.h, 0) + coalesce(m.h, 0) as h
- from old o full join more m on o.round = m.round and o.bucket = m.bucket and o.class = m.class)
-select round, bucket, class, round(g, 6) + 0.0 as g, round(h, 6) + 0.0 as h, round(g / (h + 1e-6) * {LR}, 6) + 0.0 as leaf from merged""",
+    f"""with {_BUCKETS}, {_cells_sql('vec_id % 2 = 0', 'old')},
+ z as (select b.vec_id, b.label, c::int as class, sum(coalesce(g / (h + 1e-6) * {LR}, 0)) as z from b cross join range({CLASSES}) t(c) left join old o on o.round = b.round and o.bucket = b.bucket and o.class = c where vec_id % 2 = 1 group by all),
+ e as (select *, exp(z - max(z) over (partition by vec_id)) as e from z), p as (select vec_id, label, class, e / sum(e) over (partition by vec_id) as p from e),
+ more as (select round, bucket, class, -sum(p - (class = p.label)::int) as g, sum(p * (1 - p) + 1e-3) as h from b join p on p.vec_id = b.vec_id group by all),
+ merged as (select round, bucket, class, sum(g) as g, sum(h) as h from (select * from old union all select * from more) group by all)
+{_LEAVES} merged""",
 )
 def hash_leaf_update(spark, sf_dir):
-    """Sums of one batch, merged into those of another: a union and a sum do what a full outer join would."""
-    rows = embeddings(spark, sf_dir)
-    old, more = (cell_sums(bucketed(rows.where(F.col("vec_id") % 2 == k))) for k in (0, 1))
-    cells = with_leaf(old.unionByName(more).groupBy("round", "bucket", "class").agg(F.sum("g").alias("g"), F.sum("h").alias("h")))
-    return cells.select("round", "bucket", "class", rounded("g").alias("g"), rounded("h").alias("h"), rounded("leaf").alias("leaf"))
+    """A second batch, whose probabilities are no longer uniform, added to the sums of the first."""
+    rows = flat(spark, sf_dir)
+    booster = demo_booster(spark)
+    for k in (0, 1):
+        booster.update(rows.where(F.col("id") % 2 == k))
+    return leaves_of(booster, spark)
+
+
+def _training_sql(batches: list[str], bits: int, seed: int = SEED, lr: float = LR) -> str:
+    """CTEs of a training, a hash a batch (conditions on vec_id): x, and for each t sp_t (splits) and ce_t (sums) before batch t, after the last as well."""
+    out = ["x as materialized (select vec_id, label, list_transform(embedding, lambda v: v::double) as x from embeddings)", "sp_0 as (select 0 as round, 0 as bit, 0 as feature, 0.0::double as midpoint where false)", "ce_0 as (select 0 as round, 0 as bucket, 0 as class, 0.0::double as g, 0.0::double as h where false)"]
+    for t, where in enumerate(batches):
+        features = " ".join(f"when {b} then {pick_feature(seed, t, b, LENGTH)}" for b in range(bits))
+        out += [
+            f"rows_{t} as materialized (select * from x where {where})",
+            _logits_sql(f"{t}", f"rows_{t}", t, lr),
+            f"ranked_{t} as materialized (select list(label order by round(-ln(p), 9) desc, vec_id) as l, list(vec_id order by round(-ln(p), 9) desc, vec_id) as ids from pr_{t} where class = label)",
+            _pairs_sql(f"{t}", f"ranked_{t}", bits),
+            f"new_{t} as materialized (select {t} as round, pair as bit, feature, (a.x[feature + 1] + b.x[feature + 1]) / 2 as midpoint from (select *, case pair {features} end as feature from p_{t}) join x a on a.vec_id = first join x b on b.vec_id = second)",
+            f"sp_{t + 1} as materialized (select * from sp_{t} union all select * from new_{t})",
+            _buckets_sql(f"all_{t}", f"rows_{t}", f"sp_{t + 1}"),
+            f"sm_{t} as (select round, bucket, class, -sum(p - (class = p.label)::int) as g, sum(p * (1 - p) + 1e-3) as h from bk_all_{t} b join pr_{t} p on p.vec_id = b.vec_id group by all)",
+            f"ce_{t + 1} as materialized (select round, bucket, class, sum(g) as g, sum(h) as h from (select * from ce_{t} union all select * from sm_{t}) group by all)",
+        ]
+    return ",\n".join(out)
+
+
+def _buckets_sql(name: str, rows: str, splits: str) -> str:
+    return f"bk_{name} as materialized (select vec_id, label, round, sum(case when x[feature + 1] <= midpoint then 1 << bit else 0 end)::int as bucket from {rows}, {splits} group by vec_id, label, round)"
+
+
+def _logits_sql(name: str, rows: str, t: int, lr: float = LR) -> str:
+    """CTE pr_<name> (vec_id, label, class, p) of rows under the model before batch t."""
+    return f"""{_buckets_sql(name, rows, f"sp_{t}")},
+ lg_{name} as (select r.vec_id, r.label, c::int as class, coalesce(sum(g / (h + 1e-6) * {lr}), 0) as z from {rows} r cross join range({CLASSES}) k(c) left join bk_{name} b on b.vec_id = r.vec_id left join ce_{t} o on o.round = b.round and o.bucket = b.bucket and o.class = c group by r.vec_id, r.label, c),
+ ex_{name} as (select *, exp(z - max(z) over (partition by vec_id)) as e from lg_{name}),
+ pr_{name} as materialized (select vec_id, label, class, e / sum(e) over (partition by vec_id) as p from ex_{name})"""
+
+
+_THREE = ["vec_id % 3 = 0", "vec_id % 3 = 1", "vec_id % 3 = 2"]
+
+
+def _fitted(spark, sf_dir) -> HashBoost:
+    rows, booster = flat(spark, sf_dir).persist(), HashBoost(CLASSES, num_pairs=BITS, lr=LR, seed=SEED)
+    for k in range(3):
+        booster.fit_batch(rows.where(F.col("id") % 3 == k))
+    rows.unpersist()
+    return booster
+
+
+@query("hashboost_fit_leaves", f"with recursive {_training_sql(_THREE, BITS)} {_LEAVES} ce_3")
+def hashboost_fit_leaves(spark, sf_dir):
+    """Three batches, a hash each: all earlier hashes are updated and a new one is made from the hardest rows."""
+    return leaves_of(_fitted(spark, sf_dir), spark)
+
+
+@query("hashboost_fit_splits", f"with recursive {_training_sql(_THREE, BITS)} select round, bit, feature::int as feature, round(midpoint, 6) + 0.0 as midpoint from sp_3")
+def hashboost_fit_splits(spark, sf_dir):
+    return _fitted(spark, sf_dir).splits(spark).select("round", "bit", "feature", rounded("midpoint").alias("midpoint"))
 
 
 _LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -368,36 +525,35 @@ _STAGES = f"""{_BUCKETS}, {_cells_sql()},
  a as (select vec_id, label, class as prediction from (select *, row_number() over (partition by vec_id order by round(logit, 9) desc, class) as rn from z) where rn = 1)"""
 
 
-def stages(spark, sf_dir) -> DataFrame:
-    """(id, label, round, class, logit); the leaf table is rounds x buckets x classes cells, sent to all tasks."""
-    rows = embeddings(spark, sf_dir)
-    at = bucketed(rows)
-    found = at.join(F.broadcast(with_leaf(cell_sums(at))), ["round", "bucket"], "left").select(F.col("vec_id").alias("id"), "label", (F.col("round") + 1).alias("round"), "class", F.coalesce("leaf", F.lit(0.0)).alias("logit"))
-    first = rows.select(F.col("vec_id").alias("id"), "label", F.lit(0).alias("round"), F.posexplode(F.array(*map(F.lit, uniform_logits(CLASSES)))).alias("class", "logit"))
-    return first.unionByName(found)
+def demo(spark, sf_dir) -> tuple[HashBoost, DataFrame]:
+    """The demonstration hashes, which have learned from all rows, and the rows."""
+    rows = flat(spark, sf_dir)
+    return demo_booster(spark).update(rows), rows
 
 
-def logit_arrays(spark, sf_dir) -> DataFrame:
-    """(id, label, logits): one row a series."""
-    sums = stages(spark, sf_dir).where("round > 0").groupBy("id", "label", "class").agg(F.sum("logit").alias("logit"))
-    return sums.groupBy("id", "label").agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "logit"))), lambda x: x["logit"]).alias("logits"))
+def stages(spark, sf_dir) -> DataFrame:
+    """(id, label, round, class, logit)"""
+    booster, rows = demo(spark, sf_dir)
+    return booster.predict_all(rows)
 
 
 @query("predict_logits", f"with {_STAGES} select vec_id, class, round(logit, 6) + 0.0 as logit from z")
 def predict_logits(spark, sf_dir):
-    rows = logit_arrays(spark, sf_dir).select(F.col("id").alias("vec_id"), F.posexplode("logits").alias("class", "logit"))
+    booster, rows = demo(spark, sf_dir)
+    rows = booster.predict(rows).select(F.col("id").alias("vec_id"), F.posexplode("logits").alias("class", "logit"))
     return rows.select("vec_id", "class", rounded("logit").alias("logit"))
 
 
 @query("predict_proba", f"with {_STAGES} select vec_id, class, round(p, 6) + 0.0 as proba from p")
 def predict_proba(spark, sf_dir):
-    rows = logit_arrays(spark, sf_dir).select(F.col("id").alias("vec_id"), F.posexplode(softmax(F.col("logits"))).alias("class", "proba"))
+    booster, rows = demo(spark, sf_dir)
+    rows = booster.predict_proba(rows).select(F.col("id").alias("vec_id"), F.posexplode("proba").alias("class", "proba"))
     return rows.select("vec_id", "class", rounded("proba").alias("proba"))
 
 
 def predictions(spark, sf_dir) -> DataFrame:
-    rows = logit_arrays(spark, sf_dir)
-    return rows.select("id", "label", softmax(F.col("logits")).alias("proba"), argmax(F.transform("logits", lambda x: F.round(x, 9))).alias("prediction"))
+    booster, rows = demo(spark, sf_dir)
+    return booster.predict_proba(booster.predict(rows)).select("id", "label", "proba", metrics.label_of(F.col("logits")).alias("prediction"))
 
 
 @query("predict_label", f"with {_STAGES} select vec_id, prediction from a")
@@ -420,11 +576,7 @@ _STAGED_ERROR = f"""{_STAGES}, t as (select vec_id, label, round, class, round(s
 
 
 def staged(spark, sf_dir) -> DataFrame:
-    rows = stages(spark, sf_dir)
-    running = F.sum("logit").over(Window.partitionBy("id", "class").orderBy("round").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    best = F.max_by(F.col("class"), F.struct("total", -F.col("class")))
-    winners = rows.withColumn("total", F.round(running, 9)).groupBy("id", "round").agg(F.first("label").alias("label"), best.alias("prediction"))
-    return metrics.error_rate(winners, "prediction", "label", "round")
+    return metrics.staged_error(stages(spark, sf_dir))
 
 
 @query("predict_staged_error", f"with {_STAGED_ERROR} select round, n, round(error_rate, 6) + 0.0 as error_rate from err")
@@ -481,19 +633,86 @@ def _splits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where(key < 0.8 * (1 << 32)), rows.where(key >= 0.8 * (1 << 32))
 
 
-@query("hashboost_train_curve")
+_IN_TRAIN = f"{_key()} < {0.8 * (1 << 32)}"
+_EPOCH_BATCHES = [f"{_IN_TRAIN} and ({_key(epoch=e)} // 1024) % 4 = {i}" for e in range(2) for i in range(4)]
+
+
+def _errors_sql(t: int) -> str:
+    """CTE er_<t> (split, error_rate) under the model before batch t."""
+    return f"""{_logits_sql(f'eval_{t}', 'x', t)},
+ be_{t} as (select *, row_number() over (partition by vec_id order by round(p, 9) desc, class) as rn from pr_eval_{t}),
+ er_{t} as (select case when {_IN_TRAIN} then 'train' else 'valid' end as split, {t // 4 - 1} as epoch, {t} as batches, round(avg((class <> label)::int::double), 6) + 0.0 as error_rate from be_{t} where rn = 1 group by 1)"""
+
+
+@query("hashboost_train_curve", f"with recursive {_training_sql(_EPOCH_BATCHES, 6)}, {_errors_sql(4)}, {_errors_sql(8)} select * from er_4 union all select * from er_8")
 def hashboost_train_curve(spark, sf_dir):
-    rows = featured(spark, sf_dir).persist()
+    """Two epochs of four batches over the values as they are; error rates of both splits after each."""
+    rows = flat(spark, sf_dir).persist()
     train, valid = _splits(rows)
-    booster = HashBoost(CLASSES, num_pairs=6, lr=0.1, seed=SEED)
+    booster = HashBoost(CLASSES, num_pairs=6, lr=LR, seed=SEED)
     batch = lambda epoch: [train.where(F.pmod(F.floor(shuffle_key("id", SEED, epoch) / 1024), F.lit(4)) == i) for i in range(4)]
     found = learning_curve(booster, batch, {"train": train, "valid": valid}, epochs=2)
     rows.unpersist()
-    return spark.createDataFrame([(r["split"], r["epoch"], r["batches"], r["error_rate"]) for r in found], "split string, epoch int, batches int, error_rate double")
+    made = spark.createDataFrame([(r["split"], r["epoch"], r["batches"], r["error_rate"]) for r in found], "split string, epoch int, batches int, error_rate double")
+    return made.withColumn("error_rate", rounded("error_rate"))
+
+
+# a forest of given trees: three tests, four leaves each, in which one class has 0.55 and all others 0.05
+
+
+def _tests(tree: int) -> list[tuple[int, float]]:
+    return [((97 * tree + 31 * node) % 692, round(0.0021 + 0.013 * (node - 1), 4)) for node in range(3)]
+
+
+def _given_trees() -> list:
+    import numpy as np
+
+    from strataloom.operators.forest import Tree
+
+    trees = []
+    for t in range(3):
+        (a, x), (b, y), (c, z) = _tests(t)
+        shares = np.full((7, CLASSES), 0.05)
+        shares[np.arange(3, 7), (4 * t + np.arange(4)) % CLASSES] = 0.55
+        trees.append(Tree(np.array([a, b, c, -1, -1, -1, -1]), np.array([x, y, z, 0, 0, 0, 0]), np.array([1, 3, 5, -1, -1, -1, -1]), np.array([2, 4, 6, -1, -1, -1, -1]), shares))
+    return trees
+
+
+def _leaf_sql(t: int) -> str:
+    (a, x), (b, y), (c, z) = _tests(t)
+    return f"({4 * t} + case when f[{a + 1}] <= {x} then case when f[{b + 1}] <= {y} then 0 else 1 end else case when f[{c + 1}] <= {z} then 2 else 3 end end) % {CLASSES}"
+
+
+_FOREST = f"""{_WIDE[: _WIDE.rindex("select vec_id, (row_number()")]}, w as (select vec_id, list(value order by rep, idx, q) as f from every group by vec_id),
+ k as (select vec_id, [{', '.join(_leaf_sql(t) for t in range(3))}] as own from w),
+ p as (select k.vec_id, e.label, c::int as class, ({' + '.join(f'case when own[{t + 1}] = c then 0.55 else 0.05 end' for t in range(3))})::double / 3 as p from k join embeddings e on e.vec_id = k.vec_id cross join range({CLASSES}) t(c)),
+ a as (select * from (select *, row_number() over (partition by vec_id order by round(p, 9) desc, class) as rn from p) where rn = 1)"""
+
+
+def _forest():
+    from strataloom.operators.forest import QuantForest
+
+    return QuantForest.from_trees(_given_trees(), CLASSES, depth=DEPTH, div=DIV)
+
+
+@query("forest_proba", f"{_FOREST} select vec_id, class, round(p, 6) + 0.0 as proba from p")
+def forest_proba(spark, sf_dir):
+    rows = _forest().predict_proba(dataset(spark, sf_dir).df).select(F.col("id").alias("vec_id"), F.posexplode("proba").alias("class", "proba"))
+    return rows.select("vec_id", "class", rounded("proba").alias("proba"))
+
+
+@query(
+    "forest_scores",
+    f"{_FOREST} select round((select avg((class <> label)::int::double) from a), 6) + 0.0 as error_rate, round(avg(-ln(least(greatest(p, 1.1920929e-07), 1 - 1.1920929e-07))), 6) + 0.0 as log_loss from p where class = label",
+)
+def forest_scores(spark, sf_dir):
+    error, loss = _forest().score_log_loss(dataset(spark, sf_dir))
+    return spark.createDataFrame([(error, loss)], "error_rate double, log_loss double").select(rounded("error_rate").alias("error_rate"), rounded("log_loss").alias("log_loss"))
 
 
 @query("forest_train")
 def forest_train(spark, sf_dir):
+    """Grown trees draw their thresholds from NumPy's generator: tested by properties."""
     from strataloom.operators.forest import QuantForest
 
     data = dataset(spark, sf_dir, seed=SEED)
@@ -505,35 +724,47 @@ def forest_train(spark, sf_dir):
 
 @query("mllib_baselines")
 def mllib_baselines(spark, sf_dir):
+    """All five learners with fewer rounds and trees than BASELINES names (README)."""
     from strataloom.operators.baselines import BASELINES, run_baseline
 
     rows = dataset(spark, sf_dir).flat().persist()
     train, valid = _splits(rows)
-    less = {"tree": {}, "forest": {"trees": 5, "max_depth": 8}, "boosted_leafwise": {"rounds": 1, "max_depth": 2}}
-    found = [(b.name, b.substitute, split, err) for b in BASELINES if b.name in less for split, err in run_baseline(b, train, {"train": train, "valid": valid}, **less[b.name]).items()]
+    boosted = {"rounds": 2, "max_depth": 2, "patience": 1}
+    less = {"tree": {}, "forest": {"trees": 5, "max_depth": 8}}
+    found = [(b.name, b.substitute, split, err) for b in BASELINES for split, err in run_baseline(b, train, {"train": train, "valid": valid}, **less.get(b.name, boosted)).items()]
     rows.unpersist()
     return spark.createDataFrame(found, "learner string, substitute string, split string, error_rate double")
 
 
-@query("streaming_fit")
+@query("measure_names", "select * from (values ('multi_error', 0.25::double, 'merror', 0.25::double), ('Accuracy', 0.75, 'merror', 0.25), ('merror', 0.5, 'merror', 0.5), ('other', 0.125, 'other', 0.125)) t(name, value, measure, normalised)")
+def measure_names(spark, sf_dir):
+    rows = [(n, v, *metrics.normalised_measure(n, v)) for n, v in (("multi_error", 0.25), ("Accuracy", 0.75), ("merror", 0.5), ("other", 0.125))]
+    return spark.createDataFrame(rows, "name string, value double, measure string, normalised double")
+
+
+@query("streaming_fit", f"with recursive {_training_sql(['true'], 4)} {_LEAVES} ce_1")
 def streaming_fit(spark, sf_dir):
     """The online learner over a file stream of the table, until all of it has been read."""
     from strataloom.streaming.online import OnlineTrainer
 
     rows = embeddings(spark, sf_dir)
     source = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/embeddings.parquet*").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), "label")
-    trainer = OnlineTrainer(HashBoost(CLASSES, num_pairs=4, seed=SEED))
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_streams"
-    trainer.start(source, f"{base}/{uuid.uuid4().hex}").awaitTermination()
-    return trainer.booster.leaf_table(spark)
+    trainer = OnlineTrainer(HashBoost(CLASSES, num_pairs=4, lr=LR, seed=SEED))
+    trainer.start(source, shared_folder(spark, "stream")).awaitTermination()
+    return leaves_of(trainer.booster, spark)
 
 
-@query("results_json")
+@query("results_json", f"with {_STAGED_ERROR} select 'hashboost' as model, 'round' as x_name, 'train' as split, 'merror' as metric, {BITS} as bits, round as x, round(error_rate, 6) + 0.0 as y from err")
 def results_json(spark, sf_dir):
-    """The nested document of a run, as one JSON text."""
-    points = curve(staged(spark, sf_dir).withColumn("split", F.lit("train")), "round", "error_rate", "split")
-    document = F.struct(F.lit("embeddings").alias("dataset"), F.struct(F.lit("quant").alias("name"), F.lit(DEPTH).alias("depth"), F.lit(DIV).alias("div")).alias("transform"), F.col("split"), F.struct(F.lit("round").alias("x_name"), F.col("curve").alias("error_rate")).alias("results"))
-    return points.select(F.to_json(document).alias("document"))
+    """The nested document of a run, written, read and laid out as rows again."""
+    points = staged(spark, sf_dir).select(F.lit("hashboost").alias("model"), F.lit("round").alias("x_name"), F.lit("train").alias("split"), F.lit("merror").alias("metric"), F.col("round").alias("x"), F.col("error_rate").alias("y"))
+    params = spark.createDataFrame([("hashboost", BITS, LR)], "model string, bits int, lr double").select("model", F.struct("bits", "lr").alias("params"))
+    at = write_results(results_document(curve(points, "x", "y", "model", "x_name", "split", "metric"), params, dataset="embeddings", depth=DEPTH, div=DIV), shared_folder(spark, "results"))
+    form = "struct<models: map<string, struct<x_name: string, params: struct<bits: int, lr: double>, results: map<string, map<string, struct<x: array<int>, y: array<double>>>>>>>"
+    rows = spark.read.text(at, wholetext=True).select(F.from_json("value", form).alias("d"))
+    rows = rows.select(F.explode("d.models").alias("model", "m")).select("model", "m.x_name", "m.params.bits", F.explode("m.results").alias("split", "r")).select("*", F.explode("r").alias("metric", "c"))
+    rows = rows.select("model", "x_name", "bits", "split", "metric", F.explode(F.arrays_zip("c.x", "c.y")).alias("p"))
+    return rows.select("model", "x_name", "split", "metric", "bits", F.col("p.x").alias("x"), rounded("p.y").alias("y"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -544,6 +775,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i in range(3):
         booster.fit_batch(train.where(F.pmod(F.floor(shuffle_key("id", SEED) / 1024), F.lit(3)) == i))
     parts = [booster.predict_proba(df).withColumn("split", F.lit(name)) for name, df in (("train", train), ("valid", valid))]
-    return metrics.error_rate(parts[0].unionByName(parts[1]).withColumn("prediction", argmax(F.col("proba"))), "prediction", "label", "split")
+    return metrics.error_rate(parts[0].unionByName(parts[1]).withColumn("prediction", metrics.label_of(F.col("proba"))), "prediction", "label", "split")
 
 

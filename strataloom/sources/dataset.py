@@ -4,24 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cached_property
-from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.operators.ordering import shuffle_key, with_position
-
-
-class TrainingData(Protocol):
-    """What batch learners need of their data."""
-
-    num_batches: int
-
-    def set_batch_size(self, limit_mb: float) -> None: ...
-
-    def __iter__(self) -> Iterator[DataFrame]: ...
+from strataloom.sources.folders import remove, shared_folder
 
 
 def read_npy(spark: SparkSession, path_x: str, path_y: str, rows_per_read: int = 65536) -> DataFrame:
@@ -59,6 +49,7 @@ class SeriesDataset:
         self.df, self.batch_size, self.shuffle, self.seed = df, batch_size, shuffle, seed
         self.epoch = -1
         self._cached = False
+        self._folders: list[str] = []
 
     @classmethod
     def from_table(cls, df: DataFrame, id_col: str, series_col: str, label_col: str, **kwargs) -> SeriesDataset:
@@ -79,7 +70,9 @@ class SeriesDataset:
         return self
 
     def close(self) -> None:
-        """Lets go of what open() kept, for this view only."""
+        """Lets go of what open() kept and of written positions, for this view only."""
+        while self._folders:
+            remove(self.df.sparkSession, self._folders.pop())
         if self._cached:
             self.df.unpersist()
             self._cached = False
@@ -111,23 +104,23 @@ class SeriesDataset:
         return self.df.select("id", "label")
 
     def positions(self, epoch: int = 0) -> DataFrame:
-        """The view with the 0-based position of each row in this epoch's order."""
-        key = shuffle_key("id", self.seed, epoch) if self.shuffle else None
-        if key is not None:
-            return with_position(self.df, key, "id")
-        ranked = self.df.select("id").repartitionByRange("id").sortWithinPartitions("id").withColumn("__at", F.monotonically_increasing_id())
-        part = F.shiftright("__at", 33).cast("int")
-        sizes = {r["p"]: r["n"] for r in ranked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row a partition
-        before, total = {}, 0
-        for p in sorted(sizes):
-            before[p], total = total, total + sizes[p]
-        offset = F.element_at(F.create_map(*(F.lit(v) for p in before.items() for v in p)), part) if before else F.lit(0)
-        placed = ranked.select("id", (offset + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias("position"))
-        return self.df.join(placed, "id")
+        """id and the 0-based position of each row in this epoch's order; only ids move."""
+        ids = self.df.select("id")
+        if self.shuffle:
+            return with_position(ids, shuffle_key("id", self.seed, epoch), "id")
+        # in order of ids: the ranges of a range partitioning, numbered as they are and written, so that counts and numbers agree
+        spark, part = ids.sparkSession, F.shiftright("__at", 33)
+        self._folders.append(shared_folder(spark, "positions"))
+        ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("__at", F.monotonically_increasing_id()).write.parquet(self._folders[-1])
+        ranked = spark.read.parquet(self._folders[-1])
+        sizes = ranked.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # a row a partition
+        before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = ranked.withColumn("__part", part).join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")
+        return placed.select("id", (F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).alias("position"))
 
     def batches(self, epoch: int = 0) -> DataFrame:
-        """The view with batch_id; the last batch may be short."""
-        return self.positions(epoch).withColumn("batch_id", F.floor(F.col("position") / self.batch_size).cast("int"))
+        """The view with position and batch_id; the last batch may be short."""
+        return self.df.join(self.positions(epoch), "id").withColumn("batch_id", F.floor(F.col("position") / self.batch_size).cast("int"))
 
     @property
     def num_batches(self) -> int:
@@ -139,20 +132,27 @@ class SeriesDataset:
         self.batch_size = max(1, int(limit_mb * (1 << 20) // (4 * int(np.prod(inner)))))
 
     def __iter__(self) -> Iterator[DataFrame]:
-        """The batches of the next epoch, each a DataFrame; every iteration is a new epoch with an order of its own."""
+        """The batches of the next epoch, each a DataFrame; every iteration is a new epoch with an order of its own.
+
+        Rows are dealt out to folders by batch once an epoch, so that each batch reads its own rows only.
+        """
         self.epoch += 1
-        rows = self.batches(self.epoch).persist()
+        spark = self.df.sparkSession
+        folder = shared_folder(spark, "batches")
+        rows = self.batches(self.epoch)
+        rows.repartition("batch_id").write.partitionBy("batch_id").parquet(folder)
+        own = rows.drop("batch_id").schema
         try:
             for i in range(self.num_batches):
-                yield rows.where(F.col("batch_id") == i)
+                yield spark.read.schema(own).parquet(f"{folder}/batch_id={i}").withColumn("batch_id", F.lit(i))
         finally:
-            rows.unpersist()
+            remove(spark, folder)
 
     def split(self, **sizes: int) -> dict[str, SeriesDataset]:
         """Disjoint views of consecutive stretches of the shuffled order, by name and size."""
-        rows, out, lo = with_position(self.df, shuffle_key("id", self.seed), "id"), {}, 0
+        places, out, lo = with_position(self.df.select("id"), shuffle_key("id", self.seed), "id"), {}, 0
         for name, n in sizes.items():
-            out[name] = self.view(rows.where((F.col("position") >= lo) & (F.col("position") < lo + n)).drop("position"))
+            out[name] = self[places.where((F.col("position") >= lo) & (F.col("position") < lo + n))]
             lo += n
         return out
 

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import json
+import resource
 import subprocess
 import time
-from collections.abc import Iterator
-from contextlib import contextmanager
 from pathlib import Path
-from typing import Any
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,45 +19,61 @@ def git_hash(short: bool = True) -> str | None:
         return None
 
 
-def plain(value: Any) -> Any:
-    """Encodes what JSON has no type for: NumPy scalars and arrays, tables; anything else as text."""
-    if isinstance(value, np.generic):
-        return value.item()
-    if isinstance(value, np.ndarray):
-        return value.tolist()
-    if isinstance(value, DataFrame):
-        return [r.asDict(recursive=True) for r in value.collect()]
-    return str(value)
-
-
 def curve(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """A struct {x: [...], y: [...]} for each group, in the order of x."""
     points = F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))))
     return df.groupBy(*by).agg(points.alias("__p")).select(*by, F.struct(F.transform("__p", lambda p: p["x"]).alias("x"), F.transform("__p", lambda p: p["y"]).alias("y")).alias("curve"))
 
 
-class Timings:
-    """Wall and CPU seconds by name."""
+class Stopwatch:
+    """Times blocks: `with watch("name"): ...`. rows holds (name, wall_s, cpu_s) of each block that ended, failed ones too."""
 
     def __init__(self):
-        self.entries: dict[str, list[dict[str, float]]] = {}
-
-    @contextmanager
-    def timed(self, name: str) -> Iterator[None]:
-        wall, cpu = time.perf_counter(), time.process_time()
-        try:
-            yield
-        finally:
-            self.entries.setdefault(name, []).append({"wall_s": time.perf_counter() - wall, "cpu_s": time.process_time() - cpu})
-
-
-def write_results(path: str | Path, models: dict[str, tuple[dict, dict, str]], timings: Timings | None = None, **info: Any) -> Path:
-    """models: name -> (params, {split: {metric: {x, y}}}, name of x). Writes one JSON document and returns its path."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    spent = timings.entries if timings else {}
-    document = {"commit": git_hash(), **info, "models": {name: {"x_name": x, "params": params, "timings": spent.get(name), "results": results} for name, (params, results, x) in models.items()}}
-    path.write_text(json.dumps(document, indent=2, default=plain))
+        self.rows: list[tuple[str, float, float]] = []
+        self._open: list[tuple[str, float, float]] = []
+
+    @staticmethod
+    def _now() -> tuple[float, float]:
+        used = resource.getrusage(resource.RUSAGE_SELF)
+        return time.monotonic(), used.ru_utime + used.ru_stime
+
+    def __call__(self, name: str) -> Stopwatch:
+        self._open.append((name, *self._now()))
+        return self
+
+    def __enter__(self) -> Stopwatch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        name, wall, cpu = self._open.pop()
+        now = self._now()
+        self.rows.append((name, now[0] - wall, now[1] - cpu))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, "model string, wall_s double, cpu_s double")
+
+
+def results_document(curves: DataFrame, params: DataFrame, timings: DataFrame | None = None, **info: Column | str | int | float) -> DataFrame:
+    """One row, `document`: the JSON text of a run, made by the engine from typed tables.
+
+    curves: model, x_name, split, metric and curve (of curve()). params: model and params, any struct or map. timings: of
+    Stopwatch.table(). info: further fields at the top, next to the commit.
+    """
+    by_split = curves.groupBy("model", "x_name", "split").agg(F.map_from_entries(F.collect_list(F.struct("metric", "curve"))).alias("own"))
+    models = by_split.groupBy("model", "x_name").agg(F.map_from_entries(F.collect_list(F.struct("split", "own"))).alias("results"))
+    models = models.join(params.select("model", "params"), "model", "left")
+    parts = [F.col("x_name"), F.col("params"), F.col("results")]
+    if timings is not None:
+        spent = timings.groupBy("model").agg(F.collect_list(F.struct("wall_s", "cpu_s")).alias("timings"))
+        models, parts = models.join(spent, "model", "left"), [*parts, F.col("timings")]
+    top = [F.lit(git_hash()).alias("commit"), *((v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in info.items())]
+    whole = models.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("model", F.struct(*parts)))).alias("models"))
+    return whole.select(F.to_json(F.struct(*top, "models"), {"pretty": "true"}).alias("document"))
+
+
+def write_results(document: DataFrame, path: str) -> str:
+    """Writes a document of results_document() as a folder of one text file; what is there is replaced."""
+    document.coalesce(1).write.mode("overwrite").text(path)
     return path
 
 

@@ -145,11 +145,11 @@ def test_learning_curve_falls(spark):
 
 def test_online_trainer_skips_replays(spark, tmp_path):
     df = spark.createDataFrame(ROWS, "id long, features array<double>, label int")
-    trainer = OnlineTrainer(HashBoost(2, num_pairs=2, seed=1), tmp_path / "state")
+    trainer = OnlineTrainer(HashBoost(2, num_pairs=2, seed=1), f"{tmp_path}/state")
     trainer(df, 0)
     trainer(df, 0)
     assert trainer.booster.model.rounds == 1
-    again = OnlineTrainer(HashBoost(2, num_pairs=2, seed=1), tmp_path / "state")
+    again = OnlineTrainer(HashBoost(2, num_pairs=2, seed=1), f"{tmp_path}/state")
     again(df, 0)
     assert again.booster.model.rounds == 1 and again.last_batch == 0
     again(df.where("label = 0"), 1)
@@ -162,3 +162,14 @@ def test_stream_until_it_ends(spark, tmp_path):
     trainer = OnlineTrainer(HashBoost(2, num_pairs=2, seed=1))
     trainer.start(stream, str(tmp_path / "checkpoint")).awaitTermination()
     assert trainer.booster.model.rounds >= 1
+    again = OnlineTrainer(HashBoost(2, num_pairs=2, seed=1), trainer.state)
+    again(spark.createDataFrame(ROWS, "id long, features array<double>, label int"), trainer.last_batch)
+    assert np.allclose(again.booster.model.g, trainer.booster.model.g)
+
+
+def test_update_without_a_new_hash(spark):
+    booster, df = fitted(spark)
+    splits = booster.splits(spark)
+    fixed = HashBoost.from_tables(splits, booster.leaf_table(spark).where("false"), 2).update(df)
+    assert np.allclose(fixed.model.g, booster.model.g) and fixed.model.rounds == 1
+    assert np.allclose(fixed.update(df.where("false")).model.g, booster.model.g)

@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.operators import metrics
-from strataloom.operators.baselines import BASELINES, early_stopped, run_baseline
+from strataloom.operators.baselines import BASELINES, boosted, early_stopped, run_baseline, with_vector
 from strataloom.operators.forest import QuantForest, grow
+from strataloom.operators.ordering import shuffle_key, with_position
 from strataloom.sources.dataset import SeriesDataset, dense_labels, read_fold, read_npy
-from strataloom.sources.results import Timings, curve, git_hash, plot_curves, write_results
+from strataloom.sources.results import Stopwatch, curve, git_hash, plot_curves, results_document, write_results
 
 
 @pytest.fixture(scope="module")
@@ -106,18 +107,43 @@ def test_metrics(spark):
 
 
 def test_results_document(spark, tmp_path):
-    timings = Timings()
-    with timings.timed("tree"):
+    watch = Stopwatch()
+    with watch("tree"), watch("inner"):
         pass
-    path = write_results(tmp_path / "deep" / "run.json", {"tree": ({"depth": np.int64(3)}, {"train": {"merror": {"x": [1], "y": np.array([0.5])}}}, "depth")}, timings, dataset="series")
-    document = json.loads(path.read_text())
-    assert document["models"]["tree"]["params"]["depth"] == 3 and len(document["models"]["tree"]["timings"]) == 1 and document["dataset"] == "series"
+    with pytest.raises(KeyError), watch("tree"):
+        raise KeyError
+    assert [r[0] for r in watch.rows] == ["inner", "tree", "tree"]
+    points = spark.createDataFrame([("tree", "depth", s, "merror", x, x / 8) for s in ("train", "valid") for x in (2, 1)], "model string, x_name string, split string, metric string, x int, y double")
+    curves = curve(points, "x", "y", "model", "x_name", "split", "metric")
+    params = spark.createDataFrame([("tree", 3)], "model string, depth int").select("model", F.struct("depth").alias("params"))
+    path = write_results(results_document(curves, params, watch.table(spark), dataset="series", length=16), f"{tmp_path}/deep/run")
+    document = json.loads("\n".join(r["value"] for r in spark.read.text(path).collect()))
+    tree = document["models"]["tree"]
+    assert tree["params"]["depth"] == 3 and len(tree["timings"]) == 2 and document["dataset"] == "series" and document["length"] == 16 and tree["x_name"] == "depth"
+    assert tree["results"]["valid"]["merror"] == {"x": [1, 2], "y": [0.125, 0.25]}
     assert git_hash() is None or isinstance(git_hash(), str)
     plot_curves(spark.createDataFrame([(1, 0.5, "a")], "x int, y double, s string"), "x", "y", "s", tmp_path / "p.png")
 
 
+@pytest.mark.parametrize("step", [1, 10, 1 << 31, (1 << 32) + 1])
+def test_keys_are_even_whatever_the_ids(spark, step):
+    ids = spark.range(8000).select((F.col("id") * step).alias("id"))
+    counts = ids.groupBy(F.floor(shuffle_key("id", 7) / (1 << 28)).alias("b")).count().collect()
+    assert len(counts) == 16 and max(r["count"] for r in counts) < 650
+    placed = with_position(ids, shuffle_key("id", 7), "id").collect()
+    assert sorted(r["position"] for r in placed) == list(range(8000))
+
+
 def test_baselines(data):
     rows = data.flat()
     found = run_baseline(next(b for b in BASELINES if b.name == "tree"), rows, {"train": rows})
     assert found["train"] < 0.1
     assert early_stopped([0.5, 0.4, 0.45, 0.46, 0.3], patience=2) == 2 and early_stopped([0.5, 0.4], 50) == 2
+
+
+def test_boosting_stops_early(data):
+    rows = with_vector(data.flat())
+    noise = rows.withColumn("label", F.pmod(F.xxhash64("id"), F.lit(2)).cast("double"))  # nothing to learn for these
+    predict, facts = boosted(rows, noise, {"rounds": 4, "max_depth": 2, "learning_rate": 0.3, "patience": 1, "seed": 1})
+    assert len(facts["rounds"]) == 2 and all(1 <= r < 4 for r in facts["rounds"])
+    assert metrics.error_rate(predict(rows)).first()["error_rate"] < 0.1
