@@ -1,14 +1,20 @@
 """Nearest neighbours by a hierarchical k-means tree, best bins first, with a calibrated number of leaf visits.
 
-The tree is fitted on a bounded sample (SAMPLE vectors spread by a hash of their ids) and sent to all tasks; every vector
-is put into its leaf. A query walks the tree through a priority queue of nodes ordered by the distance to their centres
-and so gets its leaves in best-bin-first order. How many it visits is calibrated: for CALIBRATION queries the exact
-neighbours are found by comparing with all vectors, block by block, and the number of visits is widened until the leaves
-hold TARGET of them; all leaves are exact search. Leaves are split into blocks of at most about BLOCK vectors, queries of a
-leaf into blocks as well, and only blocks of one leaf meet; distances are exact and in double precision.
+The tree is fitted on a bounded sample (a hundredth of the vectors, spread by a hash of their ids, between SAMPLE and
+MOST_SAMPLED of them) and sent to all tasks; every vector is put into its leaf. A query walks the tree through a priority
+queue of nodes ordered by the distance to their centres and so gets its leaves in best-bin-first order. How many it visits is
+calibrated: for CALIBRATION queries the exact neighbours are found among all vectors, and the number of visits is widened
+until the leaves hold TARGET of them; as many other queries then measure the recall, and visits are widened on until it is at
+least LEAST there too. All leaves are exact search.
+
+Leaves that lie side by side in the tree make up shards of at most SHARD bytes; a larger leaf is several shards. Each vector
+is shuffled once, to its shard, and each query once to every shard in which it has leaves to visit, with their numbers. A
+task holds one shard at a time and lets its queries stream by, keeping the best of each; so neither blocks of vectors nor
+of queries are multiplied. Distances of candidates are exact and in double precision; a product of matrices with an error
+bound says which are worth computing.
 
 Equal vectors are searched as one: only the k + 1 smallest ids of a vector can be in any answer, and they are gathered
-task by task before the shuffle. So neither a very common vector nor a leaf that can't be divided makes a hot block.
+task by task before the shuffle. So neither a very common vector nor a leaf that can't be divided makes a hot shard.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, neither do null ids; ties go to the smaller id; rows that repeat an id and a vector are one candidate, and a query's
@@ -18,6 +24,7 @@ own id is never its candidate; fewer candidates than k give them all; an empty t
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,12 +36,13 @@ from pyspark.sql import functions as F
 
 from strataloom.llm.common import pick, saved, shuffle_partitions, table
 
-SAMPLE = 20_000
+SAMPLE, MOST_SAMPLED = 20_000, 200_000
 BRANCH = 8
 LEAF = 64  # sampled vectors below which a node isn't divided
 CALIBRATION = 128
-TARGET = 0.97
-BLOCK = 1024
+TARGET, LEAST = 0.97, 0.93
+SHARD = 16 << 20  # bytes of vectors that a task holds
+QUERIES = 64  # compared with a shard at a time
 
 
 @dataclass
@@ -138,20 +146,35 @@ def distances(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of(queries: np.ndarray, ids: list[np.ndarray], vectors: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, distances) of the k + 1 nearest of each query, by distance, then id; ids[i]: the ids that share vector i, ascending."""
-    d = distances(queries, vectors)
+def nearest(queries: np.ndarray, vectors: np.ndarray, k: int, open_: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the vectors among its k nearest (of those open to it), with all that tie with the last, and their exact distances."""
+    if not len(vectors):
+        return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+    with np.errstate(over="ignore", invalid="ignore"):
+        own, other = (queries**2).sum(1), (vectors**2).sum(1)
+        about = other[None] - 2 * queries @ vectors.T
+        about += own[:, None]
+    slack = 4e-15 * (vectors.shape[1] + 8) * (own + other.max())  # several times what rounding can do
+    about[~np.isfinite(about)] = 0.0  # too large to tell: to be computed
+    if open_ is not None:
+        about[~open_] = np.inf
     out = []
-    for row in d:
-        near = np.argpartition(row, k + 1)[: k + 1] if len(row) > k + 1 else np.arange(len(row))
-        near = np.flatnonzero(row <= row[near].max())  # with all that tie with the last
-        whose = np.concatenate([ids[i] for i in near])
-        dist = np.repeat(row[near], [len(ids[i]) for i in near])
-        order = np.lexsort((whose, dist))[: k + 1]
-        out.append((whose[order], dist[order]))
+    for q, row, more in zip(queries, about, np.nan_to_num(slack, posinf=np.finfo(float).max), strict=True):
+        far = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
+        near = np.flatnonzero((row <= far + 2 * more) & (row < np.inf))
+        d = np.sqrt(((vectors[near] - q) ** 2).sum(1))
+        if len(near) > k:
+            best = d <= np.partition(d, k - 1)[k - 1]
+            near, d = near[best], d[best]
+        out.append((near, d))
     return out
 
 
+def merged(whose: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((whose, dist))[:k]
+    return whose[order], dist[order]
+
+
 VECTORS = "vector binary, ids array<long>"
 
 
@@ -179,6 +202,21 @@ def doubles(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
 
 
+def shards_of(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shard of each leaf and the number of its shards; neighbouring leaves share one while they fit."""
+    first, parts, at, room = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), -1, 0
+    for leaf, n in enumerate(sizes):
+        if n > room:
+            at, room = at + 1, most
+        first[leaf] = at
+        if n > most:
+            parts[leaf] = -(-n // most)
+            at, room = at + parts[leaf] - 1, 0
+        else:
+            room -= n
+    return first, parts
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", target: float = TARGET) -> tuple[DataFrame, dict]:
     """(query_id, rank, vec_id, score) for each valid query row, and what was calibrated: leaves, visits, recall."""
     spark = rows.sparkSession
@@ -188,10 +226,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], schema), {"leaves": 0, "visits": 0, "recall": 1.0}
-    dim = sizes[0]["dim"]
-    sample = pa.Table.from_batches(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow().to_batches())
+    dim, n = sizes[0]["dim"], sizes[0]["n"]
+    sampled = min(MOST_SAMPLED, max(SAMPLE, n // 100))
+    sample = pa.Table.from_batches(rows.orderBy(F.xxhash64("id"), "id").limit(sampled).select("vector").toArrow().to_batches())
     tree = fit(np.unique(matrix(sample.column(0), dim)[1], axis=0))
-    sent = spark.sparkContext.broadcast(tree)  # at most about SAMPLE / LEAF * 2 centres
+    sent = spark.sparkContext.broadcast(tree)  # at most about MOST_SAMPLED / LEAF * 2 centres
 
     def place(batches):
         for batch in batches:
@@ -208,50 +247,80 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     wanted = saved(queries.mapInArrow(as_bytes, "query_id long, vector binary").distinct(), "ann-queries")
     asked = saved(wanted.select("vector").distinct(), "ann-asked")
     visits, recall = calibrate(indexed, asked, tree, k, target)
+    held = np.zeros(max(1, tree.leaves), np.int64)
+    for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # a row a leaf of the tree
+        held[r["leaf"]] = r["n"]
+    first, parts = shards_of(held, max(1, SHARD // (8 * dim)))
+    met = "shard long, asks boolean, leaf long, vector binary, ids array<long>, leaves array<int>"
+    names = ["shard", "asks", "leaf", "vector", "ids", "leaves"]
+
+    def deal(batches):
+        for batch in batches:
+            leaf = batch.column(0).to_numpy()
+            part = np.array([zlib.crc32(v) for v in batch.column(1).to_pylist()], np.int64) % parts[leaf]
+            none = pa.nulls(len(leaf), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(first[leaf] + part), pa.array(np.zeros(len(leaf), bool)), *batch.columns, none], names)
 
     def walk(batches):
         for batch in batches:
-            x = doubles(batch.column(0))
-            ways = [sent.value.order(q, visits) for q in x]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(w, np.int64) for w in ways])), pa.array([v for v, w in zip(batch.column(0).to_pylist(), ways, strict=True) for _ in w], pa.binary())], ["leaf", "vector"])
-
-    size = indexed.groupBy("leaf").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    held = indexed.join(size, "leaf").withColumn("part", F.pmod(F.xxhash64("vector"), blocks).cast("int"))
-    held = held.groupBy("leaf", "part").agg(F.collect_list(F.struct("vector", "ids")).alias("held"))  # about BLOCK vectors each
-    ways = asked.mapInArrow(walk, "leaf long, vector binary")
-    ways = ways.withColumn("some", F.pmod(F.xxhash64("vector"), F.lit(max(1, -(-asked.count() // BLOCK)))).cast("int"))
-    ways = ways.groupBy("leaf", "some").agg(F.collect_list("vector").alias("asked"))  # about BLOCK queries each
+            for vector, q in zip(batch.column(0).to_pylist(), doubles(batch.column(0)), strict=True):
+                by_shard: dict[int, list[int]] = {}
+                for leaf in sent.value.order(q, visits):
+                    for shard in range(first[leaf], first[leaf] + parts[leaf]):
+                        by_shard.setdefault(shard, []).append(leaf)
+                m = len(by_shard)
+                yield pa.RecordBatch.from_arrays([pa.array(list(by_shard), pa.int64()), pa.array([True] * m), pa.nulls(m, pa.int64()), pa.array([vector] * m, pa.binary()), pa.nulls(m, pa.list_(pa.int64())), pa.array(list(by_shard.values()), pa.list_(pa.int32()))], names)
 
     def compare(batches):
         best: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # of this task, so that the shuffle after it is small
+        shard, blocks, ready = None, [], None
 
         def flush():
             yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.binary()), pa.array([x[0] for x in best.values()], pa.list_(pa.int64())), pa.array([x[1] for x in best.values()], pa.list_(pa.float64()))], ["vector", "ids", "scores"])
             best.clear()
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                mine = batch.column("held")[i].as_py()
-                q = batch.column("asked")[i].as_py()
-                x = np.frombuffer(b"".join(h["vector"] for h in mine), np.float64).reshape(len(mine), -1)
-                ids = [np.array(h["ids"], np.int64) for h in mine]
-                for vector, found in zip(q, best_of(np.frombuffer(b"".join(q), np.float64).reshape(len(q), -1), ids, x, k), strict=True):
-                    if (old := best.get(vector)) is not None:
-                        whose, dist = np.concatenate([old[0], found[0]]), np.concatenate([old[1], found[1]])
-                        order = np.lexsort((whose, dist))[: k + 1]
-                        found = whose[order], dist[order]
-                    best[vector] = found
-            if len(best) > 20_000:
-                yield from flush()
+            number, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.r_[True, (number[1:] != number[:-1]) | (asks[1:] != asks[:-1])]) if len(number) else []
+            for lo, hi in zip(cut, [*cut[1:], len(number)], strict=True):
+                own = batch.slice(lo, hi - lo)
+                if number[lo] != shard:
+                    shard, blocks, ready = number[lo], [], None
+                if not asks[lo]:
+                    blocks.append((own.column(2).to_numpy(), doubles(own.column(3)), own.column(4).flatten().to_numpy(), own.column(4).value_lengths().to_numpy()))
+                    continue
+                if not blocks:
+                    continue
+                if ready is None:
+                    leaf, x, ids, size = (np.concatenate([b[i] for b in blocks]) for i in range(4))
+                    leaves, at = np.unique(leaf, return_inverse=True)
+                    ready, blocks = (leaves, at, x, ids, np.r_[0, np.cumsum(size)]), [()]
+                leaves, at, x, ids, start = ready
+                for a in range(0, own.num_rows, QUERIES):
+                    some = own.slice(a, QUERIES)
+                    visited = np.zeros((some.num_rows, len(leaves)), bool)
+                    which = np.repeat(np.arange(some.num_rows), some.column(5).value_lengths().to_numpy())
+                    to = some.column(5).flatten().to_numpy()
+                    place = np.minimum(np.searchsorted(leaves, to), len(leaves) - 1)
+                    there = leaves[place] == to
+                    visited[which[there], place[there]] = True
+                    for vector, (near, d) in zip(some.column(3).to_pylist(), nearest(doubles(some.column(3)), x, k + 1, visited[:, at]), strict=True):
+                        count = start[near + 1] - start[near]
+                        whose = ids[np.repeat(start[near] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())] if len(near) else near
+                        dist = np.repeat(d, count)
+                        if (old := best.get(vector)) is not None:
+                            whose, dist = np.concatenate([old[0], whose]), np.concatenate([old[1], dist])
+                        best[vector] = merged(whose, dist, k + 1)
+                if len(best) > 20_000:
+                    yield from flush()
         if best:
             yield from flush()
 
-    # neither side is bounded, however small it looks when compressed: no broadcast
-    met = ways.hint("merge").join(held, "leaf").select("asked", "held").repartition(shuffle_partitions(spark)).mapInArrow(compare, "vector binary, ids array<long>, scores array<double>")
+    both = indexed.mapInArrow(deal, met).unionByName(asked.mapInArrow(walk, met))
+    found = both.repartition(shuffle_partitions(spark), "shard").sortWithinPartitions("shard", "asks").mapInArrow(compare, "vector binary, ids array<long>, scores array<double>")
     # each task gives at most k + 1 of a query now and then; the best of them for each query
-    merged = F.slice(F.array_distinct(F.sort_array(F.flatten(F.collect_list(F.zip_with("scores", "ids", lambda s, i: F.struct(s.alias("score"), i.alias("vec_id"))))))), 1, k + 1)
-    best = met.groupBy("vector").agg(merged.alias("best"))
+    every = F.slice(F.array_distinct(F.sort_array(F.flatten(F.collect_list(F.zip_with("scores", "ids", lambda s, i: F.struct(s.alias("score"), i.alias("vec_id"))))))), 1, k + 1)
+    best = found.groupBy("vector").agg(every.alias("best"))
     answers = wanted.join(best, "vector").select("query_id", "best")  # a plain join: a vector that very many queries have may be split
     others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
     answers = answers.select("query_id", F.posexplode(others).alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), "b.vec_id", "b.score")
@@ -259,37 +328,36 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
 
 
 def calibrate(indexed: DataFrame, asked: DataFrame, tree: Tree, k: int, target: float) -> tuple[int, float]:
-    """Visits at which a bounded sample of queries reaches the target, against all vectors, and the recall there."""
-    some = [r["vector"] for r in asked.orderBy(F.xxhash64("vector")).select("vector").limit(CALIBRATION).collect()]
+    """Visits at which a bounded sample of queries reaches the target, against all vectors, and the recall of as many others there."""
+    some = [r["vector"] for r in asked.orderBy(F.xxhash64("vector")).select("vector").limit(2 * CALIBRATION).collect()]
     if not some:
         return 1, 1.0
     x = np.frombuffer(b"".join(some), np.float64).reshape(len(some), -1)
-    sent = indexed.sparkSession.sparkContext.broadcast(x)  # CALIBRATION vectors
+    sent = indexed.sparkSession.sparkContext.broadcast(x)  # 2 * CALIBRATION vectors
 
     def exact(batches):
-        top = None
+        top = [(np.zeros(0), np.zeros(0, np.int64))] * len(sent.value)
         for batch in batches:
-            d = distances(sent.value, doubles(batch.column(1)))
-            leaf = np.broadcast_to(batch.column(0).to_numpy()[None], d.shape)
-            if top is not None:
-                d, leaf = np.concatenate([top[0], d], 1), np.concatenate([top[1], leaf], 1)
-            near = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
-            top = np.take_along_axis(d, near, 1), np.take_along_axis(leaf, near, 1)
-        if top is not None:
-            n, m = top[0].shape
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), m)), pa.array(top[0].ravel()), pa.array(np.ascontiguousarray(top[1]).ravel())], ["q", "d", "leaf"])
+            leaf, vectors = batch.column(0).to_numpy(), doubles(batch.column(1))
+            for lo in range(0, len(top), QUERIES):
+                for i, (near, d) in enumerate(nearest(sent.value[lo : lo + QUERIES], vectors, k + 1), lo):
+                    dist, of = np.concatenate([top[i][0], d]), np.concatenate([top[i][1], leaf[near]])
+                    order = np.argsort(dist, kind="stable")[: k + 1]
+                    top[i] = dist[order], of[order]
+        if any(len(d) for d, _ in top):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(top)), [len(d) for d, _ in top])), pa.array(np.concatenate([d for d, _ in top])), pa.array(np.concatenate([of for _, of in top]))], ["q", "d", "leaf"])
 
     found = indexed.mapInArrow(exact, "q long, d double, leaf long")
-    nearest = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "leaf"))), 1, k + 1).alias("near")).collect()  # CALIBRATION rows
-    need = []
-    for r in nearest:
+    close = found.groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "leaf"))), 1, k + 1).alias("near")).collect()  # 2 * CALIBRATION rows
+    need: tuple[list[int], list[int]] = ([], [])
+    for r in close:
         at = {leaf: i for i, leaf in enumerate(tree.order(x[r["q"]], tree.leaves))}
-        need += [at[n["leaf"]] + 1 for n in r["near"]]
-    need = np.array(need)
-    visits = 1
-    while visits < tree.leaves and (need <= visits).mean() < target:  # widened step by step
+        need[r["q"] % 2 if len(some) > 1 else 0].extend(at[n["leaf"]] + 1 for n in r["near"])
+    fitted, others = np.array(need[0]), np.array(need[1] or need[0])
+    visits = tree.leaves if target >= 1 else 1  # a target of 1 is exact search
+    while visits < tree.leaves and ((fitted <= visits).mean() < target or (others <= visits).mean() < min(LEAST, target)):  # widened step by step
         visits = min(tree.leaves, max(visits + 1, int(visits * 1.25)))
-    return visits, float((need <= visits).mean())
+    return visits, float((others <= visits).mean())
 
 
 def op1(spark, sf_dir) -> DataFrame:

@@ -50,6 +50,35 @@ def test_ann_with_one_very_common_vector(spark):
         assert own.vec_id.tolist() == [i for i in np.lexsort((np.arange(900), d)) if i != q][:4]
 
 
+def test_ann_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD", 8 * 5 * 40)  # 40 vectors a shard
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(400, 5)), rng.normal(size=(200, 5)) * 1e-9 + 3, rng.normal(size=(20, 5)) * 1e160])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    found, facts = ann.search(rows, rows.where("vec_id % 9 = 0"), k=6, target=1.0)
+    got = found.toPandas().sort_values("rank")
+    assert got.query_id.nunique() == 69 and facts["recall"] == 1.0
+    hit = total = 0
+    for q, own in got.groupby("query_id"):
+        with np.errstate(over="ignore"):
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        true = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:6]
+        hit += len(set(true) & set(own.vec_id))
+        total += 6
+        assert all(d[r.vec_id] == r.score for r in own.itertuples())
+    assert hit / total > 0.97
+
+
+def test_shards_hold_what_fits():
+    first, parts = ann.shards_of(np.array([3, 4, 5, 30, 0, 2, 10, 1]), 10)
+    assert first.tolist() == [0, 0, 1, 2, 4, 5, 6, 7] and parts.tolist() == [1, 1, 1, 3, 1, 1, 1, 1] or (first[3], parts[3]) == (2, 3)
+    seen = {}
+    for leaf, n in enumerate([3, 4, 5, 30, 0, 2, 10, 1]):
+        for s in range(first[leaf], first[leaf] + parts[leaf]):
+            seen[s] = seen.get(s, 0) + n / parts[leaf]
+    assert all(n <= 10 for n in seen.values())
+
+
 def test_best_bins_come_first():
     x = np.random.default_rng(1).normal(size=(600, 4))
     tree = ann.fit(x)
