@@ -39,13 +39,16 @@ def family(lang: str) -> str:
     return FAMILY_OF.get(lang, f"only {lang}")
 
 
-def gram_ids(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Table rows of the 1-, 2- and 3-grams that end at each byte."""
+def gram_ids(data: np.ndarray, begins: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table rows of the 1-, 2- and 3-grams that end at each byte; begins: where texts start, whose grams reach no further back."""
     b = data.astype(np.uint32)
     two = b.copy()
     two[1:] += b[:-1] * np.uint32(257)
+    two[begins] = b[begins]
     three = two.copy()
     three[2:] += b[:-2] * np.uint32(66049)
+    for at in (begins, np.minimum(np.asarray(begins) + 1, len(b) - 1)):
+        three[at] = two[at]
     mix = lambda x, salt: ((x * np.uint32(2654435761) + np.uint32(salt)) >> np.uint32(32 - BITS)).astype(np.int32)
     return mix(b, 97), mix(two, 1_000_003), mix(three, 777_767_777)
 
@@ -81,8 +84,8 @@ class Model:
 
 def histogram(text: str) -> np.ndarray:
     """Relative frequencies of a text's hashed n-grams."""
-    data = PLAIN[np.frombuffer(text.lower().encode(), np.uint8)]
-    ids = np.concatenate(gram_ids(data))
+    data = PLAIN[utf8_parts(pc.utf8_lower(pa.array([text])))[0]]  # as in predict_batch
+    ids = np.concatenate(gram_ids(data)) if len(data) else np.zeros(0, np.int64)
     return np.bincount(ids, minlength=1 << BITS).astype(np.float32) / max(1, len(ids))
 
 
@@ -129,17 +132,38 @@ def learn(texts: list[str], langs: list[str], per_class: int = 300) -> Model:
     return Model(known, pairs, {f: [pair(a, b, [a], [b]) for a, b in itertools.combinations(own, 2)] for f, own in known.items()})
 
 
-def learning_rows(docs: DataFrame, per_lang: int = 300, max_chars: int = 4000, folds: int = 3, held_out: int = 1) -> tuple[list[str], list[str]]:
-    """For each language the texts of the per_lang rows (of at most max_chars characters, not held out) that come first by hash of the id."""
-    mine = pick(docs, id="doc_id", text="text", lang="lang").where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= max_chars))
-    mine = mine.where(crc_fold(F.col("id"), folds) != held_out).select("id", "lang", F.xxhash64("id").alias("h"))
-    counts = {r["lang"]: r["n"] for r in mine.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    if not counts:
+def learning_rows(docs: DataFrame, per_lang: int = 300, max_chars: int = 4000, max_langs: int = 2000, folds: int = 3, held_out: int = 1) -> tuple[list[str], list[str]]:
+    """For each language the texts of the per_lang rows (not held out) that come first by hash of the id.
+
+    Texts of at most max_chars characters come first; a language with fewer than per_lang of them is filled up with its longer
+    texts, as long as those of a language add up to per_lang * max_chars characters at most (one of any length is taken).
+    More than max_langs languages: those with the most rows.
+    """
+    mine = pick(docs, id="doc_id", text="text", lang="lang").where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    mine = mine.where(crc_fold(F.col("id"), folds) != held_out).select("id", "lang", F.length("text").alias("chars"), F.xxhash64("id").alias("h"))
+    short = (F.col("chars") <= max_chars).cast("long")
+    counted = mine.groupBy("lang").agg(F.count("*").alias("n"), F.sum(short).alias("short")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()  # one row a language
+    if not counted:
         return [], []
-    # a share by hash that holds about twice the wanted rows, then the first of them: no language's rows meet in one task
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, 2.0 * per_lang / n + 50.0 / n))) for k, n in counts.items()))
-    some = mine.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).orderBy("h", "id").limit(len(counts) * (2 * per_lang + 200))
-    rows = pick(docs, id="doc_id", text="text", lang="lang").where(F.length("text") <= max_chars).join(F.broadcast(some.select("id", "lang", "h")), ["id", "lang"]).collect()
+
+    def some(rows: DataFrame, counts: dict[str, int], want: int) -> list:
+        """About the first rows of each language by hash: a share that holds about twice the wanted rows, so no language's rows meet in one task."""
+        share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, 2.0 * want / n + 50.0 / n))) for k, n in counts.items()))
+        return rows.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).orderBy("h", "id").limit(len(counts) * (2 * want + 200)).collect()  # small rows
+
+    first = [r for r in some(mine.where(F.col("chars") <= max_chars), {r["lang"]: r["short"] for r in counted if r["short"]}, per_lang)] if any(r["short"] for r in counted) else []
+    few = {r["lang"]: r["n"] - r["short"] for r in counted if r["short"] < per_lang and r["n"] > r["short"]}
+    longer = some(mine.where((F.col("chars") > max_chars) & F.col("lang").isin(list(few))), few, per_lang) if few else []
+    left = {r["lang"]: [per_lang, per_lang * max_chars] for r in counted}
+    wanted = []
+    for r in [*sorted(first, key=lambda r: (r["h"], r["id"])), *sorted(longer, key=lambda r: (r["chars"], r["h"], r["id"]))]:
+        room = left.get(r["lang"])
+        if room and room[0] > 0 and (r["chars"] <= room[1] or room[0] == per_lang):
+            room[0] -= 1
+            room[1] -= r["chars"]
+            wanted.append((r["id"], r["lang"], r["h"], r["chars"]))
+    chosen = docs.sparkSession.createDataFrame(wanted, "id long, lang string, h long, chars int").distinct()
+    rows = pick(docs, id="doc_id", text="text", lang="lang").withColumn("chars", F.length("text")).join(F.broadcast(chosen), ["id", "lang", "chars"]).collect()
     rows = sorted(rows, key=lambda r: (r["h"], r["id"], r["text"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
@@ -156,11 +180,11 @@ def predict_batch(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]
     if pairs and len(data):
         w = np.stack([p.weights for p in pairs], 1)
         sums = np.zeros((n, len(pairs)))
-        step = 1 << 18
+        step, begins = 1 << 18, at[:-1][length > 0]
         docs = np.repeat(np.arange(n), length) if len(data) < 1 << 22 else None
         for lo in range(0, len(data), step):  # a slice at a time; three bytes of context before it
             hi, back = min(lo + step, len(data)), max(0, lo - 2)
-            ids = gram_ids(data[back:hi])
+            ids = gram_ids(data[back:hi], begins[np.searchsorted(begins, back) : np.searchsorted(begins, hi)] - back)
             own = docs[lo:hi] if docs is not None else np.searchsorted(at, np.arange(lo, hi), "right") - 1
             start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             for k in range(len(pairs)):

@@ -43,6 +43,7 @@ GRAM = 20
 PIECE = 1 << 20
 MANY = 16  # different runs under one anchor in one task from which it is announced
 FLUSH = 1_000_000  # entries that a task holds before it sends them
+BUCKET = 8 << 20  # bytes of text in a bucket, about; a bucket is held in memory
 
 _U = np.uint64
 _M = 0x9E3779B97F4A7C15
@@ -465,7 +466,8 @@ def sampled_splitters(dealt: DataFrame, runs_: DataFrame, n: int, buckets: int =
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, int]:
     """Documents with their bucket, covered windows (bucket, data) and the number of buckets."""
     docs = pick(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    n = docs_n = 2 * shuffle_partitions(docs.sparkSession)  # a bucket is held in memory
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = docs_n = max(2 * shuffle_partitions(docs.sparkSession), -(-size // BUCKET))
 
     def anchors(batches):
         return anchors_of(batches, n, docs_n)

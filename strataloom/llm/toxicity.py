@@ -36,8 +36,6 @@ SEEDS = ["idiot", "moron", "stupid", "loser", "scum", "clown", "trash", "patheti
 EXCEPTIONS = ["clown fish", "circus clown", "rodeo clown", "class clown", "trash can", "trash bin", "trash bag", "pond scum", "soap scum", "idiot proof", "idiot light", "sore loser"]
 
 _SIGNS = re.compile(r"[0134578@$!]+")
-_WORD = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])")
-_LEET_AT_START = re.compile(r"(?<![\w@$!])[01345789@$](?=[^\W\d_]{2})")
 _WORD = re.compile(r"[^\W\d_]+")
 _HOMO = str.maketrans(HOMOGLYPHS)
 _LEET = str.maketrans(LEET)
@@ -179,12 +177,18 @@ def learning_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, max_
     mine, tagged = pick(docs, id="doc_id", text="text"), pick(labels, id="doc_id", toxic="toxic")
     tagged = tagged.where(F.col("toxic").isNotNull() & F.col("id").isNotNull() & (crc_fold(F.col("id"), folds) != 0)).groupBy("id").agg(F.max("toxic").alias("toxic"))
     first = tagged.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # at most max_rows small rows
-    rows = mine.where(F.length("text") <= max_length).join(F.broadcast(first), "id").collect()
-    texts, toxic, total = [], [], 0
-    for r in sorted(rows, key=lambda r: (zlib.crc32(f"{r['id']} sample".encode()), r["id"], r["text"])):
-        total += len(r["text"])
-        if total > max_chars or len(texts) == max_rows:
+    rows = mine.where(F.length("text") <= max_length).join(F.broadcast(first), "id")
+    # sizes come first, so that no more than max_chars characters of text ever reach the driver
+    facts = rows.groupBy("id").agg(F.sum(F.length("text")).alias("chars")).collect()  # at most max_rows small rows
+    order = lambda i: (zlib.crc32(f"{i} sample".encode()), i)
+    kept, total = [], 0
+    for r in sorted(facts, key=lambda r: order(r["id"])):
+        total += r["chars"]
+        if total > max_chars:
             break
+        kept.append(r["id"])
+    texts, toxic = [], []
+    for r in sorted(rows.where(F.col("id").isin(kept)).collect(), key=lambda r: (order(r["id"]), r["text"]))[:max_rows]:
         texts.append(r["text"])
         toxic.append(int(r["toxic"]))
     return texts, toxic

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from strataloom.llm import langid, records, secrets, toxicity
 
 SF = "/root/testdata/sf0.01"
+SMALL = "/root/testdata/sf0.001"
 
 
 # toxicity
@@ -34,6 +35,44 @@ def test_longest_stem_counts_once():
     assert toxicity.measure("stupidly", toxicity.Lexicon({"stup": 1.0, "stupid": 2.0}).automaton()) == (2.0, 1)
 
 
+def naive_measure(folded, lexicon):
+    """The same rule word start by word start, without an automaton."""
+    excused = [(i, i + len(p)) for p in lexicon.exceptions for i in range(len(folded)) if folded.startswith(p, i) and not (i and folded[i - 1].isalpha()) and not folded[i + len(p) : i + len(p) + 1].isalpha()]
+    total, hits = 0.0, 0
+    for i in range(len(folded)):
+        if i and folded[i - 1].isalpha():
+            continue
+        stems = [s for s in lexicon.weights if folded.startswith(s, i)]
+        if stems and not any(a <= i < b for a, b in excused):
+            total += lexicon.weights[max(stems, key=len)]
+            hits += 1
+    return total, hits
+
+
+@given(st.text(alphabet="cloCL0wn1dit! -éо", max_size=60) | st.lists(st.sampled_from(["clown", "clown fish", "idiot", "1d10t", "clo", "subclown", "idiotic", ",", "class clown", "sore loser", "loser"]), max_size=12).map(" ".join))
+@settings(max_examples=400, deadline=None)
+def test_automaton_against_a_naive_scan(text):
+    lexicon = toxicity.Lexicon({"clown": 3.0, "clo": 0.5, "idiot": 4.0, "idioti": 5.0, "loser": 2.0})
+    folded = toxicity.fold(text)
+    assert toxicity.measure(folded, lexicon.automaton()) == pytest.approx(naive_measure(folded, lexicon))
+
+
+def test_toxicity_query_and_stage_against_a_naive_scan(spark):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    lexicon = toxicity.learn(*toxicity.learning_rows(docs, labels))
+    want = {}
+    for r in docs.select("doc_id", "text").collect():
+        folded = toxicity.fold(r["text"] or "")
+        weight, hits = naive_measure(folded, lexicon) if len(folded) < 20_000 else toxicity.measure(folded, lexicon.automaton())
+        words = len(folded.split())
+        x = [1.0, np.log1p(100.0 * max(weight, 0.0) / max(words, 1)), np.log1p(hits), np.log1p(words) * (hits > 0)]
+        want[r["doc_id"]] = 1 / (1 + np.exp(-np.clip(np.dot(x, lexicon.coefficients), -30, 30)))
+    got = {r["doc_id"]: r for r in toxicity.op3(spark, SMALL).collect()}
+    assert {i: r["score"] for i, r in got.items()} == pytest.approx(want) and all(r["predicted"] == (r["score"] >= 0.5) for r in got.values())
+    kept = toxicity.keep_clean(docs, labels)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, p in want.items() if p < 0.5}
+
+
 def test_learning_finds_stems_and_length_matters():
     rng = random.Random(1)
     word = lambda: "".join(rng.choice(["ba", "lo", "ti", "ru", "sen"]) for _ in range(3))
@@ -70,6 +109,54 @@ def test_families_then_languages(spark):
     assert (rows.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in rows.doc_id]).all()
 
 
+def naive_language(model, text):
+    """Votes pair by pair over a dictionary of n-grams of one text."""
+    data = bytes(langid.PLAIN[b] for b in text.lower().encode())
+    if not any(c.isalpha() for c in text):
+        return "und"
+    mix = lambda x, salt: ((x * 2654435761 + salt) % (1 << 32)) >> (32 - langid.BITS)
+    ids = []
+    for i, b in enumerate(data):
+        two = b + (data[i - 1] * 257 if i else 0)
+        three = two + (data[i - 2] * 66049 if i > 1 else 0)
+        ids += [mix(b, 97), mix(two % (1 << 32), 1_000_003), mix(three % (1 << 32), 777_767_777)]
+
+    def winner(names, pairs):
+        votes, total = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+        for p in pairs:
+            m = sum(float(p.weights[i]) for i in ids) / len(ids) + p.bias
+            votes[p.a if m >= 0 else p.b] += 1
+            total[p.a] += m
+            total[p.b] -= m
+        return max(sorted(names), key=lambda n: (votes[n], total[n]))
+
+    own = winner(sorted(model.langs), model.families)
+    return winner(model.langs[own], model.within[own])
+
+
+def test_language_query_against_naive_votes(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = langid.learn(*langid.learning_rows(docs))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.op9(spark, SMALL).collect()}
+    rows = [r for r in docs.select("doc_id", "text").collect() if len(r["text"] or "") < 3000]
+    assert len(rows) > 100 and {r["doc_id"]: got[r["doc_id"]] for r in rows} == {r["doc_id"]: naive_language(model, r["text"] or "") for r in rows}
+
+
+def test_language_doesnt_depend_on_neighbours(spark):
+    model = langid.learn(["der und die"] * 3 + ["the and of"] * 3, ["de"] * 3 + ["en"] * 3)
+    texts = ["a", "ab", "", "der", "x" * (1 << 18), "of", "éa", "t"]
+    one = [langid.predict_batch(model, pa.array([t])) for t in texts]
+    names, scores = langid.predict_batch(model, pa.array(texts))
+    assert names == [o[0][0] for o in one] and np.allclose(scores, [o[1][0] for o in one], atol=1e-12)
+
+
+def test_languages_of_long_texts_only_are_learned(spark):
+    rows = [(i, "der und die das " * (2 if i % 2 else 900), "de" if i % 2 else "xx") for i in range(60)]
+    rows += [(100 + i, "the of and " * 40_000, "en") for i in range(3)] + [(200, None, "fr"), (201, "12", "it")]
+    texts, langs = langid.learning_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=10, max_chars=1000)
+    assert set(langs) == {"de", "xx", "en"} and langs.count("de") >= 10 and 1 <= langs.count("en") <= 2
+
+
 def test_language_of_odd_texts():
     model = langid.learn(["der und die das nicht ist"] * 3 + ["the and of to in is"] * 3 + ["le la les des et un"] * 3, ["de"] * 3 + ["en"] * 3 + ["fr"] * 3)
     assert set(model.langs) == {"germanic", "romance"} and len(model.families) == 1
