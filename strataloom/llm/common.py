@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import threading
 import uuid
 
 import numpy as np
@@ -45,35 +46,34 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-_MADE: list[str] = []  # folders of this process, the newest last
+_MADE: list[tuple[int, str]] = []  # thread and folder, the newest last
 
 
 def fresh_dir(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder; nothing is created. What is there when the process ends, or drop_made() is called, is removed."""
     if not _MADE:
         atexit.register(_at_exit, spark)
-    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}")
-    return _MADE[-1]
+    _MADE.append((threading.get_ident(), f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"))
+    return _MADE[-1][1]
 
 
-def made_so_far() -> int:
-    """A mark for drop_made()."""
-    return len(_MADE)
+def made_here() -> list[str]:
+    """The folders that this thread has made and that are still there, the newest last."""
+    return [at for thread, at in _MADE if thread == threading.get_ident()]
 
 
-def drop_made(spark: SparkSession, since: int = 0, kept: tuple[str, ...] = ()) -> None:
-    """Removes the folders made after the mark `since`, for when no DataFrame on them is needed any more; `kept`: those to leave."""
-    mine = _MADE[since:]
-    _MADE[since:] = [m for m in mine if m in kept]
-    for at in mine:
-        if at not in kept:
-            path, fs = _hadoop(spark, at)
-            fs.delete(path, True)
+def drop_made(spark: SparkSession, folders: list[str]) -> None:
+    """Removes folders of made_here() once no DataFrame on them is needed any more."""
+    for at in folders:
+        path, fs = _hadoop(spark, at)
+        fs.delete(path, True)
+    gone = set(folders)
+    _MADE[:] = [m for m in _MADE if m[1] not in gone]
 
 
 def _at_exit(spark: SparkSession) -> None:
     if spark.sparkContext._jsc is not None:
-        drop_made(spark)
+        drop_made(spark, [at for _, at in _MADE])
 
 
 def saved(df: DataFrame, kind: str) -> DataFrame:

@@ -315,16 +315,19 @@ def _radii(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
 def wide_links(f: np.ndarray, n: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of one group: fingerprints f [members, 4] within radius whose sizes n allow the similarity.
 
-    Pairs with a set of fewer than SHORT shingles need only be within SHORT_RADIUS.
+    Pairs with a set of fewer than SHORT shingles need only be within SHORT_RADIUS. Pairs that are tied already aren't
+    compared, so a group of copies of one text takes time in proportion to its members.
     """
     root = np.arange(len(f))
-    for lo in range(0, len(f), BLOCK):
-        for to in range(lo, len(f), BLOCK):
-            a, b = n[lo : lo + BLOCK, None], n[None, to : to + BLOCK]
-            near = sum(np.bitwise_count(f[lo : lo + BLOCK, None, k] ^ f[None, to : to + BLOCK, k]).astype(np.int16) for k in range(4)) <= _radii(a, b, radius)
-            near &= _sizes_allow(a, b, similarity)
-            i, j = np.nonzero(near)
-            root = local_forest(np.concatenate([i + lo, np.arange(len(f))]), np.concatenate([j + to, root]), len(f))
+    for i in range(len(f) - 1):
+        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        if not len(rest):
+            continue
+        near = np.bitwise_count(f[rest] ^ f[i]).sum(1, dtype=np.int16) <= _radii(n[rest], n[i], radius)
+        hit = rest[near & _sizes_allow(n[rest], n[i], similarity)]
+        if len(hit):
+            joined = np.unique(np.r_[root[i], root[hit]])
+            root[np.isin(root, joined)] = joined[0]
     tied = np.flatnonzero(root != np.arange(len(f)))
     return tied, root[tied]
 

@@ -609,14 +609,17 @@ def test_marks_find_their_rows(spark, tmp_path, monkeypatch):
         assert rowmarks.without(at, places.where("false")).count() == n
 
 
-def test_wide_links_in_blocks(monkeypatch):
+def test_wide_links_of_a_group():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, (5, 4), dtype=np.uint64)
-    f = base[rng.integers(0, 5, 300)] ^ (np.uint64(1) << rng.integers(0, 63, (300, 4), dtype=np.uint64))
-    n = np.full(300, 100)
-    one = components.local_forest(*simhash.wide_links(f, n, 20, 0.8), 300)
-    monkeypatch.setattr(simhash, "BLOCK", 64)
-    assert (components.local_forest(*simhash.wide_links(f, n, 20, 0.8), 300) == one).all() and len(set(one)) == 5
+    f = base[rng.integers(0, 5, 300)]
+    for _ in range(3):
+        f = f ^ (np.uint64(1) << rng.integers(0, 63, (300, 4), dtype=np.uint64))
+    n = rng.integers(90, 130, 300)
+    pairs = [(i, j) for j in range(300) for i in range(j) if np.bitwise_count(f[i] ^ f[j]).sum() <= 20 and min(n[i], n[j]) >= 0.8 * max(n[i], n[j])]
+    want = components.local_forest(*(np.array(x) for x in zip(*pairs, strict=True)), 300)
+    found = components.local_forest(*simhash.wide_links(f, n, 20, 0.8), 300)
+    assert {frozenset(np.flatnonzero(found == r)) for r in set(found)} == {frozenset(np.flatnonzero(want == r)) for r in set(want)}
 
 
 # the pipeline, each stage against brute force on its own input
