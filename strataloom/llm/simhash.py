@@ -231,6 +231,8 @@ def groups(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str
 # near copies of whole texts: first shingles and bands find the candidates, long fingerprints filter, sets decide
 
 BANDS, LEAST = 20, 4  # bands of so many least hashes each: a pair at 0.8 shares none with a chance of 0.00003
+MEMBERS = 4096  # different signatures under one key beyond which it is dealt out in blocks
+SPREAD = 32  # parts in which the members of a group meet its first row
 WIDE_BITS = 256  # of a document's fingerprint: four words of 64
 _SALTS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * LEAST, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -312,13 +314,15 @@ def _radii(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.where(np.minimum(a, b) < SHORT, max(radius, SHORT_RADIUS), radius)
 
 
-def wide_links(f: np.ndarray, n: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def wide_links(f: np.ndarray, n: np.ndarray, radius: int, similarity: float, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of one group: fingerprints f [members, 4] within radius whose sizes n allow the similarity.
 
-    Pairs with a set of fewer than SHORT shingles need only be within SHORT_RADIUS. Pairs that are tied already aren't
-    compared, so a group of copies of one text takes time in proportion to its members.
+    Pairs with a set of fewer than SHORT shingles need only be within SHORT_RADIUS. Pairs that are tied already, such as
+    those of `known` members, aren't compared, so a group of copies of one text takes time in proportion to its members.
     """
     root = np.arange(len(f))
+    if known is not None and known.any():
+        root[known] = np.flatnonzero(known)[0]
     for i in range(len(f) - 1):
         rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
         if not len(rest):
@@ -335,26 +339,56 @@ def wide_links(f: np.ndarray, n: np.ndarray, radius: int, similarity: float) ->
 SIGNED = "sig long, f0 long, f1 long, f2 long, f3 long, n long"
 
 
-def near_linked(signed: DataFrame, similarity: float, hot: int = 4 * BLOCK) -> DataFrame:
+def busy_keys(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, sig) of all signatures, (key, members) of keys that two or more have, and (key, sig, lead) of the keys with more than MEMBERS: their least signature leads."""
+    keyed = signed.select(F.explode("keys").alias("key"), "sig")
+    sizes = saved(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("sig").alias("lead")).where("members > 1"), "near-keys")
+    busy = keyed.join(sizes.where(F.col("members") > MEMBERS).select("key", "lead"), "key")
+    return keyed, sizes, busy
+
+
+def led(busy: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """Groups (grp, sig) of a leader and at most about MEMBERS signatures that share a busy key with it and may be close enough."""
+    radius = wide_radius(similarity)
+    pairs = busy.where("sig <> lead").select("sig", "lead").distinct()
+    facts = lambda name, p: signed.select(F.col("sig").alias(name), *(F.col(c).alias(p + c) for c in ("f0", "f1", "f2", "f3", "n")))
+    pairs = pairs.join(facts("sig", "a"), "sig").join(facts("lead", "b"), "lead")
+    apart = sum((F.bit_count(F.col(f"af{k}").bitwiseXOR(F.col(f"bf{k}"))) for k in range(4)), F.lit(0))
+    near = F.when(F.least("an", "bn") < SHORT, apart <= max(radius, SHORT_RADIUS)).otherwise(apart <= radius)
+    pairs = pairs.where(near & (F.least("an", "bn") >= similarity * F.greatest("an", "bn") - 1e-9)).select("sig", "lead")
+    blocks = pairs.groupBy("lead").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    dealt = pairs.join(blocks, "lead").select(F.xxhash64("lead", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).alias("grp"), "sig")
+    leads = blocks.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("lead", b))).alias("grp"), F.col("lead").alias("sig"))
+    return dealt.unionByName(leads).distinct()
+
+
+def near_linked(signed: DataFrame, similarity: float, keyed: DataFrame, sizes: DataFrame, tied: DataFrame | None = None) -> DataFrame:
     """Groups (grp, sig) of signatures (SIGNED and keys) to be compared by their sets: those that share a key and may be close enough.
 
-    A key's signatures whose fingerprints tie them together are a group; the same group under other keys is one. A key with more than `hot` different signatures is dealt out as pairs of blocks of that many, each pair a task's work.
+    A key's signatures whose fingerprints tie them together are a group; the same group under other keys is one. Under a busy
+    key, signatures that are known to be tied to its leader (`tied`: key, sig) need only meet the others: those, in blocks of
+    about MEMBERS, meet all signatures in such blocks, each pair of blocks a task's work.
     """
     spark = signed.sparkSession
     radius, n = wide_radius(similarity), shuffle_partitions(spark)
-    keyed = signed.select(F.explode("keys").alias("key"), "sig")
-    sizes = saved(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "near-keys")
-    blocks = F.ceil(F.col("members") / hot).cast("int")
-    rows = keyed.join(sizes.select(F.col("key").alias("k"), blocks.alias("blocks")), F.col("key") == F.col("k")).drop("k")
-    mine = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)))
-    rows = rows.withColumn("key", F.explode(F.when(F.col("blocks") > 1, tiles).otherwise(F.array("key")))).drop("blocks")
+    facts = sizes.select(F.col("key").alias("k"), "members")
+    rows = keyed.join(facts.where(F.col("members") <= MEMBERS), F.col("key") == F.col("k")).select("key", "sig", F.lit(0).cast("long").alias("known"))
+    if tied is not None:
+        busy = keyed.join(facts.where(F.col("members") > MEMBERS), F.col("key") == F.col("k")).drop("k")
+        busy = busy.join(tied.select(F.col("key").alias("tk"), F.col("sig").alias("ts")), (F.col("key") == F.col("tk")) & (F.col("sig") == F.col("ts")), "left").withColumn("known", F.col("ts").isNotNull().cast("long")).drop("tk", "ts")
+        others = busy.where("known = 0").groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("rows")).withColumnRenamed("key", "k")
+        busy = busy.join(others, F.col("key") == F.col("k")).withColumn("columns", F.ceil(F.col("members") / MEMBERS).cast("int"))
+        row, column = (F.pmod(F.xxhash64("sig"), F.col(c)).cast("int") for c in ("rows", "columns"))
+        upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+        down = F.transform(upto("rows"), lambda r: F.xxhash64("key", r, column))
+        tiles = F.when(F.col("known") == 1, down).otherwise(F.array_union(down, F.transform(upto("columns"), lambda c: F.xxhash64("key", row, c))))
+        rows = rows.unionByName(busy.select(F.explode(tiles).alias("key"), "sig", "known"))
     whole = rows.join(signed.select(F.col("sig").alias("s"), "f0", "f1", "f2", "f3", "n"), F.col("sig") == F.col("s")).drop("s")
 
     def verify(batches):
         held = None
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy() for i in range(7)], 1)
+            rows = np.stack([batch.column(i).to_numpy() for i in range(8)], 1)
             held = rows if held is None else np.concatenate([held, rows])
             cut = int(np.searchsorted(held[:, 0], held[-1, 0]))
             if cut:
@@ -363,13 +397,13 @@ def near_linked(signed: DataFrame, similarity: float, hot: int = 4 * BLOCK) -> D
         if held is not None:
             yield _near_groups(held, radius, similarity)
 
-    sorted_ = whole.select("key", "sig", "f0", "f1", "f2", "f3", "n").repartition(n, "key").sortWithinPartitions("key", "sig")
+    sorted_ = whole.select("key", "sig", "f0", "f1", "f2", "f3", "n", "known").repartition(n, "key").sortWithinPartitions("key", "sig")
     return sorted_.mapInArrow(verify, "grp long, sig long").distinct()
 
 
 def _near_groups(rows: np.ndarray, radius: int, similarity: float) -> pa.RecordBatch:
-    """rows sorted by key: key, sig, f0..f3, n."""
-    key, sig, f, n = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:6]).view(np.uint64), rows[:, 6]
+    """rows sorted by key: key, sig, f0..f3, n, known. Groups of known members alone are left out."""
+    key, sig, f, n, known = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:6]).view(np.uint64), rows[:, 6], rows[:, 7] == 1
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
     own = np.repeat(size, size)
@@ -381,12 +415,13 @@ def _near_groups(rows: np.ndarray, radius: int, similarity: float) -> pa.RecordB
         first.append(i)
         second.append(i + d)
     for g in np.flatnonzero(size > 64):
-        i, j = wide_links(f[start[g] : start[g] + size[g]], n[start[g] : start[g] + size[g]], radius, similarity)
+        part = slice(start[g], start[g] + size[g])
+        i, j = wide_links(f[part], n[part], radius, similarity, known[part])
         first.append(i + start[g])
         second.append(j + start[g])
     i, j = (np.concatenate([*x, np.zeros(0, int)]).astype(int) for x in (first, second))
     root = local_forest(i, j, len(key))
-    tied = np.flatnonzero(np.bincount(root, minlength=len(key))[root] > 1)
+    tied = np.flatnonzero((np.bincount(root, minlength=len(key)) > 1)[root] & (np.bincount(root, ~known, len(key)) > 0)[root])
     name = np.zeros(len(key), np.uint64)  # of a group: by its members, in any order
     np.add.at(name, root[tied], _mixed(sig[tied].view(np.uint64), _SALTS[3]))
     return pa.RecordBatch.from_arrays([pa.array(name[root[tied]].view(np.int64)), pa.array(sig[tied])], ["grp", "sig"])
@@ -475,21 +510,41 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
 
     made = saved(tagged.mapInArrow(run, f"id long, mark long, file long, row long, {SIGNED}, keys array<long>"), "near-signatures")
     signed = saved(made.groupBy("sig").agg(*(F.min(c).alias(c) for c in ("f0", "f1", "f2", "f3", "n")), F.first("keys").alias("keys")), "near-distinct")
-    close = saved(near_linked(signed, similarity), "near-groups")
 
     def whole(batch, found, sigs):
         own = [np.unique(shingle_hashes(words_of(t.as_py()), size)).view(np.int64) for t in batch.column(0).filter(pa.array(found))]
         return pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(own, pa.list_(pa.int64()))], ["its", "shingles"])
 
-    # one text for each signature of a group; its set is made anew, so that sets of other texts are never written
-    needed = made.join(close.select("sig").distinct(), "sig").groupBy("sig").agg(F.min(F.struct("file", "row")).alias("one")).select("one.file", "one.row", F.col("sig").alias("mark"))
-    sets = saved(with_marks(at.select("text", *PLACE), needed, whole, "its long, shingles array<long>"), "near-sets")
-    roots = components(set_linked(close, sets, similarity))
+    def sets_of(sigs):
+        """One text for each signature of a group; its set is made anew, so that sets of other texts are never written."""
+        needed = made.join(sigs, "sig").groupBy("sig").agg(F.min(F.struct("file", "row")).alias("one")).select("one.file", "one.row", F.col("sig").alias("mark"))
+        return saved(with_marks(at.select("text", *PLACE), needed, whole, "its long, shingles array<long>"), "near-sets")
+
+    keyed, sizes, busy = busy_keys(signed)
+    edges, sets, tied = None, None, None
+    if not sizes.where(F.col("members") > MEMBERS).isEmpty():  # first what is tied to the leaders of such keys, then only what is left
+        groups_ = saved(led(busy, signed, similarity), "near-led")
+        sets = sets_of(groups_.select("sig").distinct())
+        edges = saved(set_linked(groups_, sets, similarity), "near-led-edges")
+        rooted = components(edges)
+        tied = busy.join(rooted.select(F.col("node").alias("sig"), F.col("root").alias("mine")), "sig").join(rooted.select(F.col("node").alias("lead"), F.col("root").alias("its")), "lead")
+        tied = saved(tied.where("mine = its").select("key", "sig"), "near-tied")
+    close = saved(near_linked(signed, similarity, keyed, sizes, tied), "near-groups")
+    wanted = close.select("sig").distinct()
+    if sets is None:
+        sets = sets_of(wanted)
+    else:
+        sets = sets.unionByName(sets_of(wanted.join(sets.select(F.col("its").alias("sig")), "sig", "left_anti")))
+    more = set_linked(close, sets, similarity)
+    roots = components(more if edges is None else more.unionByName(edges))
     roots = saved(signed.join(roots, F.col("sig") == F.col("node"), "left").select(F.col("sig").alias("its"), F.coalesce("root", "sig").alias("root")), "near-roots")
     rank = F.struct(F.col("id").isNull().alias("null"), "id", "mark", "file", "row")
     of = saved(made.join(roots, F.col("sig") == F.col("its")).select("root", "id", "mark", "file", "row"), "near-rows")
     first = of.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("size")).where("size > 1").withColumnRenamed("root", "r")
-    out = of.join(first, F.col("root") == F.col("r")).where((F.col("file") != F.col("first.file")) | (F.col("row") != F.col("first.row")))
+    # a group may hold a third of all rows: its one row here is laid out SPREAD times, and its members are dealt to those
+    first = first.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    dealt = of.withColumn("salt", F.pmod(F.xxhash64("file", "row"), F.lit(SPREAD)).cast("int"))
+    out = dealt.join(first, (F.col("root") == F.col("r")) & (F.col("salt") == F.col("s"))).where((F.col("file") != F.col("first.file")) | (F.col("row") != F.col("first.row")))
     return without(at, out)
 
 

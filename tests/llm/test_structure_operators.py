@@ -609,6 +609,24 @@ def test_marks_find_their_rows(spark, tmp_path, monkeypatch):
         assert rowmarks.without(at, places.where("false")).count() == n
 
 
+def test_busy_keys_lose_nothing(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(5000)}"
+    one, line = [word() for _ in range(120)], [word() for _ in range(30)]
+    rows = []
+    for i in range(90):  # copies of one text, each changed in its own way, and short texts that share most of a line
+        own = list(one)
+        own[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(100 + i, " ".join([*line, *(word() for _ in range(rng.randrange(0, 12)))])) for i in range(60)]
+    rows += [(200 + i, " ".join(word() for _ in range(100))) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {min(own) for own in grouped([i for i, _ in rows], similar_pairs(rows, 0.8)).values()}
+    for members in (4096, 16, 7):
+        monkeypatch.setattr(simhash, "MEMBERS", members)
+        assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == want
+
+
 def test_wide_links_of_a_group():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, (5, 4), dtype=np.uint64)
