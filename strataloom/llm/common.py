@@ -94,9 +94,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
-    """As many partitions as the estimated size of df asks for, at least the session's."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # from file sizes and the columns read
-    return max(shuffle_partitions(df.sparkSession), min(200_000, math.ceil(int(str(size)) / bytes_each)))
+    """As many partitions as the estimated size of df asks for, at least the session's; those where the size isn't known."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # from file sizes and the columns read
+    known = size < 1 << 50  # joins and unknown sources are estimated far beyond any table
+    return max(shuffle_partitions(df.sparkSession), math.ceil(size / bytes_each) if known else 0)
 
 
 def pick(df: DataFrame, **cols: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 
 import corpus_pipeline
 from strataloom.llm import registry
-from strataloom.llm.common import saved
+from strataloom.llm.common import drop_made, made_here, partitions_for, saved
 
 LONG = "lorem ipsum dolor sit amet " * 4000
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, id long, fp long, bucket int"
@@ -83,3 +83,20 @@ def test_stages_keep_columns(spark, edges):
             assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 4, 6]  # 1, 2, 7 and the null row are all empty
         docs = out
     assert docs.count() > 0
+
+
+def test_pipeline_leaves_its_rows_only(spark, edges):
+    before = made_here()
+    assert corpus_pipeline.run(spark, edges).count() > 0
+    new = [at for at in made_here() if at not in before]
+    assert len(new) == 1 and "pipeline-sharding" in new[0]
+    files = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jvm.java.net.URI(new[0]), spark._jsc.hadoopConfiguration())
+    assert files.exists(spark._jvm.org.apache.hadoop.fs.Path(new[0]))
+    drop_made(spark, new)
+    assert not files.exists(spark._jvm.org.apache.hadoop.fs.Path(new[0])) and made_here() == before
+
+
+def test_sizes_that_arent_known_give_the_sessions_partitions(spark, edges):
+    docs = spark.read.parquet(f"{edges}/documents.parquet")
+    assert partitions_for(docs, 1 << 30) == 4 and partitions_for(docs, 100) > 4
+    assert partitions_for(spark.createDataFrame(docs.rdd, docs.schema), 1 << 20) == 4
