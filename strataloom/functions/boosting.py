@@ -50,11 +50,6 @@ def bucket(features: Column, picked: list[int], midpoints: list[float]) -> Colum
     return total
 
 
-def leaf(g: Column, h: Column, lr: float) -> Column:
-    """g: minus the sum of residuals; h: the sum of Hessians."""
-    return g / (h + DENOMINATOR_FLOOR) * lr
-
-
 def argmax(values: Column) -> Column:
     """Index of the largest value; ties go to the lowest."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
