@@ -25,15 +25,17 @@ def remove(spark: SparkSession, at: str) -> None:
 
 
 def write_bytes(spark: SparkSession, at: str, data: bytes) -> None:
-    """Writes a small file under another name and renames it over the old one."""
+    """Writes a small file under another name and renames it over the old one in one step, so that one of both is always there."""
     path, files = _hadoop(spark, at)
-    fresh = spark._jvm.org.apache.hadoop.fs.Path(f"{at}.new-{uuid.uuid4().hex}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fresh = hadoop.Path(f"{at}.new-{uuid.uuid4().hex}")
     out = files.create(fresh, True)
     out.write(bytearray(data))
     out.close()
-    if files.exists(path):
-        files.delete(path, False)
-    files.rename(fresh, path)
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(files.makeQualified(fresh), files.makeQualified(path), over)
 
 
 def read_bytes(spark: SparkSession, at: str) -> bytes | None:
