@@ -539,12 +539,17 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     roots = components(more if edges is None else more.unionByName(edges))
     roots = saved(signed.join(roots, F.col("sig") == F.col("node"), "left").select(F.col("sig").alias("its"), F.coalesce("root", "sig").alias("root")), "near-roots")
     rank = F.struct(F.col("id").isNull().alias("null"), "id", "mark", "file", "row")
-    of = saved(made.join(roots, F.col("sig") == F.col("its")).select("root", "id", "mark", "file", "row"), "near-rows")
-    first = of.groupBy("root").agg(F.min(rank).alias("first"), F.count("*").alias("size")).where("size > 1").withColumnRenamed("root", "r")
-    # a group may hold a third of all rows: its one row here is laid out SPREAD times, and its members are dealt to those
-    first = first.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    dealt = of.withColumn("salt", F.pmod(F.xxhash64("file", "row"), F.lit(SPREAD)).cast("int"))
-    out = dealt.join(first, (F.col("root") == F.col("r")) & (F.col("salt") == F.col("s"))).where((F.col("file") != F.col("first.file")) | (F.col("row") != F.col("first.row")))
+    per = made.groupBy("sig").agg(F.min(rank).alias("first"), F.count("*").alias("copies"))  # a row a signature, however many copies it has
+    per = saved(per.join(roots, F.col("sig") == F.col("its")).select("sig", "root", "first", "copies"), "near-texts")
+    first = saved(per.groupBy("root").agg(F.min("first").alias("first"), F.sum("copies").alias("size")).where("size > 1").select(F.col("root").alias("r"), "first"), "near-first")
+    # a group or a signature may hold a third of all rows: what its members look up is laid out SPREAD times, and they are dealt to those
+    laid = lambda df: df.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    salt = lambda *c: F.pmod(F.xxhash64(*c), F.lit(SPREAD)).cast("int").alias("salt")
+    several = laid(first.select("r"))
+    several = per.select("sig", "root", salt("sig")).join(several, (F.col("root") == F.col("r")) & (F.col("salt") == F.col("s")), "left_semi").select(F.col("sig").alias("its"))
+    several = laid(several)
+    out = made.select("sig", "file", "row", salt("file", "row")).join(several, (F.col("sig") == F.col("its")) & (F.col("salt") == F.col("s")), "left_semi")
+    out = out.select("file", "row").join(first.select("first.file", "first.row"), ["file", "row"], "left_anti")
     return without(at, out)
 
 
