@@ -13,8 +13,10 @@ expanded into all pairs: each gives the edges of a spanning forest, found block
 up every fingerprint one or two flips away.
 
 keep_one() works on whole texts at a similarity of 0.8 and five-word shingles, where fingerprints differ in far more than two
-bits: there short texts meet by the first shingles of their sets and longer ones by bands of least hashes, fingerprints of 256
-bits rule out what is far from similar among texts that meet, and the sets of shingles decide.
+bits, in every seventh. So there they are wider, WORDS words of 23 bits, and each word goes to the Golay codeword that the sums
+behind its bits are nearest to (bits close to a tie count least). As above, the codewords of two segments, going round, are a
+key. For sets of few shingles such sums are coarse: they meet by the first shingles of their sets as well, which loses none.
+Fingerprints of 256 bits rule out what is far from similar among texts that meet, and the sets of shingles decide.
 
 Defined cases: null and empty texts have the fingerprint zero, linked like any other; a null id has a fingerprint and the
 component of its equals, but is never the smallest id of a component (null if no other is there); repeated rows stay
@@ -228,14 +230,18 @@ def groups(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str
     return fps.join(of, F.col("fp") == F.col("its")).select("doc_id", "fp", "component_id")
 
 
-# near copies of whole texts: first shingles and bands find the candidates, long fingerprints filter, sets decide
+# near copies of whole texts: Golay codewords of long fingerprints find the candidates, 256 of the bits filter, sets decide
 
-BANDS, LEAST = 20, 4  # bands of so many least hashes each: a pair at 0.8 shares none with a chance of 0.00003
+WORDS = 144  # of 23 bits in a document's long fingerprint
+STEPS = [1, 5]  # a key is the codewords of a word and of the one so many further on: 288 keys, a pair at 0.8 shares none with a chance of 0.00002
+ROUNDS = [(0, 16), (16, 144), (144, 288)]  # keys looked at together; what the first ones tie needn't be compared under later ones
 MEMBERS = 4096  # different signatures under one key beyond which it is dealt out in blocks
 SPREAD = 32  # parts in which the members of a group meet its first row
 WIDE_BITS = 256  # of a document's fingerprint: four words of 64
 _SALTS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
-_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * LEAST, np.uint64) * np.uint64(2) + np.uint64(1)
+_LONG_SALTS = np.r_[np.array(_SALTS, np.uint64), np.random.default_rng(42).integers(0, 1 << 63, -(-23 * WORDS // 64) - 4, np.uint64) * np.uint64(2) + np.uint64(1)]
+_CODEWORDS = (np.arange(4096) << 11) ^ _remainder(np.arange(4096) << 11)
+_SIGNS = ((_CODEWORDS[:, None] >> np.arange(23) & 1) * 2 - 1).astype(np.int32)
 
 
 SHORT = 64  # shingles of a text below which its fingerprint is a coarse estimate and first shingles are its keys
@@ -261,53 +267,69 @@ def shingle_hashes(words: list[bytes], size: int = 5) -> np.ndarray:
     return np.array([h64(b" ".join(s), 42) for s in shingles], np.uint64)
 
 
-def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(salt)
+def _mixed(h: np.ndarray, salt: int | np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.asarray(salt, np.uint64)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
-def _bits(h: np.ndarray) -> np.ndarray:
-    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+def long_sums(own: np.ndarray) -> np.ndarray:
+    """For each bit of the long fingerprint the shingles that set it less those that don't; the first WIDE_BITS are the short one's."""
+    ones = np.zeros(64 * len(_LONG_SALTS), np.int32)
+    for lo in range(0, len(own), 255):  # so that sums fit into bytes
+        ones += np.unpackbits(_mixed(own[lo : lo + 255, None], _LONG_SALTS).astype(">u8").view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return ones * 2 - len(own)
 
 
-def _packed(ones: np.ndarray, of: np.ndarray) -> np.ndarray:
-    return np.packbits(ones * 2 > of, axis=1).view(">u8").ravel().astype(np.uint64)
+def golay_nearest(sums: np.ndarray) -> np.ndarray:
+    """12-bit index of the codeword nearest to each row of 23 sums: the best by their signs with any of the four weakest turned."""
+    hard = (sums > 0) @ (1 << np.arange(23))
+    weak = np.int64(1) << np.argpartition(np.abs(sums).astype(np.int64) * 32 + np.arange(23), 4, axis=1)[:, :4]
+    best = np.full(len(sums), np.iinfo(np.int64).min)
+    for turned in range(16):
+        index = golay_index(hard ^ weak[:, [k for k in range(4) if turned >> k & 1]].sum(1))
+        best = np.maximum(best, np.einsum("ij,ij->i", sums, _SIGNS[index]).astype(np.int64) * 4096 + index)
+    return best & 4095
 
 
-def near_keys(own: np.ndarray, similarity: float) -> np.ndarray:
-    """Keys of a sorted set of shingle hashes: two sets with the Jaccard similarity share one.
+def codes(sums: np.ndarray) -> np.ndarray:
+    """Codeword indices [documents, WORDS] of long_sums() [documents, bits]."""
+    words = np.ascontiguousarray(sums[:, : 23 * WORDS]).reshape(-1, 23)
+    return golay_nearest(words).reshape(-1, WORDS).astype(np.uint16)
+
+
+def code_keys(own: np.ndarray, first: int = 0, end: int = WORDS * len(STEPS)) -> np.ndarray:
+    """Keys number `first` up to `end` of codes [documents, WORDS]: the codewords of a word and of the one a step further on."""
+    number = np.arange(first, end)
+    word, step = number % WORDS, np.array(STEPS)[number // WORDS]
+    pair = own[:, word].astype(np.uint64) << np.uint64(12) | own[:, (word + step) % WORDS]
+    return _mixed(number.astype(np.uint64) << np.uint64(24) | pair, _SALTS[1])
+
+
+def first_keys(own: np.ndarray, similarity: float) -> np.ndarray:
+    """First shingles of a sorted set: two sets with the Jaccard similarity share one if one has less than SHORT shingles.
 
-    Sets of n shingles that are similar enough have one in common among their first n - similarity * n + 1 by hash: so
-    every pair with a set under SHORT shares a key. Longer sets share one of BANDS bands of LEAST least hashes, with the
-    chance given there.
+    Sets of n shingles that are similar enough have one in common among their first n - similarity * n + 1 by hash.
     """
     n = len(own)
     if not n:
         return np.zeros(1, np.uint64)
-    keys = []
-    if n <= (SHORT - 1) / similarity:  # similar to a short one, at most
-        keys.append(_mixed(own[: n - int(np.ceil(similarity * n - 1e-9)) + 1], _SALTS[2]))
-    if n >= SHORT:
-        spread = own ^ (own >> np.uint64(32))
-        least = np.full(BANDS * LEAST, ~np.uint64(0))
-        for lo in range(0, n, 2048):
-            least = np.minimum(least, (spread[lo : lo + 2048, None] * _FACTORS).min(0))
-        band = np.arange(BANDS, dtype=np.uint64)
-        for column in least.reshape(BANDS, LEAST).T:
-            band = _mixed(band + column, _SALTS[1])
-        keys.append(band)
-    return np.unique(np.concatenate(keys))
-
-
-def signature(words: list[bytes], size: int = 5, similarity: float = 0.8) -> tuple[int, np.ndarray, int, np.ndarray]:
-    """A hash of the document's set of shingles, four words of the set's fingerprint, its size, and the document's keys."""
-    own = np.unique(shingle_hashes(words, size))
-    wide = np.zeros((4, 64), np.int64)
-    for lo in range(0, len(own), 8192):
-        for k, salt in enumerate(_SALTS):
-            wide[k] += _bits(_mixed(own[lo : lo + 8192], salt)).sum(0, dtype=np.int32)
-    return xxhash.xxh64_intdigest(own.tobytes()), _packed(wide, np.array([[len(own)]])), len(own), near_keys(own, similarity)
+    if n > (SHORT - 1) / similarity:  # not similar to a short one
+        return np.zeros(0, np.uint64)
+    return _mixed(own[: n - int(np.ceil(similarity * n - 1e-9)) + 1], _SALTS[2])
+
+
+def near_keys(own: np.ndarray, similarity: float) -> np.ndarray:
+    """All keys of a sorted set of shingle hashes: two sets with the Jaccard similarity share one, with the chances given above."""
+    return np.unique(np.r_[code_keys(codes(long_sums(own)[None]))[0], first_keys(own, similarity)])
+
+
+def signatures(texts: list[list[bytes]], size: int = 5, similarity: float = 0.8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For each text a hash of its set of shingles, four words of the set's fingerprint, its size, its codes and its first shingles' keys."""
+    sets = [np.unique(shingle_hashes(words, size)) for words in texts]
+    sums, n = np.stack([long_sums(own) for own in sets]), np.array([len(own) for own in sets], np.int64)
+    wide = np.packbits(sums[:, :WIDE_BITS] > 0, axis=1).view(">u8").astype(np.uint64)
+    return np.array([xxhash.xxh64_intdigest(own.tobytes()) for own in sets], np.uint64), wide, n, codes(sums), [first_keys(own, similarity) for own in sets]
 
 
 def _radii(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -339,12 +361,25 @@ def wide_links(f: np.ndarray, n: np.ndarray, radius: int, similarity: float, kno
 SIGNED = "sig long, f0 long, f1 long, f2 long, f3 long, n long"
 
 
-def busy_keys(signed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(key, sig) of all signatures, (key, members) of keys that two or more have, and (key, sig, lead) of the keys with more than MEMBERS: their least signature leads."""
-    keyed = signed.select(F.explode("keys").alias("key"), "sig")
+def coded(signed: DataFrame, first: int, end: int) -> DataFrame:
+    """(key, sig): keys number `first` up to `end` of all signatures' codes."""
+
+    def emit(batches):
+        for batch in batches:
+            sig = batch.column(0).to_numpy()
+            own = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, WORDS)
+            for lo in range(0, len(sig), 1000):
+                keys = code_keys(own[lo : lo + 1000], first, end)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(sig[lo : lo + 1000], end - first))], ["key", "sig"])
+
+    return signed.select("sig", "codes").mapInArrow(emit, "key long, sig long")
+
+
+def busy_keys(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (key, sig): (key, members) of keys that two or more have, and (key, sig, lead) of the keys with more than MEMBERS: their least signature leads."""
     sizes = saved(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("sig").alias("lead")).where("members > 1"), "near-keys")
     busy = keyed.join(sizes.where(F.col("members") > MEMBERS).select("key", "lead"), "key")
-    return keyed, sizes, busy
+    return sizes, busy
 
 
 def led(busy: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
@@ -363,7 +398,7 @@ def led(busy: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_linked(signed: DataFrame, similarity: float, keyed: DataFrame, sizes: DataFrame, tied: DataFrame | None = None) -> DataFrame:
-    """Groups (grp, sig) of signatures (SIGNED and keys) to be compared by their sets: those that share a key and may be close enough.
+    """Groups (grp, sig) of signatures (SIGNED) to be compared by their sets: those that share a key and may be close enough.
 
     A key's signatures whose fingerprints tie them together are a group; the same group under other keys is one. Under a busy
     key, signatures that are known to be tied to its leader (`tied`: key, sig) need only meet the others: those, in blocks of
@@ -437,19 +472,20 @@ def set_links(flat: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray
     ids = np.unique(flat, return_inverse=True)[1]
     mark = np.zeros(ids.max(initial=-1) + 1, np.int8)
     for i in range(len(n) - 1):
-        open_ = root[i + 1 :] != root[i]
-        if not open_.any():
+        others = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        others = others[_sizes_allow(n[others], n[i], similarity)]
+        if not len(others):
             continue
         if n[i] == 0:
-            hit = n[i + 1 :] == 0
+            hit = n[others] == 0
         else:
-            mine = ids[at[i] : at[i + 1]]
+            mine, end = ids[at[i] : at[i + 1]], np.r_[0, np.cumsum(n[others])]
             mark[mine] = 1
-            sums = np.r_[0, np.cumsum(mark[ids[at[i + 1] :]], dtype=np.int64)]
+            sums = np.r_[0, np.cumsum(mark[ids[np.repeat(at[others] - end[:-1], n[others]) + np.arange(end[-1])]], dtype=np.int64)]
             mark[mine] = 0
-            both = np.diff(sums[at[i + 1 :] - at[i + 1]])
-            hit = both >= similarity * (n[i] + n[i + 1 :] - both) - 1e-9
-        hit = np.flatnonzero(hit & open_) + i + 1
+            both = np.diff(sums[end])
+            hit = both >= similarity * (n[i] + n[others] - both) - 1e-9
+        hit = others[hit]
         if len(hit):
             joined = np.unique(np.r_[root[i], root[hit]])
             root[np.isin(root, joined)] = joined[0]
@@ -500,16 +536,16 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     tagged = at.select(at["doc_id"].cast("long").alias("id"), at["text"].alias("text"), F.xxhash64(at["text"]).alias("mark"), "__file", "__row")
 
     def run(batches):
-        for batch in batches:
-            made = [signature(words_of(t.as_py()), size, similarity) for t in batch.column(1)]
-            sig = np.array([m[0] for m in made], np.uint64)
-            f = np.array([m[1] for m in made]).reshape(-1, 4)
-            n = np.array([m[2] for m in made], np.int64)
-            columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (sig, *f.T, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *columns, pa.array([m[3].view(np.int64) for m in made], pa.list_(pa.int64()))], ["id", "mark", "file", "row", "sig", "f0", "f1", "f2", "f3", "n", "keys"])
+        for whole_batch in batches:
+            for lo in range(0, whole_batch.num_rows, 256):
+                batch = whole_batch.slice(lo, 256)
+                sig, f, n, own, keys = signatures([words_of(t.as_py()) for t in batch.column(1)], size, similarity)
+                columns = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (sig, *f.T, n)]
+                columns += [pa.array([c.tobytes() for c in own], pa.binary()), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *columns], ["id", "mark", "file", "row", "sig", "f0", "f1", "f2", "f3", "n", "codes", "keys"])
 
-    made = saved(tagged.mapInArrow(run, f"id long, mark long, file long, row long, {SIGNED}, keys array<long>"), "near-signatures")
-    signed = saved(made.groupBy("sig").agg(*(F.min(c).alias(c) for c in ("f0", "f1", "f2", "f3", "n")), F.first("keys").alias("keys")), "near-distinct")
+    made = saved(tagged.mapInArrow(run, f"id long, mark long, file long, row long, {SIGNED}, codes binary, keys array<long>"), "near-signatures")
+    signed = saved(made.groupBy("sig").agg(*(F.min(c).alias(c) for c in ("f0", "f1", "f2", "f3", "n")), F.first("codes").alias("codes"), F.first("keys").alias("keys")), "near-distinct")
 
     def whole(batch, found, sigs):
         own = [np.unique(shingle_hashes(words_of(t.as_py()), size)).view(np.int64) for t in batch.column(0).filter(pa.array(found))]
@@ -520,23 +556,34 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
         needed = made.join(sigs, "sig").groupBy("sig").agg(F.min(F.struct("file", "row")).alias("one")).select("one.file", "one.row", F.col("sig").alias("mark"))
         return saved(with_marks(at.select("text", *PLACE), needed, whole, "its long, shingles array<long>"), "near-sets")
 
-    keyed, sizes, busy = busy_keys(signed)
-    edges, sets, tied = None, None, None
-    if not sizes.where(F.col("members") > MEMBERS).isEmpty():  # first what is tied to the leaders of such keys, then only what is left
-        groups_ = saved(led(busy, signed, similarity), "near-led")
-        sets = sets_of(groups_.select("sig").distinct())
-        edges = saved(set_linked(groups_, sets, similarity), "near-led-edges")
+    edges, sets, rooted = None, None, None
+
+    def compared(groups_, kind):
+        """Edges of groups (grp, sig), and the roots over all edges so far."""
+        nonlocal edges, sets, rooted
+        if rooted is not None:  # groups whose members are all tied by now are left out
+            own = groups_.join(rooted, F.col("sig") == F.col("node"), "left").select("grp", F.coalesce("root", "sig").alias("root"))
+            open_ = own.groupBy("grp").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("grp")
+            groups_ = saved(groups_.join(open_, "grp", "left_semi"), "near-open")
+        wanted = groups_.select("sig").distinct()
+        more = sets_of(wanted if sets is None else wanted.join(sets.select(F.col("its").alias("sig")), "sig", "left_anti"))
+        sets = more if sets is None else sets.unionByName(more)
+        more = saved(set_linked(groups_, sets, similarity), kind)
+        edges = more if edges is None else edges.unionByName(more)
         rooted = components(edges)
-        tied = busy.join(rooted.select(F.col("node").alias("sig"), F.col("root").alias("mine")), "sig").join(rooted.select(F.col("node").alias("lead"), F.col("root").alias("its")), "lead")
-        tied = saved(tied.where("mine = its").select("key", "sig"), "near-tied")
-    close = saved(near_linked(signed, similarity, keyed, sizes, tied), "near-groups")
-    wanted = close.select("sig").distinct()
-    if sets is None:
-        sets = sets_of(wanted)
-    else:
-        sets = sets.unionByName(sets_of(wanted.join(sets.select(F.col("its").alias("sig")), "sig", "left_anti")))
-    more = set_linked(close, sets, similarity)
-    roots = components(more if edges is None else more.unionByName(edges))
+
+    for first, end in ROUNDS:
+        keyed = coded(signed, first, end)
+        if end == ROUNDS[-1][1]:  # and for sets of few shingles, so that none is lost
+            keyed = keyed.union(signed.select(F.explode("keys").alias("key"), "sig"))
+        sizes, busy = busy_keys(keyed)
+        tied = None
+        if not sizes.where(F.col("members") > MEMBERS).isEmpty():  # first what is tied to the leaders of such keys, then only what is left
+            compared(saved(led(busy, signed, similarity), "near-led"), "near-led-edges")
+            tied = busy.join(rooted.select(F.col("node").alias("sig"), F.col("root").alias("mine")), "sig").join(rooted.select(F.col("node").alias("lead"), F.col("root").alias("its")), "lead")
+            tied = saved(tied.where("mine = its").select("key", "sig"), "near-tied")
+        compared(saved(near_linked(signed, similarity, keyed, sizes, tied), "near-groups"), "near-edges")
+    roots = rooted
     roots = saved(signed.join(roots, F.col("sig") == F.col("node"), "left").select(F.col("sig").alias("its"), F.coalesce("root", "sig").alias("root")), "near-roots")
     rank = F.struct(F.col("id").isNull().alias("null"), "id", "mark", "file", "row")
     per = made.groupBy("sig").agg(F.min(rank).alias("first"), F.count("*").alias("copies"))  # a row a signature, however many copies it has

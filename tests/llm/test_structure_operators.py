@@ -728,3 +728,46 @@ def test_keys_of_similar_sets_meet():
             a, b = np.sort(own[:n]), np.sort(own[lost : n + max(0, added)])
             assert len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9
             assert np.isin(simhash.near_keys(a, 0.8), simhash.near_keys(b, 0.8)).any(), (n, len(b))
+
+
+def test_nearest_codeword_by_sums():
+    rng = np.random.default_rng(12)
+    hard = rng.integers(0, 1 << 23, 3000)
+    signs = (hard[:, None] >> np.arange(23) & 1) * 2 - 1
+    assert np.array_equal(simhash.golay_nearest(signs.astype(np.int32)), simhash.golay_index(hard))  # all bits count the same: plain decoding
+    sums = rng.normal(0, 20, (3000, 23)).astype(np.int32)
+    scores = sums @ simhash._SIGNS.T  # all codewords
+    found = scores[np.arange(3000), simhash.golay_nearest(sums)]
+    plain = scores[np.arange(3000), simhash.golay_index((sums > 0) @ (1 << np.arange(23)))]
+    assert (found >= plain).all() and (found == scores.max(1)).mean() > 0.85 > (plain == scores.max(1)).mean()
+
+
+def test_long_near_copies_meet_by_golay_keys():
+    rng = np.random.default_rng(13)
+    keys = lambda own: simhash.code_keys(simhash.codes(simhash.long_sums(own)[None]))[0]
+    apart = met = 0
+    for n in [80, 100, 300, 900] * 50:
+        own = np.unique(rng.integers(0, (1 << 64) - 1, 2 * n, np.uint64))
+        own = rng.permutation(own)
+        lost = n // 9  # of n on either side: similarity just over 0.8
+        a, b, c = np.sort(own[:n]), np.sort(own[lost : n + lost]), np.sort(own[n:])
+        assert set(simhash.near_keys(a, 0.8)) == set(keys(a))  # nothing but codewords
+        met += np.isin(keys(a), keys(b)).any()
+        apart += np.isin(keys(a), keys(c)).any()
+    assert met == 200 and apart <= 2
+
+
+def test_golay_keys_tie_long_texts(spark):
+    rng = random.Random(14)
+    rows = []
+    for i in range(40):
+        text = [f"w{rng.randrange(9000)}" for _ in range(rng.choice([150, 400]))]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(edited(rng, text, 0.8)))]
+    sig, f, n, own, keys = simhash.signatures([simhash.words_of(t) for _, t in rows])
+    assert not any(map(len, keys))
+    made = [(int(s), *map(int, x), int(m), bytearray(c.tobytes())) for s, x, m, c in zip(sig.view(np.int64), f.view(np.int64), n, own, strict=True)]
+    signed = spark.createDataFrame(made, f"{simhash.SIGNED}, codes binary")
+    keyed = simhash.coded(signed, 0, simhash.WORDS * len(simhash.STEPS))
+    groups_ = simhash.near_linked(signed, 0.8, keyed, simhash.busy_keys(keyed)[0]).toPandas()
+    tied = {frozenset(s) for _, s in groups_.groupby("grp").sig}
+    assert {frozenset(map(int, sig[k : k + 2].view(np.int64))) for k in range(0, 80, 2)} <= tied
