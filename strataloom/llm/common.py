@@ -89,6 +89,11 @@ def saved(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collects the driver's garbage: its heap shrinks, and broadcasts and shuffles of earlier queries go. For loops of many queries."""
+    spark._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import pick, saved, shuffle_partitions, table
+from strataloom.llm.common import pick, saved, shuffle_partitions, table, tidy
 from strataloom.llm.components import components, local_forest
 from strataloom.llm.rowmarks import PLACE, located, with_marks, without
 
@@ -532,7 +532,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     Texts without words are copies of each other; of rows that repeat an id the one with the least checksum of its text
     stays, null ids come last. Texts are never shuffled: what is found out about a row goes back to it by its place.
     """
-    at = located(docs)
+    spark, at = docs.sparkSession, located(docs)
     tagged = at.select(at["doc_id"].cast("long").alias("id"), at["text"].alias("text"), F.xxhash64(at["text"]).alias("mark"), "__file", "__row")
 
     def run(batches):
@@ -571,6 +571,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
         more = saved(set_linked(groups_, sets, similarity), kind)
         edges = more if edges is None else edges.unionByName(more)
         rooted = components(edges)
+        tidy(spark)
 
     for first, end in ROUNDS:
         keyed = coded(signed, first, end)
@@ -583,8 +584,7 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
             tied = busy.join(rooted.select(F.col("node").alias("sig"), F.col("root").alias("mine")), "sig").join(rooted.select(F.col("node").alias("lead"), F.col("root").alias("its")), "lead")
             tied = saved(tied.where("mine = its").select("key", "sig"), "near-tied")
         compared(saved(near_linked(signed, similarity, keyed, sizes, tied), "near-groups"), "near-edges")
-    roots = rooted
-    roots = saved(signed.join(roots, F.col("sig") == F.col("node"), "left").select(F.col("sig").alias("its"), F.coalesce("root", "sig").alias("root")), "near-roots")
+    roots = signed.join(rooted, F.col("sig") == F.col("node"), "left").select(F.col("sig").alias("its"), F.coalesce("root", "sig").alias("root"))
     rank = F.struct(F.col("id").isNull().alias("null"), "id", "mark", "file", "row")
     per = made.groupBy("sig").agg(F.min(rank).alias("first"), F.count("*").alias("copies"))  # a row a signature, however many copies it has
     per = saved(per.join(roots, F.col("sig") == F.col("its")).select("sig", "root", "first", "copies"), "near-texts")

@@ -468,6 +468,23 @@ def test_components_of_a_path_and_a_hub(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_take_few_queries(spark, monkeypatch):
+    """The driver's memory grows with every query, so what a task can hold takes one, and stars no round more."""
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + i * i % 97) for i in range(97)]
+    want = collections.defaultdict(set)
+    for held, most in [(500_000, 1), (7, 12)]:  # in one task's forest, and over many, which takes rounds
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(held, 10_000))
+        made, save = [], components.saved
+        monkeypatch.setattr(components, "saved", lambda df, kind, save=save, made=made: made.append(kind) or save(df, kind))
+        got = components.components(spark.createDataFrame(edges, "a long, b long").coalesce(1), at_once=held).collect()
+        monkeypatch.setattr(components, "saved", save)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        want[frozenset((r["node"], r["root"]) for r in got)].add(held)
+        assert len(got) == len({r["node"] for r in got}) and 1 <= len(made) <= most, made
+        assert (len(made) > 1) == (held == 7)
+    assert len(want) == 1 and all(root == 0 for node, root in next(iter(want)) if node <= 300)
+
+
 # sharding
 
 
