@@ -16,7 +16,8 @@ keep_one() works on whole texts at a similarity of 0.8 and five-word shingles, w
 bits, in every seventh. So there they are wider, WORDS words of 23 bits, and each word goes to the Golay codeword that the sums
 behind its bits are nearest to (bits close to a tie count least). As above, the codewords of two segments, going round, are a
 key. For sets of few shingles such sums are coarse: they meet by the first shingles of their sets as well, which loses none.
-Fingerprints of 256 bits rule out what is far from similar among texts that meet, and the sets of shingles decide.
+Fingerprints of 256 bits rule out what is far from similar among texts that meet. The texts that are left are candidates: those
+that share one of their rarest shingles are compared, and the sets of shingles decide.
 
 Defined cases: null and empty texts have the fingerprint zero, linked like any other; a null id has a fingerprint and the
 component of its equals, but is never the smallest id of a component (null if no other is there); repeated rows stay
@@ -25,6 +26,8 @@ separate rows of one component; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -234,8 +237,8 @@ def groups(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str
 
 WORDS = 144  # of 23 bits in a document's long fingerprint
 STEPS = [1, 5]  # a key is the codewords of a word and of the one so many further on: 288 keys, a pair at 0.8 shares none with a chance of 0.00002
-ROUNDS = [(0, 16), (16, 144), (144, 288)]  # keys looked at together; what the first ones tie needn't be compared under later ones
-MEMBERS = 4096  # different signatures under one key beyond which it is dealt out in blocks
+ROUNDS = [(0, 96), (96, 192), (192, 288)]  # keys looked at together: as many as the disk takes at once
+MEMBERS = 4096  # different signatures under one key beyond which all are candidates, or it is dealt out in blocks
 SPREAD = 32  # parts in which the members of a group meet its first row
 WIDE_BITS = 256  # of a document's fingerprint: four words of 64
 _SALTS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
@@ -258,6 +261,11 @@ def _sizes_allow(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     return np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
 
 
+def _left_allow(n: np.ndarray, place: np.ndarray, m: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m shingles can be similar whose first common one is at `place` and `at` of their orders (0: their sizes allow it)."""
+    return np.minimum(n - place, m - at) >= similarity / (1 + similarity) * (n + m) - 1e-6
+
+
 def shingle_hashes(words: list[bytes], size: int = 5) -> np.ndarray:
     """Hashes of a text's shingles in their order; all words are one where there are fewer than `size`."""
     if not words:
@@ -336,21 +344,20 @@ def _radii(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.where(np.minimum(a, b) < SHORT, max(radius, SHORT_RADIUS), radius)
 
 
-def wide_links(f: np.ndarray, n: np.ndarray, radius: int, similarity: float, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of one group: fingerprints f [members, 4] within radius whose sizes n allow the similarity.
+def wide_links(f: np.ndarray, n: np.ndarray, radius: int, similarity: float, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of one group: fingerprints f [members, 4] within radius whose sizes n, and places, allow the similarity.
 
-    Pairs with a set of fewer than SHORT shingles need only be within SHORT_RADIUS. Pairs that are tied already, such as
-    those of `known` members, aren't compared, so a group of copies of one text takes time in proportion to its members.
+    Pairs with a set of fewer than SHORT shingles need only be within SHORT_RADIUS. Pairs that are tied already aren't
+    compared, so a group of copies of one text takes time in proportion to its members.
     """
     root = np.arange(len(f))
-    if known is not None and known.any():
-        root[known] = np.flatnonzero(known)[0]
+    place = np.zeros(len(f), np.int64) if place is None else place
     for i in range(len(f) - 1):
         rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        rest = rest[_left_allow(n[rest], place[rest], n[i], place[i], similarity)]
         if not len(rest):
             continue
-        near = np.bitwise_count(f[rest] ^ f[i]).sum(1, dtype=np.int16) <= _radii(n[rest], n[i], radius)
-        hit = rest[near & _sizes_allow(n[rest], n[i], similarity)]
+        hit = rest[np.bitwise_count(f[rest] ^ f[i]).sum(1, dtype=np.int16) <= _radii(n[rest], n[i], radius)]
         if len(hit):
             joined = np.unique(np.r_[root[i], root[hit]])
             root[np.isin(root, joined)] = joined[0]
@@ -376,49 +383,25 @@ def coded(signed: DataFrame, first: int, end: int) -> DataFrame:
 
 
 def busy_keys(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of (key, sig): (key, members) of keys that two or more have, and (key, sig, lead) of the keys with more than MEMBERS: their least signature leads."""
-    sizes = saved(keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("sig").alias("lead")).where("members > 1"), "near-keys")
-    busy = keyed.join(sizes.where(F.col("members") > MEMBERS).select("key", "lead"), "key")
-    return sizes, busy
-
-
-def led(busy: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
-    """Groups (grp, sig) of a leader and at most about MEMBERS signatures that share a busy key with it and may be close enough."""
-    radius = wide_radius(similarity)
-    pairs = busy.where("sig <> lead").select("sig", "lead").distinct()
-    facts = lambda name, p: signed.select(F.col("sig").alias(name), *(F.col(c).alias(p + c) for c in ("f0", "f1", "f2", "f3", "n")))
-    pairs = pairs.join(facts("sig", "a"), "sig").join(facts("lead", "b"), "lead")
-    apart = sum((F.bit_count(F.col(f"af{k}").bitwiseXOR(F.col(f"bf{k}"))) for k in range(4)), F.lit(0))
-    near = F.when(F.least("an", "bn") < SHORT, apart <= max(radius, SHORT_RADIUS)).otherwise(apart <= radius)
-    pairs = pairs.where(near & (F.least("an", "bn") >= similarity * F.greatest("an", "bn") - 1e-9)).select("sig", "lead")
-    blocks = pairs.groupBy("lead").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
-    dealt = pairs.join(blocks, "lead").select(F.xxhash64("lead", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).alias("grp"), "sig")
-    leads = blocks.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("lead", b))).alias("grp"), F.col("lead").alias("sig"))
-    return dealt.unionByName(leads).distinct()
-
-
-def near_linked(signed: DataFrame, similarity: float, keyed: DataFrame, sizes: DataFrame, tied: DataFrame | None = None) -> DataFrame:
-    """Groups (grp, sig) of signatures (SIGNED) to be compared by their sets: those that share a key and may be close enough.
-
-    A key's signatures whose fingerprints tie them together are a group; the same group under other keys is one. Under a busy
-    key, signatures that are known to be tied to its leader (`tied`: key, sig) need only meet the others: those, in blocks of
-    about MEMBERS, meet all signatures in such blocks, each pair of blocks a task's work.
+    """Of (key, sig): (key, members) of keys that two or more have, and (sig) of the keys with more than MEMBERS."""
+    sizes = saved(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "near-keys")
+    return sizes, keyed.join(sizes.where(F.col("members") > MEMBERS).select("key"), "key", "left_semi").select("sig")
+
+
+def near_linked(signed: DataFrame, similarity: float, keyed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Groups (grp, sig) of signatures (SIGNED) that share a key with at most MEMBERS and may be close enough.
+
+    A key's signatures whose fingerprints tie them together are a group; the same group under other keys is one.
     """
-    spark = signed.sparkSession
-    radius, n = wide_radius(similarity), shuffle_partitions(spark)
-    facts = sizes.select(F.col("key").alias("k"), "members")
-    rows = keyed.join(facts.where(F.col("members") <= MEMBERS), F.col("key") == F.col("k")).select("key", "sig", F.lit(0).cast("long").alias("known"))
-    if tied is not None:
-        busy = keyed.join(facts.where(F.col("members") > MEMBERS), F.col("key") == F.col("k")).drop("k")
-        busy = busy.join(tied.select(F.col("key").alias("tk"), F.col("sig").alias("ts")), (F.col("key") == F.col("tk")) & (F.col("sig") == F.col("ts")), "left").withColumn("known", F.col("ts").isNotNull().cast("long")).drop("tk", "ts")
-        others = busy.where("known = 0").groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("rows")).withColumnRenamed("key", "k")
-        busy = busy.join(others, F.col("key") == F.col("k")).withColumn("columns", F.ceil(F.col("members") / MEMBERS).cast("int"))
-        row, column = (F.pmod(F.xxhash64("sig"), F.col(c)).cast("int") for c in ("rows", "columns"))
-        upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-        down = F.transform(upto("rows"), lambda r: F.xxhash64("key", r, column))
-        tiles = F.when(F.col("known") == 1, down).otherwise(F.array_union(down, F.transform(upto("columns"), lambda c: F.xxhash64("key", row, c))))
-        rows = rows.unionByName(busy.select(F.explode(tiles).alias("key"), "sig", "known"))
+    facts = sizes.where(F.col("members") <= MEMBERS).select(F.col("key").alias("k"))
+    rows = keyed.join(facts, F.col("key") == F.col("k")).select("key", "sig", F.lit(0).cast("long").alias("place"))
     whole = rows.join(signed.select(F.col("sig").alias("s"), "f0", "f1", "f2", "f3", "n"), F.col("sig") == F.col("s")).drop("s")
+    return grouped(whole, similarity)
+
+
+def grouped(rows: DataFrame, similarity: float) -> DataFrame:
+    """Groups (grp, sig) of rows (key, SIGNED, place): what is tied together under a key by pairs that may be similar."""
+    radius, n = wide_radius(similarity), shuffle_partitions(rows.sparkSession)
 
     def verify(batches):
         held = None
@@ -432,36 +415,62 @@ def near_linked(signed: DataFrame, similarity: float, keyed: DataFrame, sizes: D
         if held is not None:
             yield _near_groups(held, radius, similarity)
 
-    sorted_ = whole.select("key", "sig", "f0", "f1", "f2", "f3", "n", "known").repartition(n, "key").sortWithinPartitions("key", "sig")
+    sorted_ = rows.select("key", "sig", "f0", "f1", "f2", "f3", "n", "place").repartition(n, "key").sortWithinPartitions("key", "sig")
     return sorted_.mapInArrow(verify, "grp long, sig long").distinct()
 
 
 def _near_groups(rows: np.ndarray, radius: int, similarity: float) -> pa.RecordBatch:
-    """rows sorted by key: key, sig, f0..f3, n, known. Groups of known members alone are left out."""
-    key, sig, f, n, known = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:6]).view(np.uint64), rows[:, 6], rows[:, 7] == 1
+    """rows sorted by key: key, sig, f0..f3, n, place."""
+    key, sig, f, n, place = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:6]).view(np.uint64), rows[:, 6], rows[:, 7]
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
     own = np.repeat(size, size)
     first, second = [], []
     for d in range(1, int(size[size <= 64].max(initial=0))):
         i = np.flatnonzero((key[d:] == key[:-d]) & (own[d:] <= 64))
+        i = i[_left_allow(n[i], place[i], n[i + d], place[i + d], similarity)]
         i = i[np.bitwise_count(f[i] ^ f[i + d]).sum(1) <= _radii(n[i], n[i + d], radius)]
-        i = i[_sizes_allow(n[i], n[i + d], similarity)]
         first.append(i)
         second.append(i + d)
     for g in np.flatnonzero(size > 64):
         part = slice(start[g], start[g] + size[g])
-        i, j = wide_links(f[part], n[part], radius, similarity, known[part])
+        i, j = wide_links(f[part], n[part], radius, similarity, place[part])
         first.append(i + start[g])
         second.append(j + start[g])
     i, j = (np.concatenate([*x, np.zeros(0, int)]).astype(int) for x in (first, second))
     root = local_forest(i, j, len(key))
-    tied = np.flatnonzero((np.bincount(root, minlength=len(key)) > 1)[root] & (np.bincount(root, ~known, len(key)) > 0)[root])
+    tied = np.flatnonzero((np.bincount(root, minlength=len(key)) > 1)[root])
     name = np.zeros(len(key), np.uint64)  # of a group: by its members, in any order
     np.add.at(name, root[tied], _mixed(sig[tied].view(np.uint64), _SALTS[3]))
     return pa.RecordBatch.from_arrays([pa.array(name[root[tied]].view(np.int64)), pa.array(sig[tied])], ["grp", "sig"])
 
 
+def rare_linked(sets: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:
+    """Groups (grp, sig) of the sets (its, shingles) that share one of their rarest shingles and may be similar; loses no pair.
+
+    Each set in the order of how many sets a shingle is in: two similar ones of n shingles share one among their first
+    n - similarity * n + 1. So a set is in as many rows at most, however many others are near it, and sets that differ in
+    shingles of their own don't meet. What stands before the first common shingle rules out more pairs by its length. A
+    shingle with more than MEMBERS sets is dealt out in pairs of blocks.
+    """
+    single = sets.select("its", F.explode("shingles").alias("shingle"))
+    often = saved(single.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"), "near-often")
+    shared = single.join(often, "shingle").groupBy("its").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("shared"))
+    own = shared.join(signed.select("sig", "f0", "f1", "f2", "f3", "n"), F.col("its") == F.col("sig"))
+    alone = F.col("n") - F.size("shared")  # shingles that no other set has come first
+    most = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - alone).cast("int")
+    rows = own.where(most > 0).select("sig", "f0", "f1", "f2", "f3", "n", alone.alias("alone"), F.posexplode(F.slice("shared", 1, most)).alias("at", "one"))
+    rows = saved(rows.select(F.col("one.shingle").alias("key"), "sig", "f0", "f1", "f2", "f3", "n", (F.col("alone") + F.col("at")).cast("long").alias("place")), "near-rare")
+    busy = rows.groupBy("key").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")).where("blocks > 1").withColumnRenamed("key", "k")
+    busy = saved(busy, "near-busy")
+    if not busy.isEmpty():
+        block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
+        tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("key", F.least(b, block), F.greatest(b, block)))
+        dealt = rows.join(busy, F.col("key") == F.col("k")).withColumn("key", F.explode(tiles)).drop("k", "blocks")
+        rows = rows.join(busy, F.col("key") == F.col("k"), "left_anti").unionByName(dealt)
+    return grouped(rows, similarity)
+
+
 def set_links(flat: np.ndarray, at: np.ndarray, similarity: float) -> np.ndarray:
     """Smallest member that each member of a group reaches over pairs at the Jaccard similarity or more.
 
@@ -556,34 +565,21 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
         needed = made.join(sigs, "sig").groupBy("sig").agg(F.min(F.struct("file", "row")).alias("one")).select("one.file", "one.row", F.col("sig").alias("mark"))
         return saved(with_marks(at.select("text", *PLACE), needed, whole, "its long, shingles array<long>"), "near-sets")
 
-    edges, sets, rooted = None, None, None
-
-    def compared(groups_, kind):
-        """Edges of groups (grp, sig), and the roots over all edges so far."""
-        nonlocal edges, sets, rooted
-        if rooted is not None:  # groups whose members are all tied by now are left out
-            own = groups_.join(rooted, F.col("sig") == F.col("node"), "left").select("grp", F.coalesce("root", "sig").alias("root"))
-            open_ = own.groupBy("grp").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("grp")
-            groups_ = saved(groups_.join(open_, "grp", "left_semi"), "near-open")
-        wanted = groups_.select("sig").distinct()
-        more = sets_of(wanted if sets is None else wanted.join(sets.select(F.col("its").alias("sig")), "sig", "left_anti"))
-        sets = more if sets is None else sets.unionByName(more)
-        more = saved(set_linked(groups_, sets, similarity), kind)
-        edges = more if edges is None else edges.unionByName(more)
-        rooted = components(edges)
-        tidy(spark)
-
+    wanted = []  # signatures with another one under a key that may be close enough; all those of busy keys
     for first, end in ROUNDS:
         keyed = coded(signed, first, end)
         if end == ROUNDS[-1][1]:  # and for sets of few shingles, so that none is lost
             keyed = keyed.union(signed.select(F.explode("keys").alias("key"), "sig"))
         sizes, busy = busy_keys(keyed)
-        tied = None
-        if not sizes.where(F.col("members") > MEMBERS).isEmpty():  # first what is tied to the leaders of such keys, then only what is left
-            compared(saved(led(busy, signed, similarity), "near-led"), "near-led-edges")
-            tied = busy.join(rooted.select(F.col("node").alias("sig"), F.col("root").alias("mine")), "sig").join(rooted.select(F.col("node").alias("lead"), F.col("root").alias("its")), "lead")
-            tied = saved(tied.where("mine = its").select("key", "sig"), "near-tied")
-        compared(saved(near_linked(signed, similarity, keyed, sizes, tied), "near-groups"), "near-edges")
+        near = near_linked(signed, similarity, keyed, sizes).select("sig")
+        if not sizes.where(F.col("members") > MEMBERS).isEmpty():
+            near = near.union(busy)
+        wanted.append(saved(near.distinct(), "near-wanted"))
+        tidy(spark)
+    sets = sets_of(reduce(DataFrame.union, wanted).distinct())
+    groups_ = saved(rare_linked(sets, signed, similarity), "near-groups")
+    rooted = components(saved(set_linked(groups_, sets, similarity), "near-edges"))
+    tidy(spark)
     roots = signed.join(rooted, F.col("sig") == F.col("node"), "left").select(F.col("sig").alias("its"), F.coalesce("root", "sig").alias("root"))
     rank = F.struct(F.col("id").isNull().alias("null"), "id", "mark", "file", "row")
     per = made.groupBy("sig").agg(F.min(rank).alias("first"), F.count("*").alias("copies"))  # a row a signature, however many copies it has

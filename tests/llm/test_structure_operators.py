@@ -644,6 +644,21 @@ def test_busy_keys_lose_nothing(spark, monkeypatch):
         assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == want
 
 
+def test_near_copies_are_compared_under_few_keys(spark, monkeypatch):
+    rng = random.Random(12)
+    one = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows, compared, base = [], [], simhash.set_linked
+    for i in range(120):  # of one text: a third is similar, the others are near it but too far from any
+        own = list(one)
+        for k in range(1 if i % 3 == 0 else 3):
+            own[rng.randrange(40 * k, 40 * k + 40)] = f"x{i}-{k}"
+        rows.append((i, " ".join(own)))
+    want = {min(own) for own in grouped([i for i, _ in rows], similar_pairs(rows, 0.8)).values()}
+    monkeypatch.setattr(simhash, "set_linked", lambda groups_, *rest: compared.append(groups_.count()) or base(groups_, *rest))
+    assert {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()} == want
+    assert 60 <= len(want) <= 85 and 0 < sum(compared) <= 10 * len(rows)
+
+
 def test_wide_links_of_a_group():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, (5, 4), dtype=np.uint64)
